@@ -65,7 +65,7 @@ def _leaf_runs(ranges: int, largest: bool):
 
 
 def _merged(largest: bool):
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         runs = [np.frombuffer(r, ENTRY) for r in table.column("run").to_pylist()]
         return pa.table({"range": [key[0].as_py()], "slot": [key[1].as_py()], "run": [fixed(merge_runs(runs, largest))]}, schema=_RUN)
 
