@@ -32,6 +32,19 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def unique_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(_key, _id, _text) with a distinct _key for each row, in the order of the ids.
+
+    The key is the id itself where no id repeats. Else (True) the rows are put in the order
+    (id, text) once, numbered and written out, so that repeated rows stay apart.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    if rows.groupBy("_id").count().filter("count > 1").isEmpty():
+        return rows.select(F.col("_id").alias("_key"), "_id", "_text"), False
+    numbered = rows.repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
+    return materialise(numbered.select(F.monotonically_increasing_id().alias("_key"), "_id", "_text"), "rows"), True
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts the session deals shuffled rows into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
