@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm import secret_scan
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.exact_dedup import exact_duplicates
 from auditloom.llm.near_dedup import near_duplicates
@@ -27,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -50,9 +55,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op7_near_dedup": op7_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql()}
