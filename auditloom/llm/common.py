@@ -140,14 +140,19 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each lower-cased word, first word of each text and the end).
+    """(64-bit hash of each lower-cased word, first word of each text and the end)."""
+    return placed_words(data, offsets, inside)[:2]
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first word of each text and the end, where each word starts, its length).
 
     `inside` says which lower-cased bytes belong to words. A word is hashed by a random
     multilinear form over its bytes, so that equal words of any batch have equal hashes.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = LOWER[data]
     yes = inside[low]
     first = yes.copy()
@@ -156,7 +161,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     first[begins] = yes[begins]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, starts
     at = np.flatnonzero(yes)
     heads = np.flatnonzero(first[at])  # place in `at` where each word begins
     lengths = np.diff(np.append(heads, len(at)))
@@ -164,7 +169,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(_BYTE[low[at]] * _places(int(lengths.max()))[place], heads)
         hashes = mix(sums + lengths.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, lengths
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

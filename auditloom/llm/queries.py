@@ -11,6 +11,7 @@ from auditloom.llm.decontaminate import contamination
 from auditloom.llm.exact_dedup import exact_duplicates
 from auditloom.llm.near_dedup import near_duplicates
 from auditloom.llm.pii import find_private
+from auditloom.llm.quality import classify
 from auditloom.llm.sentencepiece_bpe import encode_decode
 from auditloom.llm.suffix_dedup import remove_repeats
 
@@ -50,6 +51,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
