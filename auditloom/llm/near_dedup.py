@@ -20,15 +20,14 @@ _FULL = pa.schema([("_key", pa.int64()), ("grams", pa.binary())])
 def signatures(grams: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     """One row of `bins` minima for each non-empty set of sorted shingle hashes.
 
-    One permutation: the top bits of a hash are its bin, and the least hash of a bin is its
+    One permutation: a hash falls into a bin by its size, and the least hash of a bin is its
     minimum. An empty bin takes the minimum of another, found by a hash of the bin's number
     and a counter that runs until the bin hit isn't empty (optimal densification), so equal
     sets and only similar sets agree there, with the same probability as in other bins.
     """
     n = len(bounds) - 1
-    shift = _U(64 - bins.bit_length() + 1)
     text = np.repeat(np.arange(n), np.diff(bounds))
-    cell = text * bins + (grams >> shift).astype(np.int64)
+    cell = text * bins + ((grams >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
     new = np.ones(len(cell), bool)
     new[1:] = cell[1:] != cell[:-1]
     out = np.full(n * bins, _EMPTY)
@@ -96,29 +95,30 @@ def _confirmed(percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 72, rows: int = 7) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     A document's set holds the distinct k-word shingles of its lower-cased words, or all its
     words as one if it has fewer than k. Two documents are linked if
     100 * intersection >= percent * union, confirmed on the full sets.
 
-    1. Each set is signed with bands * rows minima (a power of two); `rows` minima make a
-       bucket key, so a pair at 0.8 meets in none of 32 buckets of 4 with probability 5e-8.
+    1. Each set is signed with bands * rows minima; `rows` minima make a bucket key. A pair at
+       0.8 shares none of 72 buckets of 7 with probability 4e-8, and texts that share only a
+       passage, however many they are, seldom share a bucket.
     2. Equal sets are one node from here on, whatever the number of copies.
     3. In a bucket only the star from its smallest node is tested, which bounds the pairs by
        the members. Sizes that rule a link out are dropped first.
     4. Buckets whose members are not yet all in one component may hide further links: there,
-       members outside the largest component become the centres of further stars, more of
-       them in each round, against members of other components that have not been a centre,
-       until every pair of a bucket is tested or in one component. No pair is given up.
+       members outside the largest component become the centres of further stars, against
+       members of other components that have not been a centre, until every pair of a bucket
+       is tested or in one component. A round takes one centre a bucket, the same in all its
+       buckets where it can, and twice as many as before if the last round found no link. No
+       pair is given up.
 
     Null or empty text, or no words: an empty set, linked with nothing, its own component. A
     null doc_id counts as smaller than any other. Rows that repeat a doc_id are documents of
     their own with one id. Empty table: no rows.
     """
-    if bands * rows & (bands * rows - 1):
-        raise ValueError("bands * rows must be a power of two")
     texts, repeated = unique_rows(docs, id_col, text_col)
     sets = materialise(texts.select("_key", "_id", "_text").mapInArrow(_sets(k, bands, rows), _SET_DDL), "sets")
     nodes = materialise(sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_key").alias("node"), F.min_by("bands", "_key").alias("bands")), "nodes")
@@ -141,9 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(confirmed(tested), "links")
     labels = components(links)
     rest = members.filter("node <> first").select("bucket", "node", "n")  # those that have not been a centre
-    step = 0
+    take = 1
     while True:
-        step += 1
         placed = rest.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         each = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("node").alias("lowest"))
         by_bucket = each.groupBy("bucket").agg(
@@ -154,8 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = materialise(placed.join(by_bucket.select("bucket", "largest", "lowest", (F.col("size") - F.col("most")).alias("outside")), "bucket"), "open")
         if open_.isEmpty():
             break
-        # of the members outside the largest component, some 2 ** step, and always one
-        chosen = (F.col("component") != F.col("largest")) & ((F.pmod(F.xxhash64("bucket", "node"), F.col("outside")) < 2**step) | (F.col("node") == F.col("lowest")))
+        # of the members outside the largest component, some `take`, and always one
+        chosen = (F.col("component") != F.col("largest")) & ((F.pmod(F.xxhash64("node"), F.greatest("outside", F.lit(take))) < F.lit(take - 1)) | (F.col("node") == F.col("lowest")))
         marked = open_.select("bucket", "node", "n", "component", chosen.alias("centre"))
         centres = marked.filter("centre").select("bucket", F.col("node").alias("c"), F.col("n").alias("na"), F.col("component").alias("cc"))
         pairs = marked.join(centres, "bucket").filter("component <> cc").filter("not centre or node > c").withColumnRenamed("n", "nb").filter(fitting)
@@ -163,7 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialise(pairs, "pairs")
         tested = tested.union(pairs)
         found = materialise(confirmed(pairs), "links")
-        if not found.isEmpty():
+        if found.isEmpty():
+            take *= 2
+        else:
             links = links.union(found)
             labels = components(links)
         rest = marked.filter("not centre").select("bucket", "node", "n")
