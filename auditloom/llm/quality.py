@@ -238,3 +238,25 @@ def classify(docs: DataFrame, model: Classifier | None = None, id_col: str = "do
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "_id long, pattern long, posterior double, score double")
     return scored.select(with_id(), F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("kept"))
+
+
+def keep_good(docs: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample_rows: int = 8000) -> DataFrame:
+    """The rows of docs, with all columns, that classify() keeps; they stay where they are read."""
+    model = model or train(docs, id_col, text_col, sample_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        weights = sent.value.weights
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(_TEXT)).fill_null("")
+            kept = []
+            for piece in pieces_of([pa.RecordBatch.from_arrays([texts], names=["t"])], 0):
+                for b, v in votes_and_features(*byte_view(piece.column(0)))[1]:
+                    kept.append(1 / (1 + np.exp(-np.clip(weights[b] @ v + weights[-1], -50, 50))) >= threshold)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(kept, pa.bool_()))
+
+    with_text = docs.select("*", F.col(text_col).cast("string").alias(_TEXT))
+    return with_text.mapInArrow(keep, docs.schema)
+
+
+_TEXT = "auditloom text"

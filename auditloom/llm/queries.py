@@ -14,6 +14,7 @@ from auditloom.llm.pii import find_private
 from auditloom.llm.quality import classify
 from auditloom.llm.sentencepiece_bpe import encode_decode
 from auditloom.llm.suffix_dedup import remove_repeats
+from auditloom.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_token_counts": op6_token_counts,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,

@@ -1,15 +1,76 @@
-"""The document pipeline: stages over `documents`, each on what the one before kept."""
+"""The document pipeline: stages over `documents`, each on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return rows of
+`documents` as they are. Rows are dropped by joining the few that go, null ids included.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditloom.llm.common import materialise
+from auditloom.llm.decontaminate import contamination
+from auditloom.llm.exact_dedup import exact_duplicates
+from auditloom.llm.near_dedup import near_duplicates
+from auditloom.llm.quality import keep_good
+from auditloom.llm.queries import table, tokenizer_path
+from auditloom.llm.sentencepiece_bpe import encode_decode
+
+
+def _without(docs: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
+    """docs without the ids that have no row to keep in judged (doc_id, keep)."""
+    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(keep).alias("stays")).filter("not stays").select("_gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return keep_good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of rows that repeat it, one."""
+    judged = materialise(exact_duplicates(docs, keep="largest"), "exact")
+    left = _without(docs, judged, "kept")
+    if judged.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id."""
+    return _without(docs, near_duplicates(docs, k=5), "kept")
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    judged = contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("clean", ~F.col("contaminated"))
+    return _without(docs, judged, "clean")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document that is left, and the text they decode to, as digests."""
+    return encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("minhash near-dedup", near),
+    ("benchmark decontamination", clean_of_benchmarks),
+    ("sentencepiece", encoded),
+]
 
-STAGES: list = []
+#: No SQL: the classifier and the encoder can't be said in it. tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over `documents`, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
