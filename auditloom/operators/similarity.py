@@ -16,7 +16,8 @@ def banded(rows: DataFrame, signature: str, limit: int, extra: list[str] | None
     Two signatures at distance limit or less agree in at least one band (pigeonhole)."""
     n = limit + 1
     width = 64 // n
-    bands = F.array(*[F.struct(F.lit(i).alias("_band"), F.shiftrightunsigned(signature, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("_value")) for i in range(n)])
+    value = lambda i: F.col(signature) if n == 1 else F.shiftrightunsigned(signature, i * width).bitwiseAND(F.lit((1 << width) - 1))
+    bands = F.array(*[F.struct(F.lit(i).alias("_band"), value(i).alias("_value")) for i in range(n)])
     return rows.select("*", F.explode(bands).alias("_b")).select("*", "_b._band", "_b._value").drop("_b")
 
 

@@ -151,7 +151,7 @@ ORACLE_SQL = {
 SELECT a."truth", support, correct, correct::DOUBLE / support AS accuracy, w.pred AS wrong_answer, w.n AS wrong_n FROM a LEFT JOIN w ON w."truth" = a."truth" AND r = 1 WHERE support >= 20 ORDER BY accuracy, a."truth" LIMIT 3""",
     "class_balance": f"""{_P}, k AS (SELECT name FROM c UNION ALL SELECT 'zoom'), n AS (SELECT k.name, count(q."truth") AS n FROM k LEFT JOIN (SELECT * FROM p WHERE "truth" <> 'view' OR id % 4 = 0) q ON q."truth" = k.name GROUP BY k.name), md AS (SELECT median(n) AS md FROM n WHERE n > 0) SELECT name, n, n / md AS ratio, n < 0.5 * md AS weak, n < 600 AS low FROM n, md""",
     "exclusion_rescore": f"""{_P}, x AS (SELECT "truth" = pred AS r, unnest(['none', 'low', 'first family', 'sure']) AS rule, unnest([false, conf < 0.3, family < 20, conf > 0.9]) AS flag FROM p), y AS (SELECT rule, count(*) AS n, count(*) FILTER (WHERE r) AS c, count(*) FILTER (WHERE flag) AS excluded, count(*) FILTER (WHERE flag AND r) AS correct_excluded FROM x GROUP BY rule)
-SELECT rule, excluded, n - excluded AS "left", round((c - correct_excluded)::DOUBLE / (n - excluded), 6) AS accuracy, round(100 * ((c - correct_excluded)::DOUBLE / (n - excluded) - c::DOUBLE / n), 6) AS delta, correct_excluded FROM y""",
+SELECT rule, excluded, n - excluded AS "left", round((c - correct_excluded)::DOUBLE / nullif(n - excluded, 0), 6) AS accuracy, round(100 * ((c - correct_excluded)::DOUBLE / nullif(n - excluded, 0) - c::DOUBLE / n), 6) AS delta, correct_excluded FROM y""",
     "two_runs": f"""{_P}, a AS (SELECT * FROM p WHERE family < 60), b AS (SELECT id, CASE WHEN id % 5 = 0 THEN "truth" ELSE pred END AS pred, abs(conf - 0.25) AS conf FROM a WHERE id % 7 <> 0)
 SELECT a.id, a.pred AS pred_a, b.pred AS pred_b, a.pred = b.pred AS agree, round(abs(a.conf - b.conf), 6) AS delta FROM a JOIN b USING (id) ORDER BY delta DESC, a.id LIMIT 40""",
     "conf_histogram": f"""{_P}, e AS (SELECT unnest(range(7))::INT AS bin, unnest([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 2.0])::DOUBLE AS low, unnest([0.05, 0.25, 0.5, 0.75, 0.95, 2.0, 3.0])::DOUBLE AS high) SELECT bin, low, high, count(p.id) AS n FROM e LEFT JOIN p ON conf >= low AND conf < high GROUP BY ALL""",
