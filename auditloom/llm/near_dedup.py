@@ -95,6 +95,85 @@ def _confirmed(percent: int):
     return confirm
 
 
+#: Nodes in a block, a long one counting as one for each so many shingles; and shingles that
+#: a comparison of two blocks has in its table at a time.
+BLOCK_NODES, NODE_SHINGLES, SLICE = 48, 2000, 8192
+_BLOCK_DDL = "array<struct<node:bigint,component:bigint,grams:binary>>"
+
+
+def _compared(percent: int):
+    """Links between nodes of two blocks (arrays of node, component, grams) in different components."""
+
+    def unpacked(block):
+        grams = [np.frombuffer(x["grams"], np.uint64) for x in block]
+        return np.array([x["node"] for x in block], np.int64), np.array([x["component"] for x in block], np.int64), np.array([len(g) for g in grams], np.int64), np.concatenate(grams)
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node_x, of_x, n_x, x = unpacked(batch.column(0)[i].as_py())
+                node_y, of_y, n_y, y = unpacked(batch.column(1)[i].as_py())
+                both = np.intersect1d(x, y)
+                common = np.zeros((len(n_x), len(n_y)), np.float32)
+                row_x, row_y = np.repeat(np.arange(len(n_x)), n_x), np.repeat(np.arange(len(n_y)), n_y)
+                for at in range(0, len(both), SLICE):
+                    part = both[at : at + SLICE]
+                    tables = []
+                    for grams, row, n in ((x, row_x, len(n_x)), (y, row_y, len(n_y))):
+                        col = np.minimum(np.searchsorted(part, grams), len(part) - 1)
+                        has = part[col] == grams
+                        table = np.zeros((n, len(part)), np.float32)
+                        table[row[has], col[has]] = 1
+                        tables.append(table)
+                    common += tables[0] @ tables[1].T  # whole numbers below 2 ** 24: exact
+                shared = common.astype(np.int64)
+                linked = (100 * shared >= percent * (n_x[:, None] + n_y[None, :] - shared)) & (of_x[:, None] != of_y[None, :])
+                a, b = np.nonzero(linked)
+                yield record_batch(_LINK, np.minimum(node_x[a], node_y[b]), np.maximum(node_x[a], node_y[b]))
+
+    return compare
+
+
+def _between(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components.
+
+    open_ (bucket, node, n, component, first) has the buckets whose members are in several
+    components. Nodes that such buckets tie together are a cluster; a cluster is dealt into
+    blocks of bounded size, a component that fills blocks of its own apart from the rest, and
+    small clusters share blocks. Blocks with a common bucket are compared as a whole, in one
+    row, unless both are of the same component. So no pair of nodes is a row, each two blocks
+    meet once however many buckets they share, and no task holds more than two blocks.
+    """
+    ties = open_.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = open_.select("node", "n", "component").distinct().withColumn("weight", F.greatest(F.lit(1), F.floor(F.col("n") / NODE_SHINGLES)))
+    nodes = materialise(nodes.join(components(ties).withColumnRenamed("component", "cluster"), "node"), "clusters")
+
+    def parts(total: str):
+        return F.ceil(F.col(total) / BLOCK_NODES)
+
+    whole = nodes.groupBy("cluster", "component").agg(F.sum("weight").alias("own")).withColumn("fills", F.col("own") >= BLOCK_NODES)
+    rest = whole.filter("not fills").groupBy("cluster").agg(F.sum("own").alias("rest"))
+    small = rest.filter(F.col("rest") < BLOCK_NODES).agg(F.sum("rest")).first()[0] or 1
+    dealt = nodes.join(whole, ["cluster", "component"]).join(rest, "cluster", "left").select(
+        "node",
+        "component",
+        F.when(F.col("fills"), F.col("component")).alias("only"),
+        F.when(F.col("fills"), F.xxhash64(F.lit("own"), "component", F.pmod(F.xxhash64("node"), parts("own"))))
+        .when(F.col("rest") >= BLOCK_NODES, F.xxhash64(F.lit("rest"), "cluster", F.pmod(F.xxhash64("component"), parts("rest"))))
+        .otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("cluster"), F.lit(-(-small // BLOCK_NODES)))))
+        .alias("block"),
+    )
+    dealt = materialise(dealt, "dealt")
+    packed = dealt.join(full, F.col("node") == F.col("_key")).groupBy("block").agg(F.collect_list(F.struct("node", "component", "grams")).cast(_BLOCK_DDL).alias("held"))
+    packed = materialise(packed, "blocks")
+    at = open_.select("bucket", "node").join(dealt.select("node", "only", "block"), "node").select("bucket", "only", "block").distinct()
+    other = at.select("bucket", F.col("only").alias("only_b"), F.col("block").alias("block_b"))
+    meet = at.join(other, "bucket").filter("block <= block_b and (only is null or only_b is null or only <> only_b)").select("block", "block_b").distinct()
+    meet = materialise(meet, "meetings")
+    rows = meet.join(packed.select("block", F.col("held").alias("x")), "block").join(packed.select(F.col("block").alias("block_b"), F.col("held").alias("y")), "block_b")
+    return rows.select("x", "y").mapInArrow(_compared(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 72, rows: int = 7) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -108,12 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Equal sets are one node from here on, whatever the number of copies.
     3. In a bucket only the star from its smallest node is tested, which bounds the pairs by
        the members. Sizes that rule a link out are dropped first.
-    4. Buckets whose members are not yet all in one component may hide further links: there,
-       members outside the largest component become the centres of further stars, against
-       members of other components that have not been a centre, until every pair of a bucket
-       is tested or in one component. A round takes one centre a bucket, the same in all its
-       buckets where it can, and twice as many as before if the last round found no link. No
-       pair is given up.
+    4. Buckets whose members are not yet all in one component may hide further links. Their
+       nodes are dealt into blocks, and blocks that share a bucket are compared as a whole, so
+       that every pair of a bucket is in one component or tested. No pair is given up.
 
     Null or empty text, or no words: an empty set, linked with nothing, its own component. A
     null doc_id counts as smaller than any other. Rows that repeat a doc_id are documents of
@@ -137,37 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").filter(fitting).select("a", "b")
-    tested = materialise(stars, "pairs")
-    links = materialise(confirmed(tested), "links")
+    links = materialise(confirmed(materialise(stars, "pairs")), "links")
     labels = components(links)
-    rest = members.filter("node <> first").select("bucket", "node", "n")  # those that have not been a centre
-    take = 1
-    while True:
-        placed = rest.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        each = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("node").alias("lowest"))
-        by_bucket = each.groupBy("bucket").agg(
-            F.count("*").alias("components"), F.sum("size").alias("size"),
-            F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"),
-            F.min_by("lowest", F.struct("size", "component")).alias("lowest"),
-        ).filter("components > 1")
-        open_ = materialise(placed.join(by_bucket.select("bucket", "largest", "lowest", (F.col("size") - F.col("most")).alias("outside")), "bucket"), "open")
-        if open_.isEmpty():
-            break
-        # of the members outside the largest component, some `take`, and always one
-        chosen = (F.col("component") != F.col("largest")) & ((F.pmod(F.xxhash64("node"), F.greatest("outside", F.lit(take))) < F.lit(take - 1)) | (F.col("node") == F.col("lowest")))
-        marked = open_.select("bucket", "node", "n", "component", chosen.alias("centre"))
-        centres = marked.filter("centre").select("bucket", F.col("node").alias("c"), F.col("n").alias("na"), F.col("component").alias("cc"))
-        pairs = marked.join(centres, "bucket").filter("component <> cc").filter("not centre or node > c").withColumnRenamed("n", "nb").filter(fitting)
-        pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = tested.union(pairs)
-        found = materialise(confirmed(pairs), "links")
-        if found.isEmpty():
-            take *= 2
-        else:
-            links = links.union(found)
-            labels = components(links)
-        rest = marked.filter("not centre").select("bucket", "node", "n")
+    placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high")
+    open_ = materialise(placed.join(mixed.select("bucket", "first"), "bucket"), "open")
+    if not open_.isEmpty():
+        found = materialise(_between(open_, full, percent), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
 
     named = nodes.select("n", "s1", "s2", "node").join(labels, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
     out = sets.select("_key", "_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").withColumn("component", F.coalesce("component", "_key"))
