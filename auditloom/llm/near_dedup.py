@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import NOT_SPACE, byte_view, fixed, materialise, mix, pieces_of, record_batch, shingles, unique_rows, with_id, words
-from auditloom.llm.components import components
+from auditloom.llm.components import components, joined
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -137,16 +137,18 @@ def _compared(percent: int):
 def _between(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components.
 
-    open_ (bucket, node, n, component, first) has the buckets whose members are in several
-    components. Nodes that such buckets tie together are a cluster; a cluster is dealt into
+    open_ (bucket, node, n, component, low) has the buckets whose members are in several
+    components, low being the smallest. Components that such buckets tie together are a
+    cluster; a cluster is dealt into
     blocks of bounded size, a component that fills blocks of its own apart from the rest, and
     small clusters share blocks. Blocks with a common bucket are compared as a whole, in one
     row, unless both are of the same component. So no pair of nodes is a row, each two blocks
     meet once however many buckets they share, and no task holds more than two blocks.
     """
-    ties = open_.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    ties = open_.filter("component <> low").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
+    clusters = components(ties).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     nodes = open_.select("node", "n", "component").distinct().withColumn("weight", F.greatest(F.lit(1), F.floor(F.col("n") / NODE_SHINGLES)))
-    nodes = materialise(nodes.join(components(ties).withColumnRenamed("component", "cluster"), "node"), "clusters")
+    nodes = materialise(nodes.join(clusters, "component"), "clusters")
 
     def parts(total: str):
         return F.ceil(F.col(total) / BLOCK_NODES)
@@ -216,12 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(confirmed(materialise(stars, "pairs")), "links")
     labels = components(links)
     placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high")
-    open_ = materialise(placed.join(mixed.select("bucket", "first"), "bucket"), "open")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    open_ = materialise(placed.join(mixed.select("bucket", "low"), "bucket"), "open")
     if not open_.isEmpty():
         found = materialise(_between(open_, full, percent), "links")
         if not found.isEmpty():
-            labels = components(links.union(found))
+            labels = joined(labels, found)
 
     named = nodes.select("n", "s1", "s2", "node").join(labels, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
     out = sets.select("_key", "_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").withColumn("component", F.coalesce("component", "_key"))
