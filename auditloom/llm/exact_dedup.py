@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import fixed, id_and_text, materialise, partitions, record_batch, with_id
 
-#: A run's entry: the digest as four big-endian words, the text's length in bytes (a check on
-#: the digest), the id that stays so far, and how many rows it stands for.
-ENTRY = np.dtype([("a", ">u8"), ("b", ">u8"), ("c", ">u8"), ("d", ">u8"), ("size", "<i8"), ("keep", "<i8"), ("n", "<i8")])
+#: A run's entry: the digest as four numbers (little-endian, as numpy makes fields native when
+#: it joins runs), the text's length in bytes (a check on the digest), the id that stays so
+#: far, and how many rows it stands for.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("size", "<i8"), ("keep", "<i8"), ("n", "<i8")])
 _KEY = ("a", "b", "c", "d", "size")
 
 _DIGEST = pa.schema([("_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary())])
@@ -77,7 +78,7 @@ def _groups(batches):
         for raw in batch.column(2).to_pylist():
             run = np.frombuffer(raw, ENTRY)
             run = run[run["n"] > 1]
-            digests = np.stack([run[k] for k in "abcd"], axis=1).tobytes() if len(run) else b""
+            digests = np.stack([run[k] for k in "abcd"], axis=1).astype(">u8").tobytes() if len(run) else b""
             yield record_batch(_GROUP, [digests[i : i + 32] for i in range(0, len(digests), 32)], run["size"].astype(np.int64), run["keep"].astype(np.int64), run["n"].astype(np.int64))
 
 

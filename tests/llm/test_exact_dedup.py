@@ -20,16 +20,18 @@ def brute(rows, keep):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("fan_in", [2, 8])
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-def test_against_brute_force(docs_of, odd_rows, keep):
+def test_against_brute_force(docs_of, odd_rows, keep, fan_in):
     rows = odd_rows + [(100 + i, ["Same TEXT", "same text", "ÄÖ same", "äö same", f"own {i}"][i % 5]) for i in range(300)]
-    got = exact_duplicates(docs_of(rows), keep=keep, fan_in=2).collect()
+    got = exact_duplicates(docs_of(rows), keep=keep, fan_in=fan_in).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute(rows, keep)
 
 
-def test_many_partitions_merge_in_rounds(docs_of):
+@pytest.mark.parametrize("fan_in", [2, 8, 64])
+def test_many_partitions_merge_in_any_number_of_rounds(docs_of, fan_in):
     rows = [(i, f"text {i % 37}") for i in range(900)]
-    got = exact_duplicates(docs_of(rows).repartition(23), keep="largest", fan_in=3).collect()
+    got = exact_duplicates(docs_of(rows).repartition(23), keep="largest", fan_in=fan_in).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute(rows, "largest")
 
 
