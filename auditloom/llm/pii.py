@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,24 @@ def phones(text: str) -> list[tuple[int, int]]:
 FINDERS = (emails, ips, cards, phones)
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _covered(start: int, end: int, taken: tuple[list[int], list[int]]) -> bool:
+    """Whether a word overlaps a stretch: the last one that begins before its end reaches it."""
+    at = bisect_left(taken[0], end)
+    return at > 0 and taken[1][at - 1] > start
+
+
 def _near(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Places of the nearest whole words of three characters or more on either side."""
     low, high = max(0, start - REACH), min(len(text), end + REACH)
@@ -106,11 +125,11 @@ def _scan(batches):
             spans = [(k, a, b) for k, find in enumerate(FINDERS) for a, b in find(text)]
             entities, pairs, seen = {}, [], set()
             if spans:
-                taken = sorted((a, b) for _, a, b in spans)
+                taken = _merged(spans)
                 for k, a, b in spans:
                     value = f"{k}:{text[a:b].lower()}" if k == 0 else f"{k}:{_NOT_DIGIT.sub('' if k > 1 else '.', text[a:b])}"
                     e = entities[value] = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
-                    near = [(x, y) for x, y in _near(text, a, b) if not any(s < y and x < t for s, t in taken)] if len(spans) <= 200 else _near(text, a, b)
+                    near = [(x, y) for x, y in _near(text, a, b) if not _covered(x, y, taken)]
                     for (x, y), term in zip(near, _term_hashes([text[x:y] for x, y in near]).tolist() if near else []):
                         pairs.append({"entity": e, "term": term, "start": x, "end": y, "fresh": (e, term) not in seen})
                         seen.add((e, term))

@@ -110,3 +110,11 @@ def test_very_long_text_and_sanitising(docs_of, offset):
     (r,) = find_private(docs_of([(1, text)]), with_text=True).collect()
     at = offset + 6
     assert r.spans == f"email:{at}:{at + 6}" and r.sanitised == text.replace("a@b.de", "[EMAIL]")
+
+
+@pytest.mark.parametrize("n", [200, 201])
+def test_no_span_is_a_term_however_many_spans_a_text_has(docs_of, n):
+    text = ". ".join(f"amber u{i}@left{i}.example.org" for i in range(n))
+    rows = [(i, text if i < 2 else prose(i, 20)) for i in range(40)]
+    got = [tuple(r) for r in find_private(docs_of(rows)).collect()]
+    assert sorted(got, key=repr) == want(rows)
