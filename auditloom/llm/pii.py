@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import ALNUM, NULL_ID, byte_view, materialise, pieces_of, record_batch, shingles, with_id, words
+from auditloom.llm.common import ALNUM, NULL_ID, byte_view, fixed, materialise, mix, pieces_of, placed_words, record_batch, shingles, with_id, words
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -168,7 +168,218 @@ def _term_counts(batches):
         yield from send(*total())
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, support: int = 2, with_text: bool = False) -> DataFrame:
+def _near_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(scanned, places (_row, start, end) of the terms that disclose), counted in windows."""
+    scanned = materialise(rows.mapInArrow(_scan, _SCAN_DDL), "private")
+    n = max(1, scanned.count())
+    term_df = rows.select("_text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
+    entity_df = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
+    near = scanned.filter(F.size("pairs") > 0).select("_row", F.explode("pairs").alias("p")).select("_row", "p.*")
+    pair_df = near.filter("fresh").groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
+    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
+    information = -F.log2(F.col("df_e") / F.lit(float(n)))
+    telling = pair_df.join(entity_df, "entity").join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("entity", "term")
+    return scanned, near.join(telling, ["entity", "term"]).select("_row", "start", "end")
+
+
+# --------------------------------------------------------------------------- terms of whole texts
+
+#: A term that more than one document in so many has is frequent. There are at most so many
+#: times the distinct words of an average document of them, whatever the number of documents.
+FREQUENT = 1000
+
+
+def _base(text: str) -> list[tuple[int, int, int]]:
+    return [(k, a, b) for k, find in enumerate(FINDERS) for a, b in find(text)]
+
+
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """The distinct protected entities that the spans stand for."""
+    out = set()
+    for k, a, b in spans:
+        value = f"{k}:{text[a:b].lower()}" if k == 0 else f"{k}:{_NOT_DIGIT.sub('' if k > 1 else '.', text[a:b])}"
+        out.add(int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True))
+    return sorted(out)
+
+
+def _whole_words(column: pa.Array, spans: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, ...]:
+    """All words of some texts that overlap no base span: (text, term, start, end), in order;
+    start and end count code points from the beginning of the text."""
+    data, offsets = byte_view(column)
+    hashes, firsts, starts, lengths = placed_words(data, offsets, ALNUM)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points before each byte
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    start, end = points[starts], points[starts + lengths]
+    free = np.ones(len(starts), bool)
+    for i, own in enumerate(spans):
+        if own:
+            here, base = slice(firsts[i], firsts[i + 1]), points[offsets[i]]
+            begins, ends = (base + np.array(x, np.int64) for x in _merged(own))
+            at = np.searchsorted(begins, end[here], "left")  # stretches that begin before the word ends
+            free[here] = (at == 0) | (ends[np.maximum(at, 1) - 1] <= start[here])
+    text, start, end = text[free], start[free], end[free]
+    base = points[offsets[:-1]][text]
+    return text, mix(hashes[free]).view(np.int64), start - base, end - base
+
+
+def _distinct(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (text, term) once, by text and term."""
+    order = np.lexsort((term, text))
+    text, term = text[order], term[order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
+    return text[fresh], term[fresh]
+
+
+class _Sums:
+    """Counts of keys (structured or plain), folded as they come and given out in bounded parts."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.held, self.size, self.most = [], 0, most
+
+    def add(self, keys: np.ndarray):
+        """Count the keys; yields what no longer fits."""
+        self.held.append(np.unique(keys, return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size > self.most * 3 // 2:
+            self._fold()
+            if self.size > self.most:
+                yield from self.rest()
+
+    def _fold(self):
+        unique, at = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        self.held = [(unique, np.bincount(at, np.concatenate([n for _, n in self.held]), len(unique)).astype(np.int64))]
+        self.size = len(unique)
+
+    def rest(self):
+        if self.held:
+            self._fold()
+            keys, counts = self.held[0]
+            self.held, self.size = [], 0
+            for i in range(0, len(keys), 50_000):
+                yield keys[i : i + 50_000], counts[i : i + 50_000]
+
+
+def _whole_counts(batches):
+    """How many texts of the task have each term outside base spans."""
+    sums = _Sums()
+    for batch in pieces_of(batches, 0):
+        text, term, *_ = _whole_words(batch.column(0), [_base(t) for t in batch.column(0).to_pylist()])
+        for keys, counts in sums.add(_distinct(text, term)[1]):
+            yield record_batch(_COUNT, keys, counts)
+    for keys, counts in sums.rest():
+        yield record_batch(_COUNT, keys, counts)
+
+
+_WHOLE = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("_a", pa.int64()), ("_b", pa.int64()), ("spans", _SPAN), ("entities", pa.list_(pa.int64())), ("terms", pa.binary())])
+_WHOLE_DDL = f"_row long, _id long, _a long, _b long, spans {_SPAN_DDL}, entities array<bigint>, terms binary"
+
+
+def _whole_scan(batches):
+    """Spans and entities of each text, and the distinct terms of texts that have entities."""
+    for batch in pieces_of(batches, 2):
+        texts = batch.column(2).to_pylist()
+        spans = [_base(t) for t in texts]
+        terms = [b""] * len(texts)
+        holding = [i for i, own in enumerate(spans) if own]
+        if holding:
+            text, term = _distinct(*_whole_words(batch.column(2).take(pa.array(holding)), [spans[i] for i in holding])[:2])
+            cuts = np.searchsorted(text, np.arange(len(holding) + 1))
+            for i, a, b in zip(holding, cuts[:-1], cuts[1:]):
+                terms[i] = fixed(term[a:b])
+        yield record_batch(_WHOLE, batch.column(0), batch.column(1), batch.column(3), batch.column(4), [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], [_entities(t, own) for t, own in zip(texts, spans)], terms)
+
+
+_TOGETHER = np.dtype([("kin", "<i8"), ("df_e", "<i8"), ("term", "<i8")])
+_TOGETHERS = pa.schema([("kin", pa.int64()), ("df_e", pa.int64()), ("term", pa.int64()), ("n", pa.int64())])
+
+
+def _together(frequent, n: int, alpha: float):
+    """How many texts of the task have each kin of entities and each term; input (kins, terms).
+
+    PMI(t; e) >= IC(e) / alpha means df_te >= df_t * (df_e / n) ** (1 - 1 / alpha), and df_te is
+    df_e at most: a frequent term whose df_t is above df_e * (n / df_e) ** (1 - 1 / alpha)
+    can't disclose e and isn't counted with it."""
+
+    def count(batches):
+        often, df_often = frequent.value
+        sums = _Sums(1_000_000)
+
+        def out(parts):
+            for keys, counts in parts:
+                yield record_batch(_TOGETHERS, *[np.ascontiguousarray(keys[k]).astype(np.int64) for k in ("kin", "df_e", "term")], counts)
+
+        for batch in batches:
+            for kins, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                term = np.frombuffer(raw, np.int64)
+                df = np.zeros(len(term), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, term), len(often) - 1)
+                    df = np.where(often[at] == term, df_often[at], 0)
+                for kin in kins:
+                    most = kin["df_e"] * (n / kin["df_e"]) ** (1 - 1 / alpha) * (1 + 1e-6)
+                    part = np.zeros(int((df <= most).sum()), _TOGETHER)
+                    part["kin"], part["df_e"], part["term"] = kin["kin"], kin["df_e"], term[df <= most]
+                    yield from out(sums.add(part))
+        yield from out(sums.rest())
+
+    return count
+
+
+_PLACES = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _places_of_terms(dull):
+    """All places of terms outside base spans, but of frequent ones that disclose nothing."""
+
+    def places(batches):
+        for batch in pieces_of(batches, 2):
+            text, term, start, end = _whole_words(batch.column(2), [_base(t) for t in batch.column(2).to_pylist()])
+            keep = ~np.isin(term, dull.value)
+            a, b = (batch.column(i).to_numpy()[text[keep]] for i in range(2))
+            term, start, end = term[keep], start[keep], end[keep]
+            for i in range(0, len(a), 100_000):
+                yield record_batch(_PLACES, *[x[i : i + 100_000] for x in (a, b, term, start, end)])
+
+    return places
+
+
+def _whole_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(scanned, places (_a, _b, start, end) of the terms that disclose), counted over whole texts.
+
+    Places are found in a pass of their own, and a table that is read again may give its rows
+    in another order; so they are tied to two hashes of the text, not to the row's number.
+
+    Entities that stand in the same documents are kin: they have the same counts with every
+    term and are counted as one, so that a text of very many addresses is not paired with its
+    words once for each. An entity that every document has holds no information to give away.
+    """
+    spark = rows.sparkSession
+    n = max(1, rows.count())
+    hashed = rows.select("*", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"))
+    term_df = materialise(rows.select("_text").mapInArrow(_whole_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t")), "terms")
+    often = term_df.filter(F.col("df_t") * FREQUENT > n).toArrow()
+    order = np.argsort(often.column(0).to_numpy())
+    often_term, often_df = often.column(0).to_numpy()[order], often.column(1).to_numpy()[order]
+    scanned = materialise(hashed.mapInArrow(_whole_scan, _WHOLE_DDL), "private")
+    held = scanned.filter(F.size("entities") > 0).select("_row", F.explode("entities").alias("entity"))
+    mark = [F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    entity_df = held.groupBy("entity").agg(F.count("*").alias("df_e"), *mark).filter(F.col("df_e") < n)
+    kin = entity_df.select("entity", F.struct(F.xxhash64("df_e", "x0", "x1").alias("kin"), "df_e").alias("k"))
+    kins = held.join(kin, "entity").groupBy("_row").agg(F.collect_set("k").alias("kins"))
+    paired = kins.join(scanned.filter(F.size("entities") > 0).select("_row", "terms"), "_row").select("kins", "terms")
+    frequent = spark.sparkContext.broadcast((often_term, often_df))
+    together = paired.mapInArrow(_together(frequent, n, alpha), "kin long, df_e long, term long, n long").groupBy("kin", "df_e", "term").agg(F.sum("n").alias("df_te")).filter(F.col("df_te") >= support)
+    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
+    information = -F.log2(F.col("df_e") / F.lit(float(n)))
+    telling = materialise(together.join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("term").distinct(), "telling")
+    told = telling.join(term_df.filter(F.col("df_t") * FREQUENT > n), "term", "left_semi").toArrow().column(0).to_numpy()
+    dull = spark.sparkContext.broadcast(np.setdiff1d(often_term, told))
+    places = hashed.select("_a", "_b", "_text").mapInArrow(_places_of_terms(dull), "_a long, _b long, term long, start long, end long")
+    return scanned, places.join(telling, "term", "left_semi").select("_a", "_b", "start", "end")
+
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, support: int = 2, with_text: bool = False, whole: bool = False) -> DataFrame:
     """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Base spans are e-mail and IP addresses, card and telephone numbers. A piece of personal
@@ -177,6 +388,12 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all documents, PMI(t; e) = log2(n * df(t, e) / (df(t) * df(e))) is the share of e's
     information IC(e) = -log2(df(e) / n) that t gives away. Where PMI >= IC / alpha, and t
     stands near e in `support` documents or more, t's spans there are added as kind `term`.
+
+    `whole` takes no windows: t and e occur together where a document has both, at any
+    distance, t being any word outside base spans, and df(t) counts such documents. Every
+    occurrence of a disclosing t outside base spans, in any document, is a `term` span.
+    op2_pii runs this with support=1.
+
     with_text adds `sanitised`: base spans replaced by their kinds, terms with digits
     generalised to [NUMBER], capitalised ones to [NAME], others removed.
 
@@ -192,18 +409,11 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
     )
-    scanned = materialise(rows.mapInArrow(_scan, _SCAN_DDL), "private")
-    n = max(1, scanned.count())
-    term_df = rows.select("_text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
-    entity_df = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    near = scanned.filter(F.size("pairs") > 0).select("_row", F.explode("pairs").alias("p")).select("_row", "p.*")
-    pair_df = near.filter("fresh").groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    information = -F.log2(F.col("df_e") / F.lit(float(n)))
-    telling = pair_df.join(entity_df, "entity").join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("entity", "term")
-    terms = near.join(telling, ["entity", "term"]).select("_row", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    scanned, places = (_whole_texts if whole else _near_texts)(rows, alpha, support)
+    key = ["_a", "_b"] if whole else ["_row"]
+    terms = places.select(*key, F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).groupBy(*key).agg(F.sort_array(F.collect_set("s")).alias("terms"))
     none = F.array().cast(_SPAN_DDL)
-    joined = scanned.select("_row", "_id", "spans").join(terms, "_row", "left").select("_row", "_id", "spans", F.coalesce("terms", none).alias("terms"))
+    joined = scanned.drop("entities", "pairs", "terms").join(terms, key, "left").select("_row", "_id", "spans", F.coalesce("terms", none).alias("terms"))
     name = F.array(*[F.lit(k) for k in (*KINDS, "term")])
 
     def text(spans):

@@ -33,7 +33,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_private(table(spark, sf_dir, "documents"))
+    return find_private(table(spark, sf_dir, "documents"), support=1, whole=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

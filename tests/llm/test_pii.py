@@ -118,3 +118,46 @@ def test_no_span_is_a_term_however_many_spans_a_text_has(docs_of, n):
     rows = [(i, text if i < 2 else prose(i, 20)) for i in range(40)]
     got = [tuple(r) for r in find_private(docs_of(rows)).collect()]
     assert sorted(got, key=repr) == want(rows)
+
+
+def want_whole(rows, alpha=1.25):
+    """Spans by plain counting over whole texts; any word outside base spans may be a term."""
+    n, df_t, df_e, df_te, places = len(rows), Counter(), Counter(), Counter(), []
+    for _, text in rows:
+        text = text or ""
+        spans = base(text)
+        found = [(m[0].lower() if m[0].isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]), *m.span()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+        found = [(t, x, y) for t, x, y in found if not any(s < y and x < e for _, s, e in spans)]
+        entities = {(k, text[a:b].lower() if k == 0 else re.sub("[^0-9.]" if k == 1 else "[^0-9]", "", text[a:b])) for k, a, b in spans}
+        terms = {t for t, _, _ in found}
+        df_t.update(terms)
+        df_e.update(entities)
+        df_te.update((e, t) for e in entities for t in terms)
+        places.append((spans, found))
+    telling = {t for (e, t), both in df_te.items() if df_e[e] < n and math.log2(n * both / (df_t[t] * df_e[e])) >= -math.log2(df_e[e] / n) / alpha - 1e-9}
+    out = []
+    for (i, _), (spans, found) in zip(rows, places):
+        rest = [f"term:{x}:{y}" for t, x, y in found if t in telling]
+        out.append((i, ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in spans] + rest), len(rest)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("many", [False, True])  # above 1000 documents some terms are not frequent
+def test_terms_of_whole_texts(docs_of, odd_rows, many):
+    rng = random.Random(4)
+    owners = [(f"Zorblax{k}", f"z{k}.x@mail-{k}.example.org", card(rng), f"+49 (30) 55{k:05d}") for k in range(12)]
+    rows = list(odd_rows)
+    for i in range(2500 if many else 150):
+        name, mail, number, phone = rng.choice(owners)
+        given_ = rng.choice([f"{mail} é {prose(i, 40)} {name}", f"{name} {prose(i, 60)} {number} or {phone}", f"{name} again", f"v{i} of 10.0.0.{i % 9} and all@one.example.org", "nothing to see"])
+        rows.append((100 + i, f"{prose(i, 5, 300)} {given_} {prose(i + 500, 3)}"))
+    rows.append((9000, ". ".join(f"amber{i} u{i}@left{i}.example.org" for i in range(300))))
+    far = f"Quibbleton {prose(5, 100)} only@here.example.org"
+    rows += [(9001, far), (9002, f"so said QUIBBLETON {prose(6, 20)}")]
+    got = {(r.doc_id, r.spans, r.n_term) for r in find_private(docs_of(rows), support=1, whole=True).collect()}
+    assert got == set(want_whole(rows))
+    spans = {i: s for i, s, _ in got}
+    assert "term:0:10" in spans[9001] and spans[9002].startswith("term:8:18")
+    assert find_private(docs_of([]), support=1, whole=True).count() == 0
+    (r,) = find_private(docs_of([(1, "mail a@b.de now")]), support=1, whole=True).collect()
+    assert r.n_term == 0
