@@ -1,7 +1,8 @@
 """The document pipeline: stages over `documents`, each on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return rows of
-`documents` as they are. Rows are dropped by joining the few that go, null ids included.
+`documents` as they are. Rows are dropped by a key of their own, so that rows with
+equal or null ids are judged one by one.
 """
 
 from __future__ import annotations
@@ -20,10 +21,26 @@ from auditloom.llm.queries import table, tokenizer_path
 from auditloom.llm.sentencepiece_bpe import encode_decode
 
 
-def _without(docs: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
-    """docs without the ids that have no row to keep in judged (doc_id, keep)."""
-    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or(keep).alias("stays")).filter("not stays").select("_gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+_KEY = "auditloom key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, in the order of the ids, null ids first.
+
+    The key is the id where no id repeats. Else the rows are put in the order of id and text
+    hash, numbered and written out; rows alike in both are still dealt to several tasks.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn(_KEY, F.col("doc_id").cast("long"))
+    order = [f"{_KEY} {i}" for i in range(3)]
+    placed = docs.select("*", *[c.alias(o) for c, o in zip((F.col("doc_id").cast("long"), F.xxhash64("text"), F.monotonically_increasing_id()), order)])
+    return materialise(placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order).withColumn(_KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
+    """keyed, less its key, without the rows that judged (doc_id, which holds the key, and keep) doesn't keep."""
+    gone = judged.filter(~F.col(keep)).select(F.col("doc_id").alias("_gone"))
+    return keyed.join(gone, keyed[_KEY].eqNullSafe(gone["_gone"]), "left_anti").drop(_KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,22 +50,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of rows that repeat it, one."""
-    judged = materialise(exact_duplicates(docs, keep="largest"), "exact")
-    left = _without(docs, judged, "kept")
-    if judged.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id", "text"])
+    keyed = _keyed(docs)
+    return _without(keyed, exact_duplicates(keyed, id_col=_KEY, keep="largest"), "kept")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, k=5), "kept")
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with
+    the smallest doc_id; of rows that repeat it, one."""
+    keyed = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed, id_col=_KEY, k=5), "kept")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("clean", ~F.col("contaminated"))
-    return _without(docs, judged, "clean")
+    keyed = _keyed(docs)
+    judged = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=_KEY).withColumn("clean", ~F.col("contaminated"))
+    return _without(keyed, judged, "clean")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,29 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(spark, tmp_path, [], [])).count() == 0
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_rows_with_one_id_are_dropped_one_by_one(spark, tmp_path, same):
+    items = [(i, prose(5000 + i, 40)) for i in range(3)]
+    texts = [prose(i, 80) for i in range(30)]
+    rows = [(same, t) for t in texts] + [(100 + i, prose(100 + i, 80)) for i in range(30)]
+    docs = spark.read.parquet(f"{written(spark, tmp_path, rows + [(same, t.upper()) for t in texts[:10]] + [(same, t) for t in texts[5:15]], items)}/documents.parquet")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, str(tmp_path)).collect()]
+    assert sorted((i, t.lower()) for i, t in left if i != same) == sorted(r for r in rows if r[0] != same)
+    assert sorted(t.lower() for i, t in left if i == same) == sorted(texts)
+
+    close = [(same, t + " one") for t in texts[:10]] + [(50 + i, texts[i] + " two") for i in range(10, 20)]
+    docs = spark.createDataFrame(rows + close, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/close")
+    docs = spark.read.parquet(f"{tmp_path}/close")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, str(tmp_path)).collect()]
+    assert len(left) == 60 and len([r for r in left if r[0] == same]) == 30
+    assert not [r for r in left if r in close[10:]]
+
+    dirty = [(same, f"{prose(7000 + i, 60)} {items[i % 3][1]} {prose(8000 + i, 20)}") for i in range(12)]
+    docs = spark.createDataFrame(rows + dirty, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/dirty")
+    docs = spark.read.parquet(f"{tmp_path}/dirty")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.clean_of_benchmarks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=repr) == sorted(rows, key=repr)
