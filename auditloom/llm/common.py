@@ -6,6 +6,7 @@ of a table, whatever they are called, neither reach nor clash with a result.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,12 +51,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="auditloom-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # only where no cluster names one, as in tests
-        root = tempfile.mkdtemp(prefix="auditloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if not root and spark.sparkContext.master.startswith("local"):  # one machine, as in tests
+        root = _local_folder()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root}/auditloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -118,13 +125,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _U(7_000_003))
+#: Bytes and words that are worked on at a time, so that a text of any length takes few of them at once.
+SLICE = 1 << 20
 _PLACE = np.zeros(0, np.uint64)
 
 
+def _factors(begin: int, end: int) -> np.ndarray:
+    """The factors of the bytes at the places begin..end - 1 of a word."""
+    return mix(np.arange(begin, end, dtype=np.uint64) + _U(90_001)) | _U(1)
+
+
 def _places(n: int) -> np.ndarray:
     global _PLACE
     if len(_PLACE) < n:
-        _PLACE = mix(np.arange(max(64, n), dtype=np.uint64) + _U(90_001)) | _U(1)
+        _PLACE = _factors(0, max(64, n))
     return _PLACE
 
 
@@ -148,27 +162,39 @@ def placed_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> t
     """(hashes, first word of each text and the end, where each word starts, its length).
 
     `inside` says which lower-cased bytes belong to words. A word is hashed by a random
-    multilinear form over its bytes, so that equal words of any batch have equal hashes.
+    multilinear form over its bytes, so that equal words of any batch have equal hashes. The
+    form is a sum, so bytes are taken in slices, and a word may lie in several.
     """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = LOWER[data]
-    yes = inside[low]
-    first = yes.copy()
-    first[1:] &= ~yes[:-1]
-    begins = offsets[:-1][offsets[:-1] < n]
-    first[begins] = yes[begins]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, starts
-    at = np.flatnonzero(yes)
-    heads = np.flatnonzero(first[at])  # place in `at` where each word begins
-    lengths = np.diff(np.append(heads, len(at)))
-    place = np.arange(len(at)) - np.repeat(heads, lengths)
+    every_sum, every_start, every_length, before = [], [], [], False
+    for at in range(0, len(data), SLICE):
+        low = LOWER[data[at : at + SLICE]]
+        yes = inside[low]
+        first = yes.copy()
+        first[1:] &= ~yes[:-1]
+        first[0] &= not before
+        begins = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(low))] - at
+        first[begins] = yes[begins]
+        before = bool(yes[-1])
+        places = np.flatnonzero(yes)
+        heads = np.flatnonzero(first[places])  # place in `places` where each word begins
+        lead = int(heads[0]) if len(heads) else len(places)
+        with np.errstate(over="ignore"):
+            if lead:  # the rest of a word of the slice before
+                done = int(every_length[-1][-1])
+                every_sum[-1][-1] += (_BYTE[low[:lead]] * _factors(done, done + lead)).sum(dtype=np.uint64)
+                every_length[-1][-1] += lead
+            if len(heads):
+                lengths = np.diff(np.append(heads, len(places)))
+                place = np.arange(lead, len(places)) - np.repeat(heads, lengths)
+                every_sum.append(np.add.reduceat(_BYTE[low[places[lead:]]] * _places(int(lengths.max()))[place], heads - lead))
+                every_start.append(places[heads] + at)
+                every_length.append(lengths)
+    if not every_sum:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
+    starts, lengths = np.concatenate(every_start), np.concatenate(every_length)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[low[at]] * _places(int(lengths.max()))[place], heads)
-        hashes = mix(sums + lengths.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        hashes = mix(np.concatenate(every_sum) + lengths.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
     return hashes, np.searchsorted(starts, offsets), starts, lengths
 
 
@@ -177,19 +203,28 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray
 
     A text of fewer words, but not none, has its whole sequence as its only shingle.
     """
-    counts = np.diff(firsts)
-    n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    text = np.repeat(np.arange(len(counts)), n)
-    begin = firsts[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    size = np.minimum(counts[text], k)
-    sums = np.zeros(len(text), np.uint64)
+    begins, ends, n = firsts[:-1], firsts[1:], len(hashes)
+    sums = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(k):
-            has = size > j
-            sums[has] = mix(sums[has] * _U(0x9FB21C651E98DF25) + hashes[begin[has] + j] + _U(j))
-    order = np.lexsort((sums, text))
-    sums, text = sums[order], text[order]
+        for at in range(0, n, SLICE):
+            part = sums[at : at + SLICE]
+            for j in range(k):
+                words = hashes[at + j : at + j + len(part)]  # short at the end, where no shingle begins
+                part[: len(words)] = mix(part[: len(words)] * _U(0x9FB21C651E98DF25) + words + _U(j))
+        valid = np.ones(n, bool)
+        for j in range(1, k):
+            valid[(ends - j)[ends - j >= begins]] = False
+        for size in range(1, k):
+            short = begins[ends - begins == size]
+            valid[short], whole = True, np.zeros(len(short), np.uint64)
+            for j in range(size):
+                whole = mix(whole * _U(0x9FB21C651E98DF25) + hashes[short + j] + _U(j))
+            sums[short] = whole
+    counts = ends - begins
+    sums, bounds = sums[valid], np.append(0, np.cumsum(np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        sums[a:b].sort()
     fresh = np.ones(len(sums), bool)
-    fresh[1:] = (sums[1:] != sums[:-1]) | (text[1:] != text[:-1])
-    sums, text = sums[fresh], text[fresh]
-    return sums, np.searchsorted(text, np.arange(len(counts) + 1))
+    fresh[1:] = sums[1:] != sums[:-1]
+    fresh[bounds[:-1][counts > 0]] = True
+    return sums[fresh], np.append(0, np.cumsum(fresh))[bounds]

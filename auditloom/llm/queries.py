@@ -57,7 +57,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"))
+    return classify(table(spark, sf_dir, "documents"), labelled=table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from auditloom.llm.common import id_and_text, pieces_of, record_batch, with_id
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-#: Distinct words that a Python worker remembers; it forgets them all when there are more.
-REMEMBERED = 400_000
+#: Distinct words, of LONG characters at most, and pairs of tokens that a task remembers (some 40 MB
+#: each); it forgets them all when there are more, and when it ends.
+REMEMBERED, PAIRS, LONG = 120_000, 400_000, 64
 
 
 def load_model(path: str) -> dict:
@@ -84,7 +85,7 @@ class PrefixTable:
         if fits is None:
             a, b = self.pieces[left], self.pieces[right]
             fits = self.fits[key] = self.merged(a + b) == [a, b]
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
         return fits
 
@@ -177,7 +178,7 @@ class PrefixTable:
         if found is None:
             ids = self.ids(word)
             found = ("".join(f" {i}" for i in ids).encode(), len(ids), self.decode(ids))
-            if len(word) <= 64:
+            if len(word) <= LONG:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[word] = found
@@ -254,6 +255,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 for column, value in zip(rows, row):
                     column.append(value)
             yield record_batch(schema, batch.column(0), *rows)
+        table.known.clear()
+        table.fits.clear()
 
     out = id_and_text(docs, id_col, text_col).mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if with_text else ""))
     return out.select(with_id(), *[F.col(n) for n, _ in fields[1:]])

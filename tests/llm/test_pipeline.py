@@ -44,6 +44,7 @@ def written(spark, tmp_path, rows, items):
     df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     df = df.withColumn("kept", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("node", F.lit(2))
     df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
 

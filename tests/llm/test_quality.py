@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from auditloom.llm.quality import LABELLERS, classify, fit_labels, fit_scorer, keep_good, pattern_of, votes_of
+from auditloom.llm.quality import FORM, LABELLERS, classify, fit_labels, fit_scorer, keep_good, pattern_of, votes_of
 from tests.llm.conftest import prose
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -19,7 +19,7 @@ def test_em_finds_the_accuracies_that_votes_were_drawn_with():
     truth, right, speaks = rng.random(40_000) < 0.7, np.array([0.95, 0.9, 0.9, 0.85, 0.8, 0.9, 0.75, 0.95]), 0.8
     votes = np.where(rng.random((40_000, 8)) < right, 1, -1) * np.where(truth, 1, -1)[:, None] * (rng.random((40_000, 8)) < speaks)
     patterns, counts = np.unique(pattern_of(votes), return_counts=True)
-    model = fit_labels(votes_of(patterns), counts.astype(float))
+    model = fit_labels(votes_of(patterns)[:, : len(FORM)], counts.astype(float))
     assert np.abs(np.array(list(model.accuracy().values())) - right).max() < 0.03 and abs(model.prior - 0.7) < 0.02
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.97
 
