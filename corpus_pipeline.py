@@ -45,7 +45,7 @@ def _without(keyed: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return keep_good(docs)
+    return keep_good(docs, labelled=table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
