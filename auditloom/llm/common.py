@@ -6,6 +6,7 @@ of a table, whatever they are called, neither reach nor clash with a result.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -66,12 +67,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/auditloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at a time: rows of packed columns are of some kilobytes, and
+#: both sides hold a batch of each column in whole.
+BATCH_ROWS = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run meanwhile send Python workers BATCH_ROWS rows at a time, or fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: this cuts the lineage,
     and a lost executor costs no recomputation. The files stay until the folder is cleared."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

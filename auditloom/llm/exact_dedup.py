@@ -10,13 +10,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import fixed, id_and_text, materialise, partitions, record_batch, with_id
+from auditloom.llm.common import LOWER, byte_view, fixed, id_and_text, materialise, partitions, pieces_of, record_batch, with_id
 
 #: A run's entry: the digest as four numbers (little-endian, as numpy makes fields native when
 #: it joins runs), the text's length in bytes (a check on the digest), the id that stays so
 #: far, and how many rows it stands for.
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("size", "<i8"), ("keep", "<i8"), ("n", "<i8")])
 _KEY = ("a", "b", "c", "d", "size")
+#: Rows of the table for each digest range, so that a range's run is some 14 MB whatever the
+#: table's size; and entries that a task holds before it sends its runs.
+RANGE_ROWS, TASK_ENTRIES = 250_000, 1_000_000
 
 _DIGEST = pa.schema([("_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary())])
 _RUN = pa.schema([("range", pa.int64()), ("slot", pa.int64()), ("run", pa.binary())])
@@ -24,43 +27,83 @@ _GROUP = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("keep_id", p
 
 
 def _digests(batches):
-    for batch in batches:
-        texts = [t.encode().lower() for t in batch.column(1).to_pylist()]  # bytes.lower() touches A-Z only
-        yield record_batch(_DIGEST, batch.column(0), [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts])
+    for batch in pieces_of(batches):
+        data, offsets = byte_view(batch.column(1))
+        view, ends = memoryview(LOWER[data]), offsets.tolist()
+        yield record_batch(_DIGEST, batch.column(0), np.diff(offsets), [hashlib.sha256(view[a:b]).digest() for a, b in zip(ends[:-1], ends[1:])])
 
 
-def merge_runs(runs: list[np.ndarray], largest: bool) -> np.ndarray:
-    """Merge sorted runs into one with an entry for each (digest, length): the smallest (or
-    largest) id and the sum of the counts."""
-    every = np.concatenate(runs) if runs else np.zeros(0, ENTRY)
-    every = every[np.lexsort([every[k].astype(np.int64 if k == "size" else np.uint64) for k in reversed(_KEY)])]
+def _native(run: np.ndarray, key: str) -> np.ndarray:
+    return run[key].astype(np.int64 if key in ("size", "keep", "n") else np.uint64)
+
+
+def sorted_run(entries: np.ndarray, largest: bool) -> np.ndarray:
+    """Entries in any order as a run."""
+    return folded(entries[np.lexsort([_native(entries, k) for k in reversed(_KEY)])], largest)
+
+
+def _merged_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two sequences ordered by `a` as one; each entry moves to its place, nothing is sorted."""
+    out, at = np.empty(len(x) + len(y), ENTRY), np.searchsorted(_native(x, "a"), _native(y, "a"), "right") + np.arange(len(y))
+    own = np.ones(len(out), bool)
+    own[at] = False
+    out[at], out[own] = y, x
+    return out
+
+
+def folded(every: np.ndarray, largest: bool) -> np.ndarray:
+    """Entries ordered by `a` with one left for each (digest, length): equal ones, verified by the
+    whole digest and the length, become the smallest (or largest) id and the sum of the counts."""
     if not len(every):
         return every
-    new = np.ones(len(every), bool)
-    new[1:] = np.any([every[k][1:] != every[k][:-1] for k in _KEY], axis=0)
-    heads = np.flatnonzero(new)
+    a = _native(every, "a")
+    same = a[1:] == a[:-1]
+    differ = np.any([every[k][1:] != every[k][:-1] for k in _KEY[1:]], axis=0)
+    if np.any(same & differ):  # equal in the first quarter of the digest only: order these by the rest
+        every = every[np.lexsort([_native(every, k) for k in reversed(_KEY)])]
+        same, differ = every["a"][1:] == every["a"][:-1], np.any([every[k][1:] != every[k][:-1] for k in _KEY[1:]], axis=0)
+    heads = np.flatnonzero(np.append(True, ~same | differ))
     out = every[heads]
-    out["keep"] = (np.maximum if largest else np.minimum).reduceat(every["keep"].astype(np.int64), heads)
-    out["n"] = np.add.reduceat(every["n"].astype(np.int64), heads)
+    out["keep"] = (np.maximum if largest else np.minimum).reduceat(_native(every, "keep"), heads)
+    out["n"] = np.add.reduceat(_native(every, "n"), heads)
     return out
 
 
+def merge_runs(runs: list[np.ndarray], largest: bool) -> np.ndarray:
+    """Merge sorted runs into one, two neighbours at a time until one is left, with an entry for
+    each (digest, length): the smallest (or largest) id and the sum of the counts."""
+    runs = list(runs) or [np.zeros(0, ENTRY)]
+    while len(runs) > 1:
+        runs = [folded(_merged_two(*runs[i : i + 2]), largest) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
 def _leaf_runs(ranges: int, largest: bool):
+    def send(runs):
+        run = merge_runs(runs, largest)
+        of = ((_native(run, "a") >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.diff(of.astype(np.int64))) + 1
+        parts = np.split(run, cuts) if len(run) else []
+        slot = TaskContext.get().partitionId()
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            yield record_batch(_RUN, of[np.append(0, cuts)][at : at + 5000].astype(np.int64), [slot] * len(some), [fixed(p) for p in some])
+
     def leaf(batches):
-        runs = []
+        runs, n = [], 0
         for batch in batches:
             part = np.zeros(batch.num_rows, ENTRY)
             words = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").reshape(-1, 4)
             for i, k in enumerate("abcd"):
                 part[k] = words[:, i]
             part["size"], part["keep"], part["n"] = batch.column(1).to_numpy(), batch.column(0).to_numpy(), 1
-            runs.append(merge_runs([part], largest))
-        run = merge_runs(runs, largest)
-        of = ((run["a"].astype(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(of.astype(np.int64))) + 1
-        parts = np.split(run, cuts) if len(run) else []
-        slot = TaskContext.get().partitionId()
-        yield record_batch(_RUN, [int(p[0]) for p in np.split(of, cuts)] if parts else [], [slot] * len(parts), [fixed(p) for p in parts])
+            runs.append(sorted_run(part, largest))
+            n += len(runs[-1])
+            if n >= TASK_ENTRIES:
+                yield from send(runs)
+                runs, n = [], 0
+        if runs:
+            yield from send(runs)
 
     return leaf
 
@@ -89,7 +132,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests into runs, one for each digest range, and folds its own copies. Then runs of the
     same range meet `fan_in` at a time, round by round (a binomial tree for 2), until each
     range has one; each merge keeps the smallest or largest id of equal digests, verified by
-    the texts' lengths. So a group of any size is one entry for each partition before
+    the texts' lengths. There is a range for each RANGE_ROWS rows, so no run outgrows a task,
+    and a partition of very many rows sends several runs. So a group of any size is one entry for each partition before
     anything is shuffled, and a range holds distinct texts only. Lastly the groups of two or
     more join the documents again, where Spark splits a frequent digest.
 
@@ -101,7 +145,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("keep is 'smallest' or 'largest', fan_in at least 2")
     largest, spark = keep == "largest", docs.sparkSession
     digests = materialise(id_and_text(docs, id_col, text_col).mapInArrow(_digests, "_id long, size long, digest binary"), "digests")
-    runs = digests.mapInArrow(_leaf_runs(partitions(spark), largest), "range long, slot long, run binary")
+    ranges = min(1 << 31, max(partitions(spark), -(-digests.count() // RANGE_ROWS)))
+    runs = digests.mapInArrow(_leaf_runs(ranges, largest), "range long, slot long, run binary")
     slots = digests.rdd.getNumPartitions()
     while slots > 1:
         slots = -(-slots // fan_in)

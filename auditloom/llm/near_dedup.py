@@ -84,9 +84,8 @@ def _confirmed(percent: int):
     def confirm(batches):
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+            for x, y in zip(batch.column(2), batch.column(3)):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 kept.append(100 * common >= percent * (len(both) - common))
@@ -186,7 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Each set is signed with bands * rows minima; `rows` minima make a bucket key. A pair at
        0.8 shares none of 72 buckets of 7 with probability 4e-8, and texts that share only a
        passage, however many they are, seldom share a bucket.
-    2. Equal sets are one node from here on, whatever the number of copies.
+    2. Equal sets are one node from here on, whatever the number of copies. A shingle is a hash
+       of 64 bits throughout; sets are equal by their size and two sums of 64 bits over them.
     3. In a bucket only the star from its smallest node is tested, which bounds the pairs by
        the members. Sizes that rule a link out are dropped first.
     4. Buckets whose members are not yet all in one component may hide further links. Their

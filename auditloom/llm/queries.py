@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditloom.llm import secret_scan, url_filter
 from auditloom.llm.decontaminate import contamination
@@ -53,7 +54,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))  # of rows with one id, all
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Links of a page: absolute ones, and relative ones within its host.
-HREF = r"""href=["']([^"'<>\x20]+)["']"""
+#: Links of a page, in quotes of either kind or none.
+HREF = r"""(?i)href[\x20\t\r\n]*=[\x20\t\r\n]*["']?([^"'<>\x20\t\r\n]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,15 +47,22 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def linked_host(link: Column) -> Column:
+    """The host that a link names, by scheme://host or //host; empty for relative links."""
+    return host_of(F.when(link.startswith("//"), F.concat(F.lit("x:"), link)).otherwise(link))
+
+
+def host_edges(pages: DataFrame, same_domain: bool = False) -> DataFrame:
     """(src, dst, weight): how many links the pages of one host have to another host.
 
-    Links that name a host count as such. Every host is also joined both ways to the domain
-    above it, since hosts of one domain answer for each other; that keeps graphs of pages
-    with relative links from falling apart.
+    Links that name a host count as such; relative links stay within their host. With
+    same_domain every host is also joined both ways to the domain above it, as if hosts of one
+    domain answered for each other.
     """
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("url"))
-    out = links.select("src", host_of(F.col("url")).alias("dst")).filter("dst <> '' and src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    out = links.select("src", linked_host(F.col("url")).alias("dst")).filter("dst <> '' and src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    if not same_domain:
+        return out
     hosts = pages.filter("host <> ''").select("host").distinct()
     return out.unionByName(_domain_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -68,78 +75,92 @@ def _domain_edges(hosts: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.lit(1.0).alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(host, score): personalised PageRank from seeds (host, seed), whose seed values sum to 1.
+#: Rounds between two looks at what is still on its way, each of which writes the ranks out.
+LOOK = 8
+
+
+def most_rounds(damping: float, tolerance: float) -> int:
+    """After so many rounds, a multiple of LOOK, less than `tolerance` of the mass is on its way,
+    since each round passes on `damping` of it at most."""
+    return LOOK * math.ceil(math.log(tolerance) / math.log(damping) / LOOK)
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, host, score): personalised PageRank, each kind on its own graph.
 
-    Each round adds up what the hosts that link to a host pass on; a host's score is spread by
-    link weight. Hosts without links pass nothing on.
+    edges (kind, src, dst, weight); seeds (kind, host, seed), whose values sum to 1 in each
+    kind. Mass starts at the seeds; a host keeps 1 - damping of what reaches it as score and
+    passes the rest on, by link weight. It goes on until less than `tolerance` is on its way in
+    every kind. What reaches a host without links would go back to the seeds; that only scales
+    all scores of a kind, so they are scaled to the sum 1 at the end instead.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for i in range(rounds):
-        passed = shares.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = passed.join(seeds, "host", "full").select("host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.coalesce("seed", F.lit(0.0))).alias("score"))
-        if i % 4 == 3 or i == rounds - 1:
-            score = materialise(score, "rank")
-    return score
-
-
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int = 10, damping: float = 0.85, margin: float = 1.0) -> DataFrame:
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    shares = materialise(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")), "shares")
+    state = seeds.select("kind", "host", F.col("seed").alias("moving"), F.lit(0.0).alias("score"))
+    for i in range(most_rounds(damping, tolerance)):
+        passed = shares.join(state, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("moving")).alias("moving"), F.lit(0.0).alias("score"))
+        kept = state.select("kind", "host", F.lit(0.0).alias("moving"), (F.col("score") + (1 - damping) * F.col("moving")).alias("score"))
+        state = passed.union(kept).groupBy("kind", "host").agg(F.sum("moving").alias("moving"), F.sum("score").alias("score"))
+        if i % LOOK == LOOK - 1:
+            state = materialise(state, "rank")
+            if all(r[0] <= tolerance for r in state.groupBy("kind").agg(F.sum("moving")).select("sum(moving)").collect()):
+                break
+    total = state.groupBy("kind").agg(F.sum("score").alias("total"))
+    return state.join(F.broadcast(total), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))  # a row for each kind
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = 0.85, margin: float = 1.0, tolerance: float = 1e-6, same_domain: bool = False) -> DataFrame:
     """For each row: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest rule that fits the host (or a domain above it) and the start of the path gives
     the verdict. Without a rule the host's place in the link graph decides: trust flows from
     hosts of pages that rules allow along the links, distrust from hosts of pages that rules
-    block against the links; a host is blocked if distrust > margin * trust (by more than rounding).
+    block against the links; a host is blocked if distrust > margin * trust. Both are shares of
+    1, and their comparison leaves out a relative difference of 1e-9, which rounding may make.
 
     Seeds weigh as many pages as they stand for. Edges and ranks are tables of hosts, summed
     on the map side; a host with very many pages is one row of them. A url that is null or has
     no :// has an empty host and path and is allowed, with no trust and no distrust. A null
     html has no links. A null page_id stays null, rows that repeat a page_id each get a row,
-    an empty table gives no rows.
+    an empty table gives no rows. same_domain: see host_edges().
     """
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     fitted = rows.withColumn("fit", best_rule(F.col("host"), F.col("path"), rules))
-    edges = materialise(host_edges(rows), "edges")
-    counted = materialise(fitted.filter("fit is not null and host <> ''").groupBy("host", F.col("fit.verdict").alias("verdict")).agg(F.count("*").alias("n")), "seeds")
-    ranks = []
-    for verdict, name, graph in (("allow", "trust", edges), ("block", "distrust", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
-        own = counted.filter(F.col("verdict") == verdict)
-        total = own.agg(F.sum("n")).first()[0] or 1
-        seeds = own.select("host", (F.col("n") / F.lit(total)).alias("seed"))
-        ranks.append(personalised_rank(graph, seeds, rounds, damping).withColumnRenamed("score", name))
-    scores = functools.reduce(lambda a, b: a.join(b, "host", "full"), ranks)
+    edges = materialise(host_edges(rows, same_domain), "edges")
+    both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), "dst", "src", "weight"))
+    counted = fitted.filter("fit is not null and host <> ''").groupBy(F.col("fit.verdict").alias("kind"), "host").agg(F.count("*").alias("n"))
+    counted = materialise(counted, "seeds")
+    totals = counted.groupBy("kind").agg(F.sum("n").alias("total"))
+    seeds = counted.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))  # a row for each kind
+    ranks = personalised_rank(both, seeds, damping, tolerance)
+    scores = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == kind, F.col("score"))).alias(name) for kind, name in (("allow", "trust"), ("block", "distrust"))])
     joined = fitted.drop("html").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("fit.verdict", F.when(distrust > margin * trust + 1e-9, "block").otherwise("allow"))
+    verdict = F.coalesce("fit.verdict", F.when((distrust > 0) & (distrust > margin * trust * (1 + 1e-9)), "block").otherwise("allow"))
     return joined.select(with_id("_id", "page_id"), "host", "path", F.col("fit.name").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
-def oracle_sql(rules: tuple[tuple[str, str, str], ...] = RULES, rounds: int = 10, damping: float = 0.85, margin: float = 1.0) -> str:
-    """page_id, host, path, rule, verdict over `pages`, for DuckDB; the rounds are written out."""
+def oracle_sql(rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = 0.85, margin: float = 1.0, tolerance: float = 1e-6) -> str:
+    """page_id, host, path, rule, verdict over `pages`, for DuckDB."""
     href = HREF.replace("'", "''")
     host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    parts = [
-        f"rows AS MATERIALIZED (SELECT page_id, {host('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages)",
-        f"fitted AS MATERIALIZED (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS fit FROM rows)",
-        f"links AS (SELECT host AS src, {host('u')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS u FROM rows))",
-        "chain AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM rows WHERE contains(host, '.')),"
-        " steps AS (SELECT array_to_string(l[i:], '.') AS low, array_to_string(l[i + 1:], '.') AS high FROM (SELECT l, unnest(range(1, len(l))) AS i FROM chain)),"
-        " pairs AS (SELECT DISTINCT low, high FROM steps WHERE contains(high, '.'))",
-        "edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE dst <> '' AND src <> dst AND src <> '' GROUP BY 1, 2"
-        " UNION ALL SELECT low, high, 1.0::DOUBLE FROM pairs UNION ALL SELECT high, low, 1.0::DOUBLE FROM pairs) GROUP BY 1, 2)",
-    ]
-    for verdict, name, a, b in (("allow", "t", "src", "dst"), ("block", "d", "dst", "src")):
-        parts.append(f"{name}s AS MATERIALIZED (SELECT host, count(*) / sum(count(*)) OVER () AS seed FROM fitted WHERE fit = '{verdict}' AND host <> '' GROUP BY host)")
-        parts.append(f"{name}e AS MATERIALIZED (SELECT {a} AS src, {b} AS dst, weight / sum(weight) OVER (PARTITION BY {a}) AS share FROM edges)")
-        parts.append(f"{name}0 AS (SELECT host, seed AS score FROM {name}s)")
-        for i in range(rounds):
-            parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT coalesce(g.host, s.host) AS host, {damping} * coalesce(got, 0) + {1 - damping} * coalesce(seed, 0) AS score FROM (SELECT dst AS host, sum(share * score) AS got FROM {name}e JOIN {name}{i} ON host = src GROUP BY 1) g FULL JOIN {name}s s ON g.host = s.host)")
     return f"""
-WITH {", ".join(parts)}
-SELECT page_id, f.host, path, rule, coalesce(fit, CASE WHEN coalesce(d.score, 0) > {margin} * coalesce(t.score, 0) + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
-FROM fitted f LEFT JOIN t{rounds} t ON t.host = f.host LEFT JOIN d{rounds} d ON d.host = f.host
+WITH RECURSIVE rows AS MATERIALIZED (SELECT page_id, {host('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+fitted AS MATERIALIZED (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS fit FROM rows),
+links AS (SELECT src, {host("CASE WHEN starts_with(u, '//') THEN 'x:' || u ELSE u END")} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS u FROM rows)),
+edges AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE dst <> '' AND src <> dst AND src <> '' GROUP BY 1, 2),
+graph AS MATERIALIZED (SELECT kind, src, dst, {damping} * weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM (SELECT 'allow' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'block', dst, src, weight FROM edges)),
+seeds AS MATERIALIZED (SELECT fit AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY fit) AS seed FROM fitted WHERE fit IS NOT NULL AND host <> '' GROUP BY 1, 2),
+moves AS (SELECT 0 AS i, kind, host, seed AS moving FROM seeds
+  UNION ALL SELECT i + 1, kind, host, sum(m) AS moving FROM (SELECT v.i, v.kind, g.dst AS host, g.share * v.moving AS m FROM moves v JOIN graph g ON g.kind = v.kind AND g.src = v.host WHERE v.i < {most_rounds(damping, tolerance)}) GROUP BY 1, 2, 3),
+mass AS (SELECT i, kind, sum(moving) AS mass FROM moves GROUP BY ALL),
+looks AS (SELECT unnest(range({LOOK}, {most_rounds(damping, tolerance) + 1}, {LOOK})) AS i),
+stop AS (SELECT min(i) AS last FROM looks WHERE i = {most_rounds(damping, tolerance)} OR NOT EXISTS (SELECT 1 FROM mass WHERE mass.i = looks.i AND mass > {tolerance})),
+scores AS (SELECT kind, host, {1 - damping} * sum(moving) AS score FROM moves, stop WHERE i < last GROUP BY ALL),
+ranks AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM scores),
+hosts AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'block'), 0) AS distrust FROM ranks GROUP BY host)
+SELECT page_id, f.host, path, rule, coalesce(fit, CASE WHEN distrust > 0 AND distrust > {margin} * trust * (1 + 1e-9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitted f LEFT JOIN hosts h ON h.host = f.host
 """

@@ -3,7 +3,10 @@ from collections import defaultdict
 
 import pytest
 
-from auditloom.llm.exact_dedup import exact_duplicates
+import numpy as np
+
+from auditloom.llm import exact_dedup as module
+from auditloom.llm.exact_dedup import ENTRY, exact_duplicates, merge_runs, sorted_run
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -39,3 +42,23 @@ def test_empty_table_and_wrong_arguments(docs_of):
     assert exact_duplicates(docs_of([])).count() == 0
     with pytest.raises(ValueError):
         exact_duplicates(docs_of([]), keep="any")
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_runs_merge_like_one_sort(largest):
+    """Few values in each field, so that digests that differ only in a later quarter meet too."""
+    rng = np.random.default_rng(3)
+    every = np.zeros(4000, ENTRY)
+    for k in ENTRY.names:
+        every[k] = rng.integers(0, 2**40 if k == "keep" else 3, len(every))
+    got = merge_runs([sorted_run(x, largest) for x in np.split(every, [10, 10, 700, 701, 3000])], largest)
+    want = defaultdict(list)
+    for e in every.tolist():
+        want[e[:5]].append(e[5:])
+    assert [(e[:5], e[5], e[6]) for e in got.tolist()] == [(k, (max if largest else min)(x for x, _ in v), sum(n for _, n in v)) for k, v in sorted(want.items())]
+
+
+def test_ranges_and_runs_of_few_rows(docs_of, odd_rows, monkeypatch):
+    monkeypatch.setattr(module, "RANGE_ROWS", 7)
+    rows = odd_rows + [(100 + i, f"text {i % 50}") for i in range(200)]
+    assert sorted([tuple(r) for r in exact_duplicates(docs_of(rows)).collect()], key=repr) == brute(rows, "smallest")
