@@ -38,8 +38,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(keyed: DataFrame, judged: DataFrame, keep: str) -> DataFrame:
-    """keyed, less its key, without the rows that judged (doc_id, which holds the key, and keep) doesn't keep."""
-    gone = judged.filter(~F.col(keep)).select(F.col("doc_id").alias("_gone"))
+    """keyed, less its key, without the rows that judged (doc_id, which holds the key, and keep) doesn't keep.
+
+    The keys that go are written out first: then Spark knows their size before it plans the
+    join, and texts are shuffled only where the keys are too many to send to all executors."""
+    gone = materialise(judged.filter(~F.col(keep)).select(F.col("doc_id").alias("_gone")), "gone")
     return keyed.join(gone, keyed[_KEY].eqNullSafe(gone["_gone"]), "left_anti").drop(_KEY)
 
 
