@@ -73,23 +73,23 @@ BATCH_ROWS = 2000
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans that are run meanwhile send Python workers BATCH_ROWS rows at a time, or fewer."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Plans that are run meanwhile send Python workers `rows` rows at a time, or fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: this cuts the lineage,
     and a lost executor costs no recomputation. The files stay until the folder is cleared."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,8 +14,14 @@ from auditloom.llm.sentencepiece_bpe import load_model
 SPACE = "▁"
 #: Log-probabilities are whole numbers of this size, so that sums of them are exact.
 UNIT = 1 << 20
-#: Distinct words that a Python worker remembers; it forgets them all when there are more.
-REMEMBERED = 400_000
+#: Nodes of the trie that a Python worker keeps, some 100 MB with their words; when there are
+#: more, it starts afresh.
+NODES = 400_000
+#: Characters of the longest words that go into the trie; longer ones, which share no more than
+#: that with others as a rule, are scored in the same way with as many values as a piece is long.
+LONG = 200
+#: Bytes of text whose words go in at a time.
+PIECE_BYTES = 1 << 20
 
 
 def unigram_scores(path: str) -> dict[str, int]:
@@ -28,52 +34,97 @@ def unigram_scores(path: str) -> dict[str, int]:
 
 
 class PrefixTrie:
-    """Forward scores of words: in a trie of the words, the best score of a segmentation of a
-    prefix, and its number of tokens, belong to the node of the prefix and are computed once.
+    """A trie of words. A node is a prefix, and holds the best score of a segmentation of it (the
+    forward score) and its number of tokens; both are computed once, when the first word with
+    that prefix comes, and stay for all words to come. A word's terminal count is that of its
+    node. Pieces that end at a place are found by an automaton.
 
-    The words of a batch go in sorted, so the trie is walked in depth-first order and only the
-    path to the last word is held: a new word keeps the nodes of its common prefix with the
-    one before. At a word's end, its terminal count is stored. A character that no piece holds
-    counts as its UTF-8 bytes, at a score below all pieces'. Of equal scores, fewer tokens win.
+    A character that no piece holds counts as its UTF-8 bytes, at a score below all pieces'. Of
+    equal scores, fewer tokens win.
     """
 
     def __init__(self, scores: dict[str, int]) -> None:
+        import ahocorasick
+
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0) - 10 * UNIT
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in scores.items():
+            self.automaton.add_word(piece, (len(piece), score))
+        self.automaton.make_automaton()
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # node << 21 | character: node
+        self.best, self.count = [0], [0]
         self.terminal: dict[str, int] = {}
 
     def insert(self, words: list[str]) -> None:
-        """Store the terminal counts of some words."""
-        scores, longest = self.scores, self.longest
-        best: list[int] = [0]  # by depth on the path
-        count: list[int] = [0]
-        last = ""
+        """Put words in and store their terminal counts. They go in sorted, so that most of a
+        word's path is that of the word before."""
+        child, best, count = self.child, self.best, self.count
+        path, last = [0], ""
         for word in sorted(words):
-            n = min(len(word), len(last))
-            same = 0
-            while same < n and word[same] == last[same]:
-                same += 1
-            del best[same + 1 :], count[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                c = word[end - 1]
-                top, fewest = (best[end - 1] + self.unknown, count[end - 1] + len(c.encode())) if c not in scores else (None, 0)
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(word[start:end])
-                    if s is not None:
-                        s += best[start]
-                        if top is None or s > top or (s == top and count[start] + 1 < fewest):
-                            top, fewest = s, count[start] + 1
-                best.append(top)
-                count.append(fewest)
-            self.terminal[word] = count[-1]
-            last = word
+            if len(word) > LONG:
+                self.terminal[word] = self._alone(word)
+                continue
+            n, depth = min(len(word), len(last)), 0
+            while depth < n and word[depth] == last[depth]:
+                depth += 1
+            del path[depth + 1 :]
+            last, n = word, len(word)
+            while depth < n and (node := child.get(path[-1] << 21 | ord(word[depth]))) is not None:
+                path.append(node)
+                depth += 1
+            if depth < n:
+                self._extend(word, depth, path)
+            self.terminal[word] = count[path[-1]]
+
+    def _extend(self, word: str, depth: int, path: list[int]) -> None:
+        """New nodes for what follows the first `depth` characters of a word, whose nodes are path."""
+        best, count, scores = self.best, self.count, self.scores
+        ending: list[list[tuple[int, int]]] = [[] for _ in range(len(word) - depth)]
+        if len(scores):
+            for at, piece in self.automaton.iter(word, max(0, depth + 1 - self.longest)):
+                if at >= depth:
+                    ending[at - depth].append(piece)
+        for end, pieces in enumerate(ending, depth + 1):
+            c = word[end - 1]
+            top, fewest = (best[path[-1]] + self.unknown, count[path[-1]] + len(c.encode())) if c not in scores else (None, 0)
+            for size, score in pieces:
+                node = path[end - size]
+                score += best[node]
+                if top is None or score > top or (score == top and count[node] + 1 < fewest):
+                    top, fewest = score, count[node] + 1
+            self.child[path[-1] << 21 | ord(c)] = len(best)
+            path.append(len(best))
+            best.append(top)
+            count.append(fewest)
+
+    def _alone(self, word: str) -> int:
+        """The token count of a word that stays out of the trie."""
+        scores, kept = self.scores, max(self.longest, 1) + 1
+        best, count = [0] * kept, [0] * kept  # of the last places, by place % kept
+        pieces = self.automaton.iter(word) if len(scores) else iter(())
+        at, piece = next(pieces, (len(word), None))
+        for end, c in enumerate(word, 1):
+            before = (end - 1) % kept
+            top, fewest = (best[before] + self.unknown, count[before] + len(c.encode())) if c not in scores else (None, 0)
+            while at == end - 1:
+                size, score = piece
+                score += best[(end - size) % kept]
+                if top is None or score > top or (score == top and count[(end - size) % kept] + 1 < fewest):
+                    top, fewest = score, count[(end - size) % kept] + 1
+                at, piece = next(pieces, (len(word), None))
+            best[end % kept], count[end % kept] = top, fewest
+        return count[len(word) % kept]
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Terminal counts of distinct words; those not yet in the trie are put in."""
         missing = [w for w in words if w not in self.terminal]
-        if len(self.terminal) + len(missing) > REMEMBERED:
-            self.terminal.clear()
+        if len(self.best) + 4 * len(missing) > NODES and len(self.best) > 1:
+            self.clear()
             missing = words
         self.insert(missing)
         return self.terminal
@@ -105,7 +156,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     their best unigram segmentations.
 
     Distinct pre-tokens of some 4 MB of text at a time go into the trie that a Python worker
-    keeps, so frequent words are scored once a worker. Rows are independent: no shuffle, only
+    keeps from batch to batch and task to task, so a prefix is scored once a worker, as long as
+    NODES hold all of them. Rows are independent: no shuffle, only
     the vocabulary is sent. Null or empty text: 0 and 0. A null doc_id stays null, rows that
     repeat a doc_id each get a row, an empty table gives none.
     """
@@ -114,7 +166,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches):
         trie = _trie(key, sent.value)
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 1, PIECE_BYTES):
             texts = [pretokens(t) for t in batch.column(1).to_pylist()]
             found = trie.counts(list({w for t in texts for w in t}))
             yield record_batch(schema, batch.column(0), [len(t) for t in texts], [sum(map(found.__getitem__, t)) for t in texts])
@@ -132,7 +184,7 @@ def pretoken_counts(docs: DataFrame, model_path: str, text_col: str = "text") ->
         from collections import Counter
 
         trie = _trie(key, sent.value)
-        for batch in pieces_of(batches, 0):
+        for batch in pieces_of(batches, 0, PIECE_BYTES):
             times = Counter(w for t in batch.column(0).to_pylist() for w in pretokens(t))
             found = trie.counts(list(times))
             yield record_batch(schema, list(times), list(times.values()), [found[w] for w in times])

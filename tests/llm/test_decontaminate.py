@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -66,3 +67,48 @@ def test_proximity_matches_in_any_order(docs_of):
 def test_empty_tables(docs_of):
     assert contamination(docs_of([]), docs_of([(1, "a b")], "item_id")).count() == 0
     assert [r.contaminated for r in contamination(docs_of([(1, "a b")]), docs_of([], "item_id")).collect()] == [False]
+
+
+def near_brute(docs, items, size, slop=5):
+    """Items with a window whose words all stand within length + slop words of one of its rarest word."""
+    texts = [words(t) for _, t in docs]
+    times = Counter(w for t in texts for w in t)
+    windows = defaultdict(set)
+    for name, text in items:
+        w = words(text)
+        n = min(size, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add("" if name is None else str(name))
+    out = []
+    for (doc, _), t in zip(docs, texts):
+        where, found = defaultdict(list), set()
+        for i, w in enumerate(t):
+            where[w].append(i)
+        for window, names in windows.items():
+            least = min(times[w] for w in window)
+            for rare in {w for w in window if times[w] == least}:
+                if any(all(any(abs(j - i) <= len(window) + slop for j in where[w]) for w in window) for i in where[rare]):
+                    found |= names
+        out.append((doc, len(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("postings,block", [(1 << 20, 250_000), (7, 40)])
+def test_proximity_and_bounded_parts_against_brute_force(docs_of, odd_rows, monkeypatch, postings, block):
+    """One word of each window is in few texts, so that its rarest word is plain."""
+    monkeypatch.setattr(module, "POSTINGS", postings)
+    monkeypatch.setattr(module, "BLOCK_WORDS", block)
+    rng = random.Random(12)
+    items = [(i, f"rare{i} {prose(i, 6)}") for i in range(8)] + [(3, f"rare3 {prose(50, 4)}"), (None, "rare0 stone")]
+    docs = odd_rows[:-2] + [(100 + i, " ".join(rng.sample((prose(i, 30) + " " + items[i % 8][1]).split(), 37))) for i in range(40)]
+    docs += [(200 + i, f"{prose(i, 9)} {items[i % 8][1]} {prose(i, 9)}") for i in range(16)]
+    got = contamination(docs_of(docs), docs_of(items, "item_id"), size=7).collect()
+    assert sorted([(r.doc_id, r.n_near) for r in got], key=repr) == near_brute(docs, items, 7)
+    assert sorted([tuple(r)[:-1] for r in got], key=repr) == brute(docs, items, 7)
+
+
+def test_a_text_of_two_words_meets_many_windows(docs_of, monkeypatch):
+    monkeypatch.setattr(module, "POSTINGS", 1000)
+    rng = random.Random(13)
+    docs = [(1, " ".join(rng.choice("ab") for _ in range(5000)))]
+    check(docs_of, docs, [(k, " ".join(rng.choice("ab") for _ in range(30))) for k in range(10)], size=6)

@@ -34,6 +34,20 @@ def test_trie_against_single_words(words, scores):
     assert {w: trie.terminal[w] for w in words} == {w: best(w, scores) for w in words}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc😀", min_size=201, max_size=400), st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(-9 * UNIT, -1), max_size=12))
+def test_words_beyond_the_trie(word, scores):
+    assert PrefixTrie(scores).counts([word, word[:9]])[word] == best(word, scores)
+
+
+def test_a_prefix_is_scored_once(scores):
+    trie = PrefixTrie(scores)
+    trie.insert(["abc", "abd"])
+    nodes = len(trie.best)
+    trie.insert(["ab", "abcd"])
+    assert (nodes, len(trie.best)) == (5, 6)
+
+
 def test_against_brute_force(docs_of, odd_rows, scores):
     rows = odd_rows + [(200 + i, f"{prose(i, 60, 30)} {chr(0x4E00 + i)}ß\t😀x\n{prose(i, 5)}") for i in range(50)] + [(300, "x" * 3000), (301, "word " * 20_000)]
     want = sorted([(i, len((t or "").split()), sum(best(SPACE + w, scores) for w in (t or "").split()) if i != 301 else 20_000 * best(SPACE + "word", scores)) for i, t in rows], key=repr)
