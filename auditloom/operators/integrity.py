@@ -83,24 +83,25 @@ def quarantine_plan(files: DataFrame, mislabelled: Column | None = None, path: s
     labels), else same_class_duplicate (not the first of its label and digest, the `first`
     split before others, then by lower-cased path, then path), else mislabelled.
 
-    The label count of a digest comes from a grouping, and the rank from a window over (label,
-    digest) of those files whose digest repeats; unique files, the bulk, go through no window.
+    The label count of a digest and the first of its files come from one grouping with map-side
+    sums, and only digests that repeat are joined; no group is ranked. Rows that repeat a path
+    are the same file and are judged alike.
     """
-    counts = files.groupBy(F.col(digest).alias("_d"), F.col(label).alias("_l")).agg(F.count("*").alias("n")).groupBy("_d").agg(F.sum("n").alias("files"), F.count("*").alias("labels"))
-    repeated = counts.filter("files > 1")
-    marked = files.join(repeated, F.col(digest) == F.col("_d"), "left").drop("_d")
-    order = Window.partitionBy(label, digest).orderBy(F.when(F.col(split) == first, 0).otherwise(1), F.lower(F.col(path)), F.col(path))
-    single = marked.filter("files is null").withColumn("_rank", F.lit(1))
-    several = marked.filter("files is not null").withColumn("_rank", F.row_number().over(order))
+    order = F.struct(F.when(F.col(split) == first, 0).otherwise(1).alias("s"), F.lower(F.col(path)).alias("l"), F.col(path).alias("p"))
+    each = files.groupBy(F.col(digest).alias("_d"), F.col(label).alias("_l")).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    counts = each.groupBy("_d").agg(F.sum("n").alias("files"), F.count("*").alias("labels"), F.first("_first").alias("_first"))  # of one label where there is one
+    marked = files.join(counts.filter("files > 1"), F.col(digest) == F.col("_d"), "left").drop("_d")
     wrong = F.coalesce(mislabelled, F.lit(False)) if mislabelled is not None else F.lit(False)
-    reason = F.when(F.col("labels") > 1, "cross_class_duplicate").when(F.col("_rank") > 1, "same_class_duplicate").when(wrong, "mislabelled")
-    return single.unionByName(several).withColumn("reason", reason).drop("files", "labels", "_rank")
+    reason = F.when(F.col("labels") > 1, "cross_class_duplicate").when(F.col("_first") != order, "same_class_duplicate").when(wrong, "mislabelled")
+    return marked.withColumn("reason", reason).drop("files", "labels", "_first")
 
 
 def keep_first(files: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return files.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The first row of each key in the given (ascending) order: a minimum with map-side sums, so
+    a key of any number of rows is one row a task before the shuffle."""
+    by = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order])
+    first = files.groupBy(*keys).agg(F.min_by(F.struct(*files.columns), by).alias("_row"))
+    return first.select("_row.*")
 
 
 def verify_split(files: DataFrame, label: str = "label", split: str = "split", digest: str = "digest", family: str = "family") -> DataFrame:
@@ -125,6 +126,17 @@ def digests_with_memo(listing: DataFrame, memo: DataFrame, digest_of) -> DataFra
     return known.select(*key, "digest").unionByName(fresh.select(*key, "digest"))
 
 
+def split_direction_by_group(files: DataFrame, group: str, order: str, split: str = "split", file: str = "file") -> DataFrame:
+    """What split_direction_plan() gives for all pairs (earlier in order, later) of files of one
+    group, without the pairs: a file of train leaves if its group has one of val or test, a
+    file of val if its group has one of test or a later one of val."""
+    last = F.max(F.when(F.col(split) == "val", F.col(order))).alias("_last")
+    others = [F.bool_or(F.col(split).isin(*s)).alias(n) for s, n in ((("val", "test"), "_others"), (("test",), "_tests"))]
+    held = files.join(files.groupBy(F.col(group).alias("_g")).agg(last, *others), F.col(group) == F.col("_g"))
+    goes = F.when(F.col(split) == "train", F.col("_others")).when(F.col(split) == "val", F.col("_tests") | (F.col(order) < F.col("_last")))
+    return held.filter(goes).select(split, file).distinct()
+
+
 def split_direction_plan(pairs: DataFrame) -> DataFrame:
     """From near-duplicate pairs (split_a, file_a, split_b, file_b), the files to quarantine: the
     train side; between val and test the val side; pairs within train are left alone."""

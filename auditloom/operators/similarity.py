@@ -2,42 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.operators.scratch import stored
+
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def banded(rows: DataFrame, signature: str, limit: int, extra: list[str] | None = None) -> DataFrame:
-    """A row for each of limit + 1 disjoint bands of the signature: _band, _value.
+def bands_for(limit: int, most_probes: int = 500) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of the fewest bands of a signature whose close values are
+    most_probes in all, or fewer.
+
+    The radii are such that radius + 1, summed over the bands, is limit + 1: two signatures at
+    distance limit or less then are within its radius in at least one band (pigeonhole). Few
+    wide bands make few accidental matches; a wide radius makes many values to look up.
+    """
+    for n in range(1, limit + 2):
+        bands = [(64 * i // n, 64 * (i + 1) // n - 64 * i // n, (limit + 1) // n + (i < (limit + 1) % n) - 1) for i in range(n)]
+        if sum(math.comb(w, k) for _, w, r in bands for k in range(r + 1)) <= most_probes:
+            break
+    return bands
+
+
+def _close(width: int, radius: int) -> list[int]:
+    """All numbers of `width` bits with `radius` ones or fewer."""
+    return [sum(1 << i for i in ones) for k in range(radius + 1) for ones in itertools.combinations(range(width), k)]
+
+
+def banded(rows: DataFrame, signature: str, limit: int, probing: bool = False) -> DataFrame:
+    """A row for each band of the signature: _band, _value; probing gives one for each value of
+    the band within its radius."""
+    def rows_of(i: int, shift: int, width: int, radius: int) -> Column:
+        value = F.col(signature) if width == 64 else F.shiftrightunsigned(signature, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        values = F.transform(F.lit(_close(width, radius)), lambda m: value.bitwiseXOR(m.cast("long"))) if probing else F.array(value)
+        return F.transform(values, lambda v: F.struct(F.lit(i).alias("_band"), v.alias("_value")))
+
+    every = F.concat(*[rows_of(i, *band) for i, band in enumerate(bands_for(limit))])
+    return rows.select("*", F.explode(every).alias("_b")).select("*", "_b._band", "_b._value").drop("_b")
+
 
-    Two signatures at distance limit or less agree in at least one band (pigeonhole)."""
-    n = limit + 1
-    width = 64 // n
-    value = lambda i: F.col(signature) if n == 1 else F.shiftrightunsigned(signature, i * width).bitwiseAND(F.lit((1 << width) - 1))
-    bands = F.array(*[F.struct(F.lit(i).alias("_band"), value(i).alias("_value")) for i in range(n)])
-    return rows.select("*", F.explode(bands).alias("_b")).select("*", "_b._band", "_b._value").drop("_b")
+def near_signatures(a: DataFrame, b: DataFrame, signature: str, limit: int, equal: list[str] | None = None, self_join: bool = False) -> DataFrame:
+    """(equal columns, _sa, _sb, distance) of the distinct signatures of a and b at distance <=
+    limit; a self join gives each unordered pair once, and each signature with itself."""
+    equal = equal or []
+    cols = [*equal, signature]
+    x = banded(a.select(*cols).distinct(), signature, limit, probing=True).withColumnRenamed(signature, "_sa")
+    y = banded(b.select(*cols).distinct(), signature, limit).withColumnRenamed(signature, "_sb")
+    joined = x.join(y, ["_band", "_value", *equal])
+    joined = joined.filter("_sa <= _sb") if self_join else joined
+    return joined.select(*equal, "_sa", "_sb", hamming(F.col("_sa"), F.col("_sb")).alias("distance")).filter(F.col("distance") <= limit).distinct()
 
 
-def near_pairs(left: DataFrame, right: DataFrame, id_col: str, signature: str, limit: int, equal: list[str] | None = None, self_join: bool = False) -> DataFrame:
-    """(id_a, id_b, distance) of all pairs at distance <= limit with equal `equal` columns.
+def near_pairs(left: DataFrame, right: DataFrame, id_col: str, signature: str, limit: int, equal: list[str] | None = None, self_join: bool = False, apart: str | None = None) -> DataFrame:
+    """(id_a, id_b, distance) of all pairs at distance <= limit with equal `equal` columns, and
+    with different values of `apart` where it is given.
 
     Rows of one signature (and equal columns) are one node first, so copies don't multiply in
     the bands: nodes are joined by band, confirmed, made distinct, and expanded at the end. A
-    self join gives each unordered pair once, copies of one signature at distance 0.
+    self join gives each unordered pair once, copies of one signature at distance 0. Where
+    copies are many, near_nodes() gives the same without expanding them.
     """
     equal = equal or []
-    cols = [*equal, signature]
-    a, b = left.select(*cols).distinct(), right.select(*cols).distinct()
-    x = banded(a, signature, limit).withColumnRenamed(signature, "_sa")
-    y = banded(b, signature, limit).withColumnRenamed(signature, "_sb")
-    near = x.join(y, ["_band", "_value", *equal]).select(*equal, "_sa", "_sb", hamming(F.col("_sa"), F.col("_sb")).alias("distance")).filter(F.col("distance") <= limit).distinct()
-    ia = left.select(*equal, F.col(signature).alias("_sa"), F.col(id_col).alias("id_a"))
-    ib = right.select(*equal, F.col(signature).alias("_sb"), F.col(id_col).alias("id_b"))
+    near = near_signatures(left, right, signature, limit, equal, self_join)
+    more = [apart] if apart else []
+    ia = left.select(*equal, F.col(signature).alias("_sa"), F.col(id_col).alias("id_a"), *[F.col(c).alias("_xa") for c in more])
+    ib = right.select(*equal, F.col(signature).alias("_sb"), F.col(id_col).alias("id_b"), *[F.col(c).alias("_xb") for c in more])
     pairs = near.join(ia, [*equal, "_sa"]).join(ib, [*equal, "_sb"])
-    return (pairs.filter("id_a < id_b") if self_join else pairs).select("id_a", "id_b", "distance")
+    if apart:
+        pairs = pairs.filter("_xa <> _xb")
+    low, high = (F.least("id_a", "id_b"), F.greatest("id_a", "id_b")) if self_join else (F.col("id_a"), F.col("id_b"))
+    pairs = pairs.filter("id_a <> id_b and (_sa <> _sb or id_a < id_b)") if self_join else pairs
+    return pairs.select(low.alias("id_a"), high.alias("id_b"), "distance")
+
+
+def cross_split_groups(rows: DataFrame, split: str, signature: str, limit: int) -> DataFrame:
+    """(sig_a, split_a, n_a, sig_b, split_b, n_b, distance): distinct signatures of two splits at
+    distance <= limit, with how many rows each stands for; a signature that both splits have
+    is at distance 0. The pairs of rows are n_a * n_b each, and aren't made."""
+    nodes = rows.groupBy(split, signature).agg(F.count("*").alias("n"))
+    near = near_signatures(nodes, nodes, signature, limit, self_join=True)
+    both = near.unionByName(near.filter("_sa <> _sb").select(F.col("_sb").alias("_sa"), F.col("_sa").alias("_sb"), "distance"))
+    a, b = (nodes.select(F.col(signature).alias(f"_s{s}"), F.col(split).alias(f"split_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    joined = both.join(a, "_sa").join(b, "_sb").filter("split_a < split_b")
+    return joined.select(F.col("_sa").alias("sig_a"), "split_a", "n_a", F.col("_sb").alias("sig_b"), "split_b", "n_b", "distance")
+
+
+def signature_groups(rows: DataFrame, signature: str, split: str) -> DataFrame:
+    """Signatures of more than one row: signature, n, splits, cross (in more than one split)."""
+    each = rows.groupBy(signature, split).agg(F.count("*").alias("c")).groupBy(signature).agg(F.sum("c").cast("long").alias("n"), F.count("*").alias("splits"))
+    return each.filter("n > 1").withColumn("cross", F.col("splits") > 1)
 
 
 def near_nodes(rows: DataFrame, id_col: str, signature: str, limit: int, equal: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -60,25 +119,16 @@ def greedy_keep(rows: DataFrame, order_col: str, signature: str, limit: int) ->
     """
     spark = rows.sparkSession
     nodes = rows.groupBy(signature).agg(F.min(order_col).alias("node"))
-    edges = _stored(near_pairs(nodes, nodes, "node", signature, limit, self_join=True).select(F.col("id_a").alias("before"), F.col("id_b").alias("node")), spark)
-    state = _stored(nodes.join(edges.select("node").distinct().withColumn("bound", F.lit(True)), "node", "left").select("node", F.when(F.col("bound"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")), spark)
+    edges = stored(near_pairs(nodes, nodes, "node", signature, limit, self_join=True).select(F.col("id_a").alias("before"), F.col("id_b").alias("node")), spark)
+    state = stored(nodes.join(edges.select("node").distinct().withColumn("bound", F.lit(True)), "node", "left").select("node", F.when(F.col("bound"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")), spark)
     while not state.filter("kept is null").isEmpty():
         open_ = edges.join(state.filter("kept is null").select("node"), "node")
         seen = open_.join(state.select(F.col("node").alias("before"), F.col("kept").alias("k")), "before").groupBy("node").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("some"), F.bool_and(F.col("k").isNotNull() & ~F.coalesce("k", F.lit(False))).alias("none"))
-        state = _stored(state.join(seen, "node", "left").select("node", F.coalesce("kept", F.when(F.col("some"), False).when(F.col("none"), True)).alias("kept")), spark)
+        state = stored(state.join(seen, "node", "left").select("node", F.coalesce("kept", F.when(F.col("some"), False).when(F.col("none"), True)).alias("kept")), spark)
     firsts = state.filter("kept").select(F.col("node").alias(order_col), F.lit(True).alias("_k"))
     return rows.select(order_col).join(firsts, order_col, "left").select(order_col, F.coalesce("_k", F.lit(False)).alias("kept"))
 
 
-def _stored(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df, cut off from its lineage by a reliable checkpoint in the cluster's shared folder."""
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
-    return df.checkpoint()
-
-
 def verdict(mae: Column, same: float = 5.0, similar: float = 15.0) -> Column:
     return F.when(mae <= same, "same").when(mae <= similar, "similar").otherwise("different")
 

@@ -6,9 +6,13 @@ partitioning. compat_split() gives the order of Python's own generator instead.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.scratch import stored
+
 
 def draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
@@ -19,11 +23,50 @@ def cutoff(n: Column, share: float) -> Column:
     return F.when(n > 1, F.greatest(F.lit(1), F.least(F.floor(n * F.lit(float(share))), n - 1))).otherwise(n).cast("long")
 
 
+def _first_drawn(rows: DataFrame, by: list[str], key: str, seed: int, wanted: Column) -> DataFrame:
+    """rows with `_in`: whether a row is among the first `wanted` of its class in drawn order;
+    `wanted` is an expression of `_n`, the size of the class.
+
+    No class is sorted. Rows are counted by class and the first four digits of their draw, a
+    running sum over these counts (65,536 a class at most) finds the digits where the last
+    wanted row lies, and only the rows with just these digits are ranked.
+    """
+    drawn = rows.withColumn("_d", draw(F.col(key), seed)).withColumn("_b", F.substring("_d", 1, 4))
+    counts = drawn.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    summed = counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_upto", F.sum("_c").over(w.orderBy("_b"))).withColumn("_want", wanted.cast("long"))
+    last = summed.filter((F.col("_want") > F.col("_upto") - F.col("_c")) & (F.col("_want") <= F.col("_upto")))
+    last = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_last"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_left"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    placed = drawn.join(last, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
+    clear = placed.filter("_last is null or _b <> _last").withColumn("_in", F.coalesce(F.col("_b") < F.col("_last"), F.lit(False)))
+    edge = placed.filter("_b = _last").withColumn("_in", F.row_number().over(w.orderBy("_d", key)) <= F.col("_left"))
+    return clear.unionByName(edge).drop("_d", "_b", "_last", "_left")
+
+
+def _places(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with `_r`, the place of a row in its class in the given order, from 0, and `_n`, the
+    size of the class.
+
+    Rows are dealt into ranges of (class, order), so that a class of any size is spread over
+    tasks, numbered within each and written to the shared folder; what comes before a class's
+    rows in earlier ranges is a running sum over a row for each class and range.
+    """
+    by_order = [*by, *order]
+    numbered = rows.repartitionByRange(*by_order).sortWithinPartitions(*by_order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    numbered = stored(numbered, rows.sparkSession)
+    w = Window.partitionBy(*by)
+    starts = numbered.groupBy(*by, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    starts = starts.withColumn("_n", F.sum("_c").over(w)).withColumn("_before", F.sum("_c").over(w.orderBy("_p")) - F.col("_c"))
+    starts = starts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_first", "_n", "_before")
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.col("_p") == F.col("_q"))
+    placed = numbered.join(starts, same).withColumn("_r", F.col("_before") + F.col("_i") - F.col("_first"))
+    return placed.drop(*[f"_k{i}" for i in range(len(by))], "_p", "_i", "_q", "_first", "_before")
+
+
 def split_rows(rows: DataFrame, by: list[str], key: str, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Row-wise split within each class: the first floor(n * share) in drawn order are train."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(draw(F.col(key), seed), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.withColumn("side", F.when(F.col("_r") <= cutoff(F.col("_n"), train_share), "train").otherwise("val")).drop("_r", "_n")
+    return _first_drawn(rows, by, key, seed, cutoff(F.col("_n"), train_share)).withColumn("side", F.when(F.col("_in"), "train").otherwise("val")).drop("_in")
 
 
 def family_sizes(rows: DataFrame, label: str, family: str) -> DataFrame:
@@ -76,10 +119,8 @@ def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def sample_even(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """Up to k evenly spaced rows of each class: every max(n // k, 1)-th in order."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    return ranked.filter((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < k)).drop("_r", "_n")
+    return _places(rows, by, order).filter((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < k)).drop("_r", "_n")
 
 
 def first_n(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -92,14 +133,37 @@ def sample_quota(rows: DataFrame, label: str, key: str, target: int, seed: int =
     labels = rows.select(label).distinct()
     placed = labels.withColumn("_at", F.row_number().over(Window.orderBy(label)) - 1)  # a row for each label
     n = F.count("*").over(Window.partitionBy())
-    quota = placed.withColumn("_k", n).select(label, (F.floor(F.lit(target) / F.col("_k")) + F.when(F.col("_at") < F.lit(target) % F.col("_k"), 1).otherwise(0)).alias("_quota"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)))
-    return ranked.join(F.broadcast(quota), label).filter("_r <= _quota").drop("_r", "_quota")
+    quota = placed.withColumn("_k", n).select(F.col(label).alias("_l"), (F.floor(F.lit(target) / F.col("_k")) + F.when(F.col("_at") < F.lit(target) % F.col("_k"), 1).otherwise(0)).alias("_quota"))
+    with_quota = rows.join(quota, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    return _first_drawn(with_quota, [label, "_quota"], key, seed, F.least(F.col("_quota"), F.col("_n"))).filter("_in").drop("_in", "_quota")
 
 
 def halves(rows: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFrame:
     """half: 1 or 2 in drawn order within each class, the first half larger if the count is odd."""
-    return rows.withColumn("half", F.ntile(2).over(Window.partitionBy(*by).orderBy(draw(F.col(key), seed), key)))
+    return _first_drawn(rows, by, key, seed, F.ceil(F.col("_n") / 2)).withColumn("half", F.when(F.col("_in"), 1).otherwise(2)).drop("_in")
+
+
+def family_halves(rows: DataFrame, label: str = "label", family: str = "family", seed: int = 42) -> DataFrame:
+    """(label, family, size, half): families dealt whole to halves in drawn order within a label,
+    each to the half with fewer rows so far, the first half of equals.
+
+    The rule is a running choice, so a label's families, not its rows, meet in one task; of
+    each only the name and the count go there.
+    """
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, half = [0, 0], []
+        pdf = pdf.sort_values(["_d", family])
+        for n in pdf["size"]:
+            at = 0 if rows[0] <= rows[1] else 1
+            rows[at] += n
+            half.append(at + 1)
+        return pdf[[label, family, "size"]].assign(half=pd.Series(half, pdf.index, dtype="int32"))
+
+    sizes = family_sizes(rows, label, family).withColumn("_d", draw(F.col(family), seed))
+    types = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    return sizes.groupBy(label).applyInPandas(one, f"`{label}` {types[label]}, `{family}` {types[family]}, size long, half int")
 
 
 def dense_index(rows: DataFrame, label: str) -> DataFrame:
@@ -110,17 +174,28 @@ def dense_index(rows: DataFrame, label: str) -> DataFrame:
 def rename_collisions(rows: DataFrame, within: list[str], name: str, order: list[str], mark: str = "__dup") -> DataFrame:
     """destination: the name, or stem + mark + number + suffix for the second and later of a
     name within a folder."""
-    nth = F.row_number().over(Window.partitionBy(*within, name).orderBy(*order)) - 1
+    placed = _places(rows, [*within, name], order)
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return rows.withColumn("_nth", nth).withColumn("destination", F.when(F.col("_nth") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(mark), F.col("_nth").cast("string"), suffix))).drop("_nth")
+    return placed.withColumn("destination", F.when(F.col("_r") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(mark), F.col("_r").cast("string"), suffix))).drop("_r", "_n")
 
 
 def running_best(rows: DataFrame, order: str, value: str, patience: int) -> DataFrame:
     """For each step: the best value so far, steps since it, and whether patience has run out.
-    A curve has a row for each epoch, so one window over all of it is small."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = rows.withColumn("best", F.max(value).over(w))
-    at = F.max(F.when(F.col("fresh"), F.col(order))).over(w)
-    before = F.coalesce(F.max(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))
-    marked = best.withColumn("fresh", F.col(value) > before).withColumn("best_at", at)
+
+    Steps are dealt into ranges; windows run within a range, and what the ranges before have as
+    their best, and as the last step that was a best, is carried over from a row for each.
+    """
+    spark = rows.sparkSession
+    dealt = stored(rows.select(order, value).repartitionByRange(order).withColumn("_p", F.spark_partition_id()), spark)
+    whole, within = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_p").orderBy(order)
+
+    def carried(part: DataFrame, top: Column, name: str) -> DataFrame:
+        """part with the largest `top` of the ranges before its own; a row for each range is summed."""
+        each = part.groupBy("_p").agg(F.max(top).alias("_top"))
+        return part.join(each.select(F.col("_p"), F.max("_top").over(whole).alias(name)), "_p")
+
+    best = carried(dealt, F.col(value), "_carried").withColumn("_before", F.greatest("_carried", F.max(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf"))))
+    fresh = best.withColumn("_at", F.when(F.col(value) > F.col("_before"), F.col(order)))
+    marked = carried(fresh, F.col("_at"), "_last").withColumn("best", F.greatest("_carried", F.max(value).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    marked = marked.withColumn("best_at", F.greatest("_last", F.max("_at").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     return marked.select(order, value, "best", "best_at", (F.col(order) - F.col("best_at")).alias("since"), (F.col(order) - F.col("best_at") >= patience).alias("stop"))

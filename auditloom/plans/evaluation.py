@@ -35,7 +35,8 @@ def gate_by_group(spark, d):
 
 
 def gate_pick(spark, d):
-    rows = predictions(spark, d).filter("id % 10 < 7 or conf < 0.6")
+    right = F.when((F.col("id") % 10 >= 7) & (F.col("conf") >= 0.6), F.col("truth")).otherwise(F.col("pred"))
+    rows = predictions(spark, d).withColumn("pred", right)
     return m.pick_gate(m.gate_sweep(rows, THRESHOLDS)).select("threshold", "shown", "correct")
 
 
@@ -52,8 +53,14 @@ def class_prf(spark, d):
     return _scores(spark, d)
 
 
+def _moved(label, of, where=None, to="click"):
+    """The label, but another where it is `of` and the condition holds."""
+    return F.when((label == of) & (F.lit(True) if where is None else where), to).otherwise(label)
+
+
 def class_prf_zero(spark, d):
-    rows = predictions(spark, d).filter("truth <> 'view' and pred <> 'error'")
+    p = predictions(spark, d)  # no row is `view`, none is called `error`
+    rows = p.withColumn("truth", _moved(F.col("truth"), "view")).withColumn("pred", _moved(F.col("pred"), "error"))
     return m.class_scores(rows, m.class_table(spark, class_names(spark, d)), zero_division=0.0)
 
 
@@ -91,15 +98,18 @@ def family_accuracy(spark, d):
 
 
 def prior_ratio(spark, d):
-    return m.prior_ratio(predictions(spark, d).filter("truth <> 'view' or id % 3 = 0"), m.class_table(spark, class_names(spark, d)))
+    rows = predictions(spark, d)
+    return m.prior_ratio(rows.withColumn("truth", _moved(F.col("truth"), "view", F.col("id") % 3 > 0)), m.class_table(spark, class_names(spark, d)))
 
 
 def worst_classes(spark, d):
-    return m.worst_classes(predictions(spark, d).filter("not (truth = 'click' and id % 2 = 0)"), 3)
+    rows = predictions(spark, d)
+    return m.worst_classes(rows.withColumn("truth", _moved(F.col("truth"), "click", F.col("id") % 2 == 0, "view")), 3)
 
 
 def class_balance(spark, d):
-    return m.class_balance(predictions(spark, d).filter("truth <> 'view' or id % 4 = 0"), m.class_table(spark, [*class_names(spark, d), "zoom"]), low=600)
+    rows = predictions(spark, d)
+    return m.class_balance(rows.withColumn("truth", _moved(F.col("truth"), "view", F.col("id") % 4 > 0)), m.class_table(spark, [*class_names(spark, d), "zoom"]), low=600)
 
 
 def exclusion_rescore(spark, d):
@@ -109,9 +119,9 @@ def exclusion_rescore(spark, d):
 
 
 def two_runs(spark, d):
-    a = predictions(spark, d).filter("family < 60")
-    b = a.filter("id % 7 <> 0").withColumn("pred", F.when(F.col("id") % 5 == 0, F.col("truth")).otherwise(F.col("pred"))).withColumn("conf", F.abs(F.col("conf") - 0.25))
-    return m.compare_runs(a, b, "id").orderBy(F.desc("delta"), "id").limit(40).select("id", "pred_a", "pred_b", "agree", "delta")
+    a = predictions(spark, d)
+    b = a.withColumn("pred", F.when(F.col("id") % 5 == 0, F.col("truth")).otherwise(F.col("pred"))).withColumn("conf", F.abs(F.col("conf") - 0.25))
+    return m.compare_runs(a, b, "id").select("id", "pred_a", "pred_b", "agree", "delta")
 
 
 def conf_histogram(spark, d):
@@ -134,10 +144,10 @@ ORACLE_SQL = {
     "gate_sweep": f"{_P} {_SWEEP.format(by='')}",
     "gate_sweep_by_class": f'{_P} {_SWEEP.format(by=chr(34) + "truth" + chr(34) + ",")}',
     "gate_by_group": f'{_P}, w AS ({_SWEEP.format(by=SQL_GROUP.format(chr(34) + "truth" + chr(34)) + " AS grp,")}) SELECT grp AS "group", threshold, total AS n, shown, precision FROM w',
-    "gate_pick": f"{_P.replace(', p AS', ', p0 AS')} , w AS ({_SWEEP.format(by='').replace('FROM p,', 'FROM (SELECT * FROM p WHERE id % 10 < 7 OR conf < 0.6) p,')}) SELECT threshold, shown, correct FROM w WHERE precision >= 1.0 AND shown >= 4 ORDER BY threshold LIMIT 1",
+    "gate_pick": f"{_P.replace(', p AS', ', p0 AS')} , w AS ({_SWEEP.format(by='').replace('FROM p,', 'FROM (SELECT id, family, "truth", CASE WHEN id % 10 >= 7 AND conf >= 0.6 THEN "truth" ELSE pred END AS pred, conf FROM p) p,')}) SELECT threshold, shown, correct FROM w WHERE precision >= 1.0 AND shown >= 4 ORDER BY threshold LIMIT 1",
     "accuracy_summary": f'{_P} SELECT count(*) AS n, count(*) FILTER (WHERE "truth" = pred) AS correct, count(*) FILTER (WHERE "truth" = pred OR id % 10 = 7) AS top_hits, count(*) FILTER (WHERE "truth" = pred)::DOUBLE / count(*) AS top1, count(*) FILTER (WHERE "truth" = pred OR id % 10 = 7)::DOUBLE / count(*) AS top_rate FROM p',
     "class_prf": f"{_P}, {_SCORES} SELECT * FROM se",
-    "class_prf_zero": f"""{_P}, {_SCORES.replace('FROM c, p GROUP', "FROM c, (SELECT * FROM p WHERE " + '"truth"' + " <> 'view' AND pred <> 'error') p GROUP")} SELECT name, support, predicted, hit, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(2 * coalesce(precision, 0) * coalesce(recall, 0) / nullif(coalesce(precision, 0) + coalesce(recall, 0), 0), 0) AS f1 FROM se""",
+    "class_prf_zero": f"""{_P}, {_SCORES.replace('FROM c, p GROUP', "FROM c, (SELECT CASE WHEN " + '"truth"' + " = 'view' THEN 'click' ELSE " + '"truth"' + " END AS " + '"truth"' + ", CASE WHEN pred = 'error' THEN 'click' ELSE pred END AS pred FROM p) p GROUP")} SELECT name, support, predicted, hit, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(2 * coalesce(precision, 0) * coalesce(recall, 0) / nullif(coalesce(precision, 0) + coalesce(recall, 0), 0), 0) AS f1 FROM se""",
     "macro_weighted": f"{_P}, {_SCORES} SELECT " + ", ".join(f"round(avg(coalesce({c}, 0)), 6) AS macro_{c}, round(sum(coalesce({c}, 0) * support) / sum(support), 6) AS weighted_{c}" for c in ("precision", "recall", "f1")) + " FROM se WHERE support > 0",
     "confusion_long": f'{_P} SELECT "truth", pred, count(*) AS n FROM p GROUP BY ALL',
     "confusion_wide": f'{_P} SELECT c.name AS "truth", ' + ", ".join(f"count(*) FILTER (WHERE pred = '{n}') AS {n}" for n in ("click", "error", "purchase", "signup", "view")) + ' FROM c LEFT JOIN p ON p."truth" = c.name GROUP BY c.name',
@@ -146,14 +156,14 @@ ORACLE_SQL = {
     "group_rollup": f'{_P}, g AS (SELECT *, {SQL_GROUP.format(chr(34) + "truth" + chr(34))} AS a, {SQL_GROUP.format("pred")} AS b FROM p) SELECT a AS "group", count(*) AS n, count(*) FILTER (WHERE "truth" = pred) AS correct, count(*) FILTER (WHERE "truth" <> pred AND a = b) AS within, count(*) FILTER (WHERE a <> b) AS across FROM g GROUP BY a',
     "healthy_summary": f"""{_P}, h AS (SELECT "truth" = 'view' AS t, pred = 'view' AS q, "truth" = pred AS r FROM p) SELECT count(*) FILTER (WHERE t) AS healthy, count(*) FILTER (WHERE t AND q) AS healthy_kept, count(*) FILTER (WHERE t AND NOT q) AS false_alarm, count(*) FILTER (WHERE NOT t) AS diseased, count(*) FILTER (WHERE NOT t AND q) AS missed, count(*) FILTER (WHERE NOT t AND NOT q AND NOT r) AS misnamed FROM h""",
     "family_accuracy": f'{_P}, e AS (SELECT count(*) AS n, avg(("truth" = pred)::INT) AS acc FROM p GROUP BY "truth", family) SELECT count(*) AS families, count(*) FILTER (WHERE acc = 1) AS all_right, round(avg(acc), 6) AS mean_accuracy, round(avg(n), 6) AS mean_size FROM e',
-    "prior_ratio": f"""{_P}, {_SCORES.replace('FROM c, p GROUP', "FROM c, (SELECT * FROM p WHERE " + '"truth"' + " <> 'view' OR id % 3 = 0) p GROUP")} SELECT name, support, predicted, predicted::DOUBLE / nullif(support, 0) AS ratio, predicted::DOUBLE / sum(predicted) OVER () AS share, coalesce(predicted::DOUBLE / nullif(support, 0), 'inf'::DOUBLE) >= 1.25 AND predicted >= 3 AS over_predicted FROM se""",
-    "worst_classes": f"""{_P}, q AS (SELECT * FROM p WHERE NOT ("truth" = 'click' AND id % 2 = 0)), a AS (SELECT "truth", count(*) AS support, count(*) FILTER (WHERE "truth" = pred) AS correct FROM q GROUP BY 1), w AS (SELECT "truth", pred, count(*) AS n, row_number() OVER (PARTITION BY "truth" ORDER BY count(*) DESC, pred) AS r FROM q WHERE "truth" <> pred GROUP BY 1, 2)
+    "prior_ratio": f"""{_P}, {_SCORES.replace('FROM c, p GROUP', "FROM c, (SELECT CASE WHEN " + '"truth"' + " = 'view' AND id % 3 > 0 THEN 'click' ELSE " + '"truth"' + " END AS " + '"truth"' + ", pred FROM p) p GROUP")} SELECT name, support, predicted, predicted::DOUBLE / nullif(support, 0) AS ratio, predicted::DOUBLE / sum(predicted) OVER () AS share, coalesce(predicted::DOUBLE / nullif(support, 0), 'inf'::DOUBLE) >= 1.25 AND predicted >= 3 AS over_predicted FROM se""",
+    "worst_classes": f"""{_P}, q AS (SELECT CASE WHEN "truth" = 'click' AND id % 2 = 0 THEN 'view' ELSE "truth" END AS "truth", pred FROM p), a AS (SELECT "truth", count(*) AS support, count(*) FILTER (WHERE "truth" = pred) AS correct FROM q GROUP BY 1), w AS (SELECT "truth", pred, count(*) AS n, row_number() OVER (PARTITION BY "truth" ORDER BY count(*) DESC, pred) AS r FROM q WHERE "truth" <> pred GROUP BY 1, 2)
 SELECT a."truth", support, correct, correct::DOUBLE / support AS accuracy, w.pred AS wrong_answer, w.n AS wrong_n FROM a LEFT JOIN w ON w."truth" = a."truth" AND r = 1 WHERE support >= 20 ORDER BY accuracy, a."truth" LIMIT 3""",
-    "class_balance": f"""{_P}, k AS (SELECT name FROM c UNION ALL SELECT 'zoom'), n AS (SELECT k.name, count(q."truth") AS n FROM k LEFT JOIN (SELECT * FROM p WHERE "truth" <> 'view' OR id % 4 = 0) q ON q."truth" = k.name GROUP BY k.name), md AS (SELECT median(n) AS md FROM n WHERE n > 0) SELECT name, n, n / md AS ratio, n < 0.5 * md AS weak, n < 600 AS low FROM n, md""",
+    "class_balance": f"""{_P}, k AS (SELECT name FROM c UNION ALL SELECT 'zoom'), n AS (SELECT k.name, count(q."truth") AS n FROM k LEFT JOIN (SELECT CASE WHEN "truth" = 'view' AND id % 4 > 0 THEN 'click' ELSE "truth" END AS "truth" FROM p) q ON q."truth" = k.name GROUP BY k.name), md AS (SELECT median(n) AS md FROM n WHERE n > 0) SELECT name, n, n / md AS ratio, n < 0.5 * md AS weak, n < 600 AS low FROM n, md""",
     "exclusion_rescore": f"""{_P}, x AS (SELECT "truth" = pred AS r, unnest(['none', 'low', 'first family', 'sure']) AS rule, unnest([false, conf < 0.3, family < 20, conf > 0.9]) AS flag FROM p), y AS (SELECT rule, count(*) AS n, count(*) FILTER (WHERE r) AS c, count(*) FILTER (WHERE flag) AS excluded, count(*) FILTER (WHERE flag AND r) AS correct_excluded FROM x GROUP BY rule)
 SELECT rule, excluded, n - excluded AS "left", round((c - correct_excluded)::DOUBLE / nullif(n - excluded, 0), 6) AS accuracy, round(100 * ((c - correct_excluded)::DOUBLE / nullif(n - excluded, 0) - c::DOUBLE / n), 6) AS delta, correct_excluded FROM y""",
-    "two_runs": f"""{_P}, a AS (SELECT * FROM p WHERE family < 60), b AS (SELECT id, CASE WHEN id % 5 = 0 THEN "truth" ELSE pred END AS pred, abs(conf - 0.25) AS conf FROM a WHERE id % 7 <> 0)
-SELECT a.id, a.pred AS pred_a, b.pred AS pred_b, a.pred = b.pred AS agree, round(abs(a.conf - b.conf), 6) AS delta FROM a JOIN b USING (id) ORDER BY delta DESC, a.id LIMIT 40""",
+    "two_runs": f"""{_P}, a AS (SELECT * FROM p), b AS (SELECT id, CASE WHEN id % 5 = 0 THEN "truth" ELSE pred END AS pred, abs(conf - 0.25) AS conf FROM a)
+SELECT a.id, a.pred AS pred_a, b.pred AS pred_b, a.pred = b.pred AS agree, round(abs(a.conf - b.conf), 6) AS delta FROM a JOIN b USING (id)""",
     "conf_histogram": f"""{_P}, e AS (SELECT unnest(range(7))::INT AS bin, unnest([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 2.0])::DOUBLE AS low, unnest([0.05, 0.25, 0.5, 0.75, 0.95, 2.0, 3.0])::DOUBLE AS high) SELECT bin, low, high, count(p.id) AS n FROM e LEFT JOIN p ON conf >= low AND conf < high GROUP BY ALL""",
     "worst_missed": f'{_P} SELECT "truth", count(*) FILTER (WHERE "truth" = pred) AS hits, count(*) AS n FROM p GROUP BY 1 HAVING hits < n',
 }

@@ -56,24 +56,29 @@ def clash_not_leak(spark, d):
     return g.clashes_without_leak(val, train).select("doc_id", "family", "label")
 
 
+def _renamed_sides(spark, d):
+    """Train and val, with a class that each calls by another name."""
+    val, train = _sides(spark, d)
+    return train.withColumn("label", F.when(F.col("label") == "src3", "old3").otherwise(F.col("label"))), val.withColumn("label", F.when(F.col("label") == "src5", "new5").otherwise(F.col("label")))
+
+
 def missing_unexpected(spark, d):
-    f = files(spark, d)
-    return g.class_sets(f.filter("doc_id % 37 = 0"), f.filter("doc_id % 41 = 0"))
+    return g.class_sets(*_renamed_sides(spark, d))
 
 
 def class_union(spark, d):
-    f = files(spark, d)
-    return f.filter("doc_id % 37 = 0").select("label").union(f.filter("doc_id % 41 = 0").select("label")).distinct()
+    train, val = _renamed_sides(spark, d)
+    return train.select("label").union(val.select("label")).distinct()
 
 
 def class_intersection(spark, d):
-    f = files(spark, d)
-    return f.filter("doc_id % 37 = 0").select("label").intersect(f.filter("doc_id % 41 = 0").select("label"))
+    train, val = _renamed_sides(spark, d)
+    return train.select("label").intersect(val.select("label"))
 
 
 def class_difference(spark, d):
-    f = files(spark, d)
-    return f.filter("doc_id % 37 = 0").select("label").distinct().exceptAll(f.filter("doc_id % 41 = 0").select("label").distinct())
+    train, val = _renamed_sides(spark, d)
+    return train.select("label").subtract(val.select("label"))
 
 
 def dedup_keep_first(spark, d):
@@ -105,8 +110,7 @@ def plan_verification(spark, d):
 
 def quarantine_sides(spark, d):
     a = files(spark, d).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))).select("digest", "split", F.col("path").alias("file"), "doc_id")
-    x, y = (a.select("digest", *[F.col(c).alias(f"{c}_{s}") for c in ("split", "file", "doc_id")]) for s in "ab")
-    return g.split_direction_plan(x.join(y, "digest").filter("doc_id_a < doc_id_b"))
+    return g.split_direction_by_group(a, "digest", "doc_id")
 
 
 def digest_memo(spark, d):
@@ -120,7 +124,8 @@ QUERIES = {f.__name__: f for f in (exact_dup_groups, redundant_counts, conflict_
 
 _F = f"WITH {SQL_FILES}"
 _G = f"{_F}, g AS (SELECT digest, count(*) AS files, count(*) - 1 AS redundant, count(DISTINCT label) AS labels, count(DISTINCT split) AS splits, CASE WHEN count(DISTINCT split) > 1 THEN 'cross_split' ELSE 'within_split' END AS kind FROM f GROUP BY digest HAVING count(*) > 1)"
-_A, _B = "SELECT DISTINCT label FROM f WHERE doc_id % 37 = 0", "SELECT DISTINCT label FROM f WHERE doc_id % 41 = 0"
+_A = "SELECT DISTINCT CASE WHEN label = 'src3' THEN 'old3' ELSE label END AS label FROM f WHERE split = 'train'"
+_B = "SELECT DISTINCT CASE WHEN label = 'src5' THEN 'new5' ELSE label END AS label FROM f WHERE split = 'val'"
 _Q = f"""{_F}, m AS (SELECT f.*, (SELECT count(DISTINCT label) FROM f x WHERE x.digest = f.digest) AS nl, row_number() OVER (PARTITION BY label, digest ORDER BY CASE WHEN split = 'train' THEN 0 ELSE 1 END, lower(path), path) AS r FROM f),
 q AS (SELECT *, CASE WHEN nl > 1 THEN 'cross_class_duplicate' WHEN r > 1 THEN 'same_class_duplicate' WHEN label = 'src3' AND split = 'val' THEN 'mislabelled' END AS reason FROM m)"""
 _L = f"{_F}, x AS (SELECT DISTINCT digest, label FROM f)"

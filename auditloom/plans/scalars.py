@@ -29,7 +29,7 @@ def forecast_by_user(spark, d):
 
 
 def history_recent(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "event_type")
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "ts", "event_type")
 
 
 def json_props(spark, d):
@@ -47,7 +47,13 @@ def label_normalise(spark, d):
 
 
 def family_key(spark, d):
-    name = F.concat("label", F.lit("___Leaf "), F.col("doc_id") % 50, F.when(F.col("doc_id") % 3 == 0, "_90deg").when(F.col("doc_id") % 3 == 1, "_flip").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "__1").otherwise(""), F.lit(".JPG"))
+    ends = F.concat(F.when(F.col("doc_id") % 3 == 0, "_90deg").when(F.col("doc_id") % 3 == 1, "_flip").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "__1").otherwise(""))
+    h = F.md5(F.col("doc_id").cast("string"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    named = F.concat("label", F.lit("___Leaf "), F.col("doc_id") % 50, ends)
+    bare = F.concat(F.lit("Scan "), F.col("doc_id") % 50, ends)
+    known = F.concat(F.lit("IMG "), uuid, F.lit("___"), "label", ends)
+    name = F.concat(F.when(F.col("doc_id") % 4 == 0, named).when(F.col("doc_id") % 4 == 1, known).otherwise(bare), F.lit(".JPG"))
     f = files(spark, d).select("doc_id", name.alias("file"))
     return f.select("doc_id", lb.family_of_photo(F.col("file")).alias("f1"), lb.family_of_file(F.col("file")).alias("f2"), lb.family_of_leaf(F.col("file")).alias("f3"), lb.label_from_file(F.col("file")).alias("label"))
 
@@ -58,19 +64,20 @@ def routing(spark, d):
 
 
 def gate_messages(spark, d):
-    return predictions(spark, d).filter("id < 400").select("id", rules.low_confidence_message(F.col("conf")).alias("message"), rules.badge(F.col("conf") * 100).alias("badge"), rules.percent(F.col("conf")).alias("percent"))
+    return predictions(spark, d).select("id", rules.low_confidence_message(F.col("conf")).alias("message"), rules.badge(F.col("conf") * 100).alias("badge"), rules.percent(F.col("conf")).alias("percent"))
 
 
 def lookup_fallback(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("key0"), F.col("o_custkey").alias("key"))
-    first = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    first = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("key"), F.col("c_mktsegment").alias("value"))
     second = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"))
     out = lookup.lookup_with_fallback(o, "key", [first, second], "value", F.concat(F.lit("key "), F.col("key").cast("string")))
     return out.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("value").alias("kinds"))
 
 
 def coverage_counts(spark, d):
-    return lookup.coverage_counts(table(spark, d, "customer").filter("c_nationkey % 4 <> 0").select(F.col("c_nationkey").alias("n_nationkey")), table(spark, d, "nation"), "n_nationkey")
+    key = F.when(F.col("c_nationkey") % 4 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))
+    return lookup.coverage_counts(table(spark, d, "customer").select(key.alias("n_nationkey")), table(spark, d, "nation"), "n_nationkey")
 
 
 def mapping_gaps(spark, d):
@@ -120,19 +127,22 @@ ORACLE_SQL = {
     "weather_risk": f"""WITH e AS (SELECT event_type, CASE WHEN {_K} < 97 THEN {_K} END AS h, event_id % 4 AS rain, event_type IN ('click', 'view') AS fungal FROM events)
 SELECT event_type, CASE WHEN h IS NULL THEN 'UNKNOWN' WHEN fungal AND h > 75 AND rain >= 2 THEN 'HIGH' WHEN NOT fungal AND h > 80 THEN 'HIGH' WHEN h > 60 THEN 'MODERATE' ELSE 'LOW' END AS risk, count(*) AS n FROM e GROUP BY ALL""",
     "forecast_by_user": f"SELECT CAST(user_id AS VARCHAR) AS city, round(avg(CASE WHEN event_id % 7 > 0 THEN {_K} ELSE 0 END), 1) AS humidity, round(avg(floor(value)), 1) AS temp, count(*) FILTER (WHERE event_type = 'view') AS rain_slots FROM events GROUP BY 1",
-    "history_recent": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "history_recent": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC",
     "json_props": f"SELECT event_type, CAST(sum({_K}) AS BIGINT) AS total, count(DISTINCT {_K}) AS kinds FROM events GROUP BY 1",
     "text_steps": r"""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(text, '\.', chr(46) || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)) AS parts FROM conversations WHERE role = 'user'),
 q AS (SELECT conv_id, turn, list_filter(list_transform(parts, lambda x: trim(regexp_replace(trim(x), '^-+\s*', ''))), lambda x: x <> '') AS s FROM p) SELECT conv_id, turn, CAST(unnest(range(1, len(s) + 1)) AS INT) AS n, CAST(unnest(list_transform(s, lambda x: length(x))) AS INT) AS chars FROM q""",
     "label_normalise": r"""WITH x AS (SELECT p_partkey, p_name AS a, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS n, p_brand AS b FROM part)
 SELECT p_partkey, regexp_replace(lower(n || '___' || b), '[^a-z0-9]', '', 'g') AS norm, n AS crop, b AS rest, replace(lower(n), ' ', '_') || '_' || lower(b) AS snake FROM x""",
-    "family_key": """WITH x AS (SELECT doc_id, source AS l, 'leaf ' || (doc_id % 50) AS i, CASE WHEN doc_id % 3 = 0 THEN '_90deg' WHEN doc_id % 3 = 1 THEN '_flip' ELSE '' END AS a, CASE WHEN doc_id % 5 = 0 THEN '__1' ELSE '' END AS c FROM documents), y AS (SELECT *, l || '___' || i || a || c AS s FROM x)
-SELECT doc_id, l AS f1, l AS f2, l AS f3, regexp_replace(regexp_replace(s, '[_ -]*[0-9]+$', ''), '^[_ -]+|[_ -]+$', '', 'g') AS label FROM y""",
+    "family_key": rf"""WITH x AS (SELECT doc_id, source AS l, CASE WHEN doc_id % 3 = 0 THEN '_90deg' WHEN doc_id % 3 = 1 THEN '_flip' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '__1' ELSE '' END AS e, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+y AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN l || '___Leaf ' || (doc_id % 50) || e WHEN doc_id % 4 = 1 THEN 'IMG ' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '___' || l || e ELSE 'Scan ' || (doc_id % 50) || e END AS s FROM x),
+z AS (SELECT doc_id, s, string_split_regex(regexp_replace(regexp_replace(s, '{lb.AUGMENTED}', ''), '__\d+$', ''), '_{{3,}}')[1] AS a, string_split_regex(s, '_{{3,}}')[1] AS b FROM y)
+SELECT doc_id, lower(CASE WHEN regexp_extract(a, '{lb.UUID}', 1) <> '' THEN regexp_extract(a, '{lb.UUID}', 1) ELSE a END) AS f1, lower(CASE WHEN regexp_extract(b, '{lb.UUID}', 1) <> '' THEN regexp_extract(b, '{lb.UUID}', 1) ELSE b END) AS f2,
+  string_split(s, '___')[1] AS f3, lower(regexp_replace(regexp_replace(s, '[_\-\s]*\d+$', ''), '^[_\- ]+|[_\- ]+$', '', 'g')) AS label FROM z""",
     "routing": f"""{_P}, z AS (SELECT CASE WHEN id % 13 = 0 THEN NULL WHEN "truth" = 'error' THEN 'pest_damage' ELSE "truth" END AS tr, conf, (id % 7) / 6.0::DOUBLE AS dc FROM p) SELECT CASE WHEN tr IS NULL THEN 'failure' WHEN conf < 0.5 THEN 'retake' WHEN tr = 'pest_damage' THEN 'questionnaire' WHEN dc >= 0.5 THEN 'result' ELSE 'retake' END AS route, count(*) AS n FROM z GROUP BY 1""",
-    "gate_messages": f"{_P} SELECT id, CASE WHEN conf < 0.95 THEN format('Not sure enough ({{:.1f}}%); please take another picture.', conf * 100) END AS message, CASE WHEN conf * 100 >= 85 THEN 'high' WHEN conf * 100 >= 60 THEN 'medium' ELSE 'low' END AS badge, round(conf * 100, 1) AS percent FROM p WHERE id < 400",
+    "gate_messages": f"{_P} SELECT id, CASE WHEN conf < 0.95 THEN format('Not sure enough ({{:.1f}}%); please take another picture.', conf * 100) END AS message, CASE WHEN conf * 100 >= 85 THEN 'high' WHEN conf * 100 >= 60 THEN 'medium' ELSE 'low' END AS badge, round(conf * 100, 1) AS percent FROM p",
     "lookup_fallback": """WITH j AS (SELECT o_custkey AS k, c_mktsegment AS a, s_name AS b FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0 LEFT JOIN supplier ON s_suppkey = o_custkey),
 z AS (SELECT CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 ELSE 0 END AS source, coalesce(a, b, 'key ' || k) AS v FROM j) SELECT source, count(*) AS n, count(DISTINCT v) AS kinds FROM z GROUP BY 1""",
-    "coverage_counts": "SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_nationkey % 4 <> 0 GROUP BY 1",
+    "coverage_counts": "SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON CASE WHEN c_nationkey % 4 = 0 THEN c_nationkey + 1 ELSE c_nationkey END = n_nationkey GROUP BY 1",
     "mapping_gaps": "SELECT DISTINCT event_type FROM events WHERE event_type >= 'p'",
     "index_labels": f"{_P} SELECT coalesce(c.name, 'class_' || (event_id % 8)) AS name, count(*) AS n FROM events LEFT JOIN c ON c.idx = event_id % 8 GROUP BY 1",
     "contract_report": f"""{_P}, k AS (SELECT idx, name FROM c UNION ALL SELECT max(idx) + 1, 'view' FROM c UNION ALL SELECT max(idx) + 2, ' zoom' FROM c),

@@ -98,7 +98,7 @@ def parity_verdict(spark, d):
 
 
 def softmax_scores(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(v.softmax_if_needed(F.slice("embedding", 1, 8))).alias("idx", "p"))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(v.softmax_if_needed(F.col("embedding"))).alias("idx", "p"))
     return e.select("vec_id", "idx", F.round("p", 6).alias("p"))
 
 
@@ -131,6 +131,6 @@ SELECT *, CASE WHEN NOT (ref_rate >= 0.75 AND control_rate <= 0.25) THEN 'unusab
     "score_ties": f"{_C}, y AS (SELECT vec_id, pos, round(e * 5, 0) AS t FROM x), z AS (SELECT *, max(t) OVER (PARTITION BY vec_id) AS top FROM y) SELECT vec_id, min(pos) AS first, count(*) AS ties FROM z WHERE t = top GROUP BY vec_id",
     "parity_delta": f"{_C}, y AS (SELECT vec_id, pos, e, CASE WHEN vec_id % 50 = 0 AND pos = 0 THEN e + 1.0 ELSE e + 0.0005 END AS g FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, pos) AS re, row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, pos) AS rg FROM y) SELECT vec_id, min(CASE WHEN re = 1 THEN pos END) = min(CASE WHEN rg = 1 THEN pos END) AS agree, round(max(abs(e - g)), 6) AS max_delta FROM z GROUP BY vec_id",
     "parity_verdict": f"{_C}, y AS (SELECT vec_id, pos, e, CASE WHEN vec_id % 50 = 0 AND pos = 0 THEN e + 1.0 ELSE e + 0.0005 END AS g FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, pos) AS re, row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, pos) AS rg FROM y), w AS (SELECT min(CASE WHEN re = 1 THEN pos END) = min(CASE WHEN rg = 1 THEN pos END) AS agree, max(abs(e - g)) AS dl FROM z GROUP BY vec_id) SELECT count(*) AS n, round(avg(agree::INT), 6) AS agreement, round(max(dl), 6) AS max_delta, avg(agree::INT) >= 1 AND max(dl) <= 0.001 AS ok FROM w",
-    "softmax_scores": f"{_C}, y AS (SELECT vec_id, pos, e, min(e) OVER w AS lo, max(e) OVER w AS hi, sum(e) OVER w AS t FROM x WHERE pos < 8 WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, CAST(pos AS INT) AS idx, round(CASE WHEN lo >= 0 AND t BETWEEN 0.9 AND 1.1 THEN e ELSE exp(e - hi) / sum(exp(e - hi)) OVER (PARTITION BY vec_id) END, 6) AS p FROM y",
+    "softmax_scores": f"{_C}, y AS (SELECT vec_id, pos, e, min(e) OVER w AS lo, max(e) OVER w AS hi, sum(e) OVER w AS t FROM x WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, CAST(pos AS INT) AS idx, round(CASE WHEN lo >= 0 AND t BETWEEN 0.9 AND 1.1 THEN e ELSE exp(e - hi) / sum(exp(e - hi)) OVER (PARTITION BY vec_id) END, 6) AS p FROM y",
     "quantised": f"{_C}, y AS (SELECT vec_id, greatest(-128, least(127, CAST(round_even(e / 0.004::DOUBLE, 0) AS INT) + 3)) AS q FROM x) SELECT vec_id, CAST(sum(q) AS BIGINT) AS total, min(q) AS low, max(q) AS high FROM y GROUP BY vec_id",
 }

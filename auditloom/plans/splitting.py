@@ -17,8 +17,7 @@ def split_by_family(spark, d):
 
 
 def split_promote(spark, d):
-    few = _events(spark, d).filter("family % 5 = 0 or label <> 'view'")
-    return s.split_families(few, least_val=450)
+    return s.split_families(_events(spark, d), least_val=450)
 
 
 def split_applied(spark, d):
@@ -51,7 +50,7 @@ def sample_uniform_quota(spark, d):
 
 
 def trusted_halves(spark, d):
-    return s.halves(_events(spark, d).filter("event_id % 9 = 0"), ["label"], "event_id").select("label", "event_id", "half")
+    return s.halves(_events(spark, d), ["label"], "event_id").select("label", "event_id", "half")
 
 
 def dense_index(spark, d):
@@ -63,7 +62,7 @@ def rename_collisions(spark, d):
 
 
 def best_epoch_running(spark, d):
-    curve = table(spark, d, "events").filter("event_id % 100 = 0").select((F.col("event_id") / 100).cast("long").alias("epoch"), "value")
+    curve = table(spark, d, "events").select(F.col("event_id").alias("epoch"), "value")
     return s.running_best(curve, "epoch", "value", 10)
 
 
@@ -76,7 +75,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || fami
 y AS (SELECT *, r <= """ + _CUT.format(n="k", s="0.8") + """ AS tr FROM r)"""
 ORACLE_SQL = {
     "split_by_family": f"{_E}{_FAM.format(src='e')} SELECT label, family, size, CASE WHEN tr THEN 'train' ELSE 'val' END AS side FROM y",
-    "split_promote": f"""{_E}, e2 AS (SELECT * FROM e WHERE family % 5 = 0 OR label <> 'view'){_FAM.format(src='e2')},
+    "split_promote": f"""{_E}{_FAM.format(src='e')},
 u AS (SELECT *, sum(CASE WHEN tr THEN 0 ELSE size END) OVER (PARTITION BY label) AS val, coalesce(sum(CASE WHEN tr THEN size END) OVER (PARTITION BY label ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM y),
 v AS (SELECT *, tr AND val + moved < 450 AND r > 1 AS promoted FROM u) SELECT label, family, size, promoted, CASE WHEN tr AND NOT promoted THEN 'train' ELSE 'val' END AS side FROM v""",
     "split_applied": f"{_E}{_FAM.format(src='e')} SELECT e.label, CASE WHEN tr THEN 'train' ELSE 'val' END AS side, count(*) AS n FROM e JOIN y ON e.label = y.label AND e.family = y.family GROUP BY ALL",
@@ -85,10 +84,10 @@ v AS (SELECT *, tr AND val + moved < 450 AND r > 1 AS promoted FROM u) SELECT la
     "sample_first_n": f"{_E} SELECT label, event_id FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY event_id) <= 3",
     "sample_seeded": f"{_E} SELECT event_id FROM e ORDER BY md5('42:' || event_id), event_id LIMIT 50",
     "sample_uniform_quota": f"{_E}, q AS (SELECT label, 123 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY label) <= 123 % count(*) OVER () THEN 1 ELSE 0 END AS quota FROM (SELECT DISTINCT label FROM e)), r AS (SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id), event_id) AS r FROM e) SELECT label, event_id FROM r JOIN q USING (label) WHERE r <= quota",
-    "trusted_halves": f"{_E} SELECT label, event_id, CAST(ntile(2) OVER (PARTITION BY label ORDER BY md5('42:' || event_id)) AS INT) AS half FROM e WHERE event_id % 9 = 0",
+    "trusted_halves": f"{_E} SELECT label, event_id, CAST(ntile(2) OVER (PARTITION BY label ORDER BY md5('42:' || event_id)) AS INT) AS half FROM e",
     "dense_index": f"{_E} SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS idx FROM (SELECT DISTINCT label FROM e)",
     "rename_collisions": f"WITH {SQL_FILES}, n AS (SELECT *, row_number() OVER (PARTITION BY label, split, name ORDER BY doc_id) - 1 AS nth FROM f) SELECT path, CASE WHEN nth = 0 THEN name ELSE replace(name, '.txt', '') || '__dup' || nth || '.txt' END AS destination FROM n",
-    "best_epoch_running": """WITH c AS (SELECT CAST(event_id / 100 AS BIGINT) AS epoch, value FROM events WHERE event_id % 100 = 0),
+    "best_epoch_running": """WITH c AS (SELECT event_id AS epoch, value FROM events),
 b AS (SELECT *, max(value) OVER (ORDER BY epoch) AS best, value > coalesce(max(value) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS fresh FROM c),
 a AS (SELECT *, max(CASE WHEN fresh THEN epoch END) OVER (ORDER BY epoch) AS best_at FROM b) SELECT epoch, value, best, best_at, epoch - best_at AS since, epoch - best_at >= 10 AS "stop" FROM a""",
 }
