@@ -120,8 +120,9 @@ def count_key(name: Column) -> Column:
 
 def naming_pattern(name: Column) -> Column:
     """Aggregate over the class names of a dataset: how it names its classes."""
-    digits, parted = name.rlike(r"^\d+$"), F.instr(name, "___") > 0
-    return F.when(F.count(name) == 0, "unknown").when(F.bool_and(digits), "numeric_class_ids").when(F.bool_and(parted), "crop___disease").when(F.bool_or(parted), "mixed").otherwise("plain_label_names")
+    plain = F.trim(F.regexp_replace(F.trim(name), ALL_SPLIT_ENDINGS, ""))
+    digits, parted = plain.rlike(r"^\d+$"), F.instr(plain, "___") > 0
+    return F.when(F.count(name) == 0, "unknown").when(F.bool_and(digits), "numeric_class_ids").when(F.bool_and(parted), "crop___disease").when(F.bool_or(parted), "mixed (crop___disease + other)").otherwise("plain_label_names")
 
 
 def group_by_prefix(name: Column, groups: list[str]) -> Column:

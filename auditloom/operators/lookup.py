@@ -10,11 +10,11 @@ from auditloom.functions.labels import normalised, split_class
 
 
 def lookup_with_fallback(rows: DataFrame, key: str, tables: list[DataFrame], value: str, default) -> DataFrame:
-    """The value of the first table (key, value) that has the key, else the default column;
-    source says which table it was, from 1, or 0."""
+    """The value of the first table (key, value) that has the key, the least of several, else the
+    default column; source says which table it was, from 1, or 0."""
     out, found = rows, []
     for i, t in enumerate(tables):
-        out = out.join(t.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")).dropDuplicates([f"_k{i}"]), F.col(key) == F.col(f"_k{i}"), "left")
+        out = out.join(t.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")).groupBy(f"_k{i}").agg(F.min(f"_v{i}").alias(f"_v{i}")), F.col(key) == F.col(f"_k{i}"), "left")
         found.append((F.col(f"_k{i}").isNotNull(), F.col(f"_v{i}")))
     chosen, source = default, F.lit(0)
     for i, (has, v) in reversed(list(enumerate(found))):

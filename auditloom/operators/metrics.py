@@ -180,31 +180,27 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, pred: str = "pred", conf:
 def bootstrap_interval(rows: DataFrame, true: str = "truth", pred: str = "pred", replicates: int = 1000, seed: int = 42) -> DataFrame:
     """95 % interval of accuracy from Poisson resamples: n, accuracy, low, high.
 
-    In each replicate a row counts a Poisson(1) number of times; a task's right and wrong rows
-    are sums of such weights, Poisson again, so it draws two numbers a replicate. Rows are
-    read once and don't move; only the replicates' sums are shuffled. The generator is seeded
-    by the seed and the task's number.
+    In each replicate a row counts a Poisson(1) number of times, so the right and the wrong
+    rows of a replicate are Poisson as well: rows are counted once, and each replicate draws
+    two numbers, by a generator of its own seed and number. The result is the same for any
+    partitioning.
     """
     import numpy as np
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    schema = pa.schema([("replicate", pa.int32()), ("weight", pa.int64()), ("right", pa.int64())])
+    schema = pa.schema([("w", pa.int64()), ("r", pa.int64())])
 
     def draw(batches):
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        weight, right = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
         for batch in batches:
-            ok = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yes, n = int(ok.sum()), len(ok)
-            # a sum of independent Poisson(1) weights is Poisson
-            hit, miss = rng.poisson(yes, replicates), rng.poisson(n - yes, replicates)
-            weight += hit + miss
-            right += hit
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(weight), pa.array(right)], schema=schema)
+            hit, miss = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, (replicate, yes, no) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                rng = np.random.default_rng([seed, replicate])
+                hit[i], miss[i] = rng.poisson(yes), rng.poisson(no)
+            yield pa.RecordBatch.from_arrays([pa.array(hit + miss), pa.array(hit)], schema=schema)
 
     right = rows.select(F.coalesce(F.col(true) == F.col(pred), F.lit(False)).alias("right"))
-    sums = right.mapInArrow(draw, "replicate int, weight long, right long").groupBy("replicate").agg(F.sum("weight").alias("w"), F.sum("right").alias("r"))
+    counted = right.agg(hits(F.col("right")).alias("yes"), hits(~F.col("right")).alias("no"))
+    sums = rows.sparkSession.range(replicates).crossJoin(F.broadcast(counted)).mapInArrow(draw, "w long, r long")  # counted is one row
     spread = sums.agg(F.percentile(ratio(F.col("r"), F.col("w")), F.lit(0.025)).alias("low"), F.percentile(ratio(F.col("r"), F.col("w")), F.lit(0.975)).alias("high"))
     whole = right.agg(F.count("*").alias("n"), ratio(hits(F.col("right")), F.count("*")).alias("accuracy"))
     return whole.join(F.broadcast(spread))  # one row each

@@ -144,26 +144,10 @@ def halves(rows: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFram
 
 
 def family_halves(rows: DataFrame, label: str = "label", family: str = "family", seed: int = 42) -> DataFrame:
-    """(label, family, size, half): families dealt whole to halves in drawn order within a label,
-    each to the half with fewer rows so far, the first half of equals.
-
-    The rule is a running choice, so a label's families, not its rows, meet in one task; of
-    each only the name and the count go there.
-    """
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, half = [0, 0], []
-        pdf = pdf.sort_values(["_d", family])
-        for n in pdf["size"]:
-            at = 0 if rows[0] <= rows[1] else 1
-            rows[at] += n
-            half.append(at + 1)
-        return pdf[[label, family, "size"]].assign(half=pd.Series(half, pdf.index, dtype="int32"))
-
-    sizes = family_sizes(rows, label, family).withColumn("_d", draw(F.col(family), seed))
-    types = {f.name: f.dataType.simpleString() for f in sizes.schema}
-    return sizes.groupBy(label).applyInPandas(one, f"`{label}` {types[label]}, `{family}` {types[family]}, size long, half int")
+    """(label, family, size, half): families dealt whole, in drawn order within a label: the first
+    half of them, the smaller if their number is odd, is `test`, the others are `selection`."""
+    drawn = _first_drawn(family_sizes(rows, label, family), [label], family, seed, F.floor(F.col("_n") / 2))
+    return drawn.select(label, family, "size", F.when(F.col("_in"), "test").otherwise("selection").alias("half"))
 
 
 def dense_index(rows: DataFrame, label: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import evaluation, integrity, scalars, similarity, splitting
+from auditloom.plans import curation, evaluation, integrity, scalars, similarity, splitting
 
-_FAMILIES = (evaluation, integrity, splitting, similarity, scalars)
+_FAMILIES = (evaluation, integrity, splitting, similarity, scalars, curation)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE_SQL.items()}

@@ -40,11 +40,11 @@ def count_images(files: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def folder_profile(files: DataFrame, deepest: int = 8) -> DataFrame:
-    """Folders that hold files, down to a depth: parent, folders, files; is_split_root where the
-    folders include train and val or valid."""
-    parts = F.split("path", "/")
-    held = files.filter(F.size(parts) <= deepest + 16).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), "/").alias("parent"), F.element_at(parts, -3).alias("folder"))
+def folder_profile(files: DataFrame, root: str, deepest: int = 8) -> DataFrame:
+    """Folders that hold files, down to a depth below the root: parent, folders, files;
+    is_split_root where the folders include train and val or valid."""
+    parts, above = F.split("path", "/"), len(root.rstrip("/").split("/"))
+    held = files.filter(F.size(parts) <= above + deepest + 1).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), "/").alias("parent"), F.element_at(parts, -3).alias("folder"))
     g = held.groupBy("parent").agg(F.count_distinct("folder").alias("folders"), F.count("*").alias("files"), F.collect_set("folder").alias("_names"))
     split = F.array_contains("_names", "train") & (F.array_contains("_names", "val") | F.array_contains("_names", "valid"))
     return g.select("parent", "folders", "files", split.alias("is_split_root"))

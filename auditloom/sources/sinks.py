@@ -45,8 +45,8 @@ def write_plan(plan: DataFrame, files: DataFrame, path: str, ok: bool, apply: bo
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    """Append scans; a millisecond time and a hash of the row make the id."""
-    rows.withColumn("id", F.xxhash64(*rows.columns)).write.parquet(path, mode="append")
+    """Append scans, each with an id of its own, rows that are alike too: a random UUID."""
+    rows.withColumn("id", F.expr("uuid()")).write.parquet(path, mode="append")
 
 
 def without_ids(history: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
