@@ -271,23 +271,23 @@ def _whole_counts(batches):
         yield record_batch(_COUNT, keys, counts)
 
 
-_WHOLE = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("_a", pa.int64()), ("_b", pa.int64()), ("spans", _SPAN), ("entities", pa.list_(pa.int64())), ("terms", pa.binary())])
-_WHOLE_DDL = f"_row long, _id long, _a long, _b long, spans {_SPAN_DDL}, entities array<bigint>, terms binary"
+_WHOLE = pa.schema([("_row", pa.int64()), ("entities", pa.list_(pa.int64())), ("terms", pa.binary())])
+_WHOLE_DDL = "_row long, entities array<bigint>, terms binary"
 
 
 def _whole_scan(batches):
-    """Spans and entities of each text, and the distinct terms of texts that have entities."""
-    for batch in pieces_of(batches, 2):
-        texts = batch.column(2).to_pylist()
+    """The entities and distinct terms of each text that has entities."""
+    for batch in pieces_of(batches, 1):
+        texts = batch.column(1).to_pylist()
         spans = [_base(t) for t in texts]
         terms = [b""] * len(texts)
         holding = [i for i, own in enumerate(spans) if own]
         if holding:
-            text, term = _distinct(*_whole_words(batch.column(2).take(pa.array(holding)), [spans[i] for i in holding])[:2])
+            text, term = _distinct(*_whole_words(batch.column(1).take(pa.array(holding)), [spans[i] for i in holding])[:2])
             cuts = np.searchsorted(text, np.arange(len(holding) + 1))
             for i, a, b in zip(holding, cuts[:-1], cuts[1:]):
                 terms[i] = fixed(term[a:b])
-        yield record_batch(_WHOLE, batch.column(0), batch.column(1), batch.column(3), batch.column(4), [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], [_entities(t, own) for t, own in zip(texts, spans)], terms)
+        yield record_batch(_WHOLE, batch.column(0).take(pa.array(holding, pa.int64())), [_entities(texts[i], spans[i]) for i in holding], [terms[i] for i in holding])
 
 
 _TOGETHER = np.dtype([("kin", "<i8"), ("df_e", "<i8"), ("term", "<i8")])
@@ -344,8 +344,12 @@ def _places_of_terms(dull):
     return places
 
 
-def _whole_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
-    """(scanned, places (_a, _b, start, end) of the terms that disclose), counted over whole texts.
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"))
+
+
+def _whole_texts(rows: DataFrame, alpha: float, support: int) -> DataFrame:
+    """The places (_a, _b, start, end) of the terms that disclose, counted over whole texts.
 
     Places are found in a pass of their own, and a table that is read again may give its rows
     in another order; so they are tied to two hashes of the text, not to the row's number.
@@ -356,18 +360,18 @@ def _whole_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame
     """
     spark = rows.sparkSession
     n = max(1, rows.count())
-    hashed = rows.select("*", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"))
+    hashed = _hashed(rows)
     term_df = materialise(rows.select("_text").mapInArrow(_whole_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t")), "terms")
     often = term_df.filter(F.col("df_t") * FREQUENT > n).toArrow()
     order = np.argsort(often.column(0).to_numpy())
     often_term, often_df = often.column(0).to_numpy()[order], often.column(1).to_numpy()[order]
-    scanned = materialise(hashed.mapInArrow(_whole_scan, _WHOLE_DDL), "private")
-    held = scanned.filter(F.size("entities") > 0).select("_row", F.explode("entities").alias("entity"))
+    scanned = materialise(hashed.select("_row", "_text").mapInArrow(_whole_scan, _WHOLE_DDL), "private")
+    held = scanned.select("_row", F.explode("entities").alias("entity"))
     mark = [F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"x{i}") for i in range(2)]
     entity_df = held.groupBy("entity").agg(F.count("*").alias("df_e"), *mark).filter(F.col("df_e") < n)
     kin = entity_df.select("entity", F.struct(F.xxhash64("df_e", "x0", "x1").alias("kin"), "df_e").alias("k"))
     kins = held.join(kin, "entity").groupBy("_row").agg(F.collect_set("k").alias("kins"))
-    paired = kins.join(scanned.filter(F.size("entities") > 0).select("_row", "terms"), "_row").select("kins", "terms")
+    paired = kins.join(scanned.select("_row", "terms"), "_row").select("kins", "terms")
     frequent = spark.sparkContext.broadcast((often_term, often_df))
     together = paired.mapInArrow(_together(frequent, n, alpha), "kin long, df_e long, term long, n long").groupBy("kin", "df_e", "term").agg(F.sum("n").alias("df_te")).filter(F.col("df_te") >= support)
     pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
@@ -376,7 +380,7 @@ def _whole_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame
     told = telling.join(term_df.filter(F.col("df_t") * FREQUENT > n), "term", "left_semi").toArrow().column(0).to_numpy()
     dull = spark.sparkContext.broadcast(np.setdiff1d(often_term, told))
     places = hashed.select("_a", "_b", "_text").mapInArrow(_places_of_terms(dull), "_a long, _b long, term long, start long, end long")
-    return scanned, places.join(telling, "term", "left_semi").select("_a", "_b", "start", "end")
+    return places.join(telling, "term", "left_semi").select("_a", "_b", "start", "end")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, support: int = 2, with_text: bool = False, whole: bool = False) -> DataFrame:
@@ -392,10 +396,10 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `whole` takes no windows: t and e occur together where a document has both, at any
     distance, t being any word outside base spans, and df(t) counts such documents. Every
     occurrence of a disclosing t outside base spans, in any document, is a `term` span.
-    op2_pii runs this with support=1.
+    op2_pii runs this with support=1. It adds sanitised_sha256, a digest of the sanitised text.
 
     with_text adds `sanitised`: base spans replaced by their kinds, terms with digits
-    generalised to [NUMBER], capitalised ones to [NAME], others removed.
+    generalised to [NUMBER], capitalised ones to [NAME], others removed; see sanitise().
 
     All documents are counted: term frequencies are summed in each task before the shuffle,
     entities and pairs on the map side. Pairs that disclose join the documents' own pairs;
@@ -409,11 +413,12 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
     )
-    scanned, places = (_whole_texts if whole else _near_texts)(rows, alpha, support)
-    key = ["_a", "_b"] if whole else ["_row"]
-    terms = places.select(*key, F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).groupBy(*key).agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    if whole:
+        return _finished(rows, _whole_texts(rows, alpha, support), with_text)
+    scanned, places = _near_texts(rows, alpha, support)
+    terms = places.select("_row", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("terms"))
     none = F.array().cast(_SPAN_DDL)
-    joined = scanned.drop("entities", "pairs", "terms").join(terms, key, "left").select("_row", "_id", "spans", F.coalesce("terms", none).alias("terms"))
+    joined = scanned.drop("entities", "pairs").join(terms, "_row", "left").select("_row", "_id", "spans", F.coalesce("terms", none).alias("terms"))
     name = F.array(*[F.lit(k) for k in (*KINDS, "term")])
 
     def text(spans):
@@ -436,14 +441,46 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _finished(rows: DataFrame, places: DataFrame, with_text: bool) -> DataFrame:
+    """The result for each row, from the places (_a, _b, start, end) of its text's terms. Only texts
+    that have such terms are in the places; Spark knows how large they are before it joins."""
+    terms = materialise(places.groupBy("_a", "_b").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")), "terms")
+    joined = _hashed(rows).select("_id", "_text", "_a", "_b").join(terms, ["_a", "_b"], "left").select("_id", "_text", "terms")
+    fields = [("_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_term", pa.int64()), ("sanitised_sha256", pa.string())]
+    schema = pa.schema(fields + [("sanitised", pa.string())] * with_text)
+
+    def named(spans):
+        return ",".join(f"{(*KINDS, 'term')[k]}:{a}:{b}" for k, a, b in spans)
+
+    def finish(batches):
+        for batch in pieces_of(batches, 1):
+            columns: list[list] = [[] for _ in schema.names[1:]]
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                base = _base(text)
+                every = base + [(TERM, t["start"], t["end"]) for t in found or []]
+                clean = sanitise(text, every)
+                values = [*[sum(k == i for k, _, _ in base) for i in range(TERM)], hashlib.sha256(named(base).encode()).hexdigest(), named(every), len(every) - len(base), hashlib.sha256(clean.encode()).hexdigest(), clean]
+                for column, value in zip(columns, values):
+                    column.append(value)
+            yield record_batch(schema, batch.column(0), *columns)
+
+    out = joined.mapInArrow(finish, "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, sanitised_sha256 string" + ", sanitised string" * with_text)
+    return out.select(with_id(), *schema.names[1:])
+
+
 def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """Replace spans (kind, start, end); of overlapping ones the first starts count."""
-    out, at = [], 0
-    for start, end, kind in sorted((a, b, k) for k, a, b in spans):
+    """Replace spans (kind, start, end). Spans that overlap are replaced together, by the kind of
+    the longest, so that nothing of any is left. Personal data become their kind, terms with
+    digits [NUMBER], capitalised ones [NAME]; other terms go."""
+    out, at, ordered = [], 0, sorted((a, b, k) for k, a, b in spans)
+    for i, (start, end, kind) in enumerate(ordered):
         if start < at:
             continue
+        longest, j = (end - start, -kind), i + 1
+        while j < len(ordered) and ordered[j][0] < end:
+            longest, end, j = max(longest, (ordered[j][1] - ordered[j][0], -ordered[j][2])), max(end, ordered[j][1]), j + 1
         out.append(text[at:start])
-        word = text[start:end]
+        kind, word = -longest[1], text[start:end]
         out.append(f"[{KINDS[kind].upper()}]" if kind < TERM else "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[0].isupper() else "")
         at = end
     return "".join([*out, text[at:]])

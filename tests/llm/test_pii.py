@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from auditloom.llm.pii import FINDERS, KINDS, find_private
+from auditloom.llm.pii import FINDERS, KINDS, find_private, sanitise
 from tests.llm.conftest import prose
 
 PATTERNS = (
@@ -161,3 +161,19 @@ def test_terms_of_whole_texts(docs_of, odd_rows, many):
     assert find_private(docs_of([]), support=1, whole=True).count() == 0
     (r,) = find_private(docs_of([(1, "mail a@b.de now")]), support=1, whole=True).collect()
     assert r.n_term == 0
+
+
+def test_overlapping_spans_leave_nothing():
+    for text, want in [("at 192.168.10.12@corp.example.com now", "at [EMAIL] now"), ("+4930123456@ex.de", "[EMAIL]"), ("4111 1111 1111 1111 and a@b.cd", "[CARD] and [EMAIL]")]:
+        assert sanitise(text, [(k, a, b) for k, find in enumerate(FINDERS) for a, b in find(text)]) == want
+    assert sanitise("abcdef", [(4, 0, 2), (0, 1, 4), (1, 4, 5)]) == "[EMAIL][IP]f"
+
+
+def test_the_digest_is_of_the_sanitised_text(docs_of, odd_rows):
+    rows = odd_rows + [(100 + i, f"Anna{chr(97 + i % 26)}{chr(97 + i // 26)} wrote from a{i % 9}@ex.org and 192.168.{i}.1@corp.example.com, {prose(i, 30)}") for i in range(40)]
+    got = find_private(docs_of(rows), support=1, whole=True, with_text=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert hashlib.sha256(r.sanitised.encode()).hexdigest() == r.sanitised_sha256
+        assert not any(find(r.sanitised) for find in FINDERS)
+    assert sum("[NAME]" in r.sanitised for r in got) > 20
