@@ -96,7 +96,7 @@ class Block:
     def __init__(self, windows: list[bytes], items: list[str], size: int) -> None:
         rows = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, 8 * size + 1)
         _, first, which = np.unique(rows.view(f"V{8 * size + 1}").reshape(-1), return_index=True, return_inverse=True)
-        self.names = items
+        self.names, self.most = items, POSTINGS
         self.owners, self.bounds = np.argsort(which, kind="stable"), np.append(0, np.cumsum(np.bincount(which, minlength=len(first))))
         rows = rows[first]
         self.length = rows[:, 0].astype(np.int64)
@@ -124,8 +124,8 @@ class Block:
         term = number[alive, self.order[alive, 0]]
         begins = segment.bounds[term]
         ends = np.cumsum(segment.bounds[term + 1] - begins)
-        for at in range(0, int(ends[-1]) if len(ends) else 0, POSTINGS):
-            posting = np.arange(at, min(at + POSTINGS, int(ends[-1])))
+        for at in range(0, int(ends[-1]) if len(ends) else 0, self.most):
+            posting = np.arange(at, min(at + self.most, int(ends[-1])))
             which = np.searchsorted(ends, posting, "right")
             place = segment.postings[begins[which] + posting - np.append(0, ends[:-1])[which]]
             yield self._intersected(segment, number, alive[which], place, slop)

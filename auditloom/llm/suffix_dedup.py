@@ -7,18 +7,25 @@ the same minimiser can be equal, so
 
 1. pieces are compared by hash, first in each task, then by minimiser across tasks: a copy of
    an earlier whole piece is repeated whole, and a minimiser with one piece is done with;
-2. the distinct pieces that share a minimiser with others meet, as text, in one bucket. There
-   a transform is built and intervals are expanded by one byte to the front at a time, level
-   by level, so that common prefixes come up by increasing length; intervals of one row are
-   dropped, and the expansion stops at `length`. What is left are the sets of equal windows.
+2. the distinct pieces that share a minimiser with others are cut once more, by how far before
+   the minimiser a window starts. All windows of such a strip hold the same stretch of text
+   around the minimiser, its core, of 83 bytes for windows of 100. Equal windows have equal
+   cores, so strips are dealt out by the core's hash, as text, and one that is alone with its
+   core is done with;
+3. of strips that share a core a transform is built, and intervals are expanded by one byte to
+   the front at a time, level by level, so that common prefixes come up by increasing length;
+   intervals of one row are dropped, and the expansion stops at `length`. What is left are the
+   sets of equal windows. Strips that are too many for one transform are cut in narrower ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +33,10 @@ from auditloom.llm.common import byte_view, fixed, materialise, mix, partitions,
 
 _U = np.uint64
 GRAM = 32
-#: Pieces that a task compares at a time, and bytes of text in one transform; a minimiser's
-#: pieces stay together.
+#: Strips of a piece; bytes of all texts for each part that pieces and strips are dealt into, of
+#: which a task holds one at a time.
+STRIPS, PART_BYTES = 4, 4 << 20
+#: Pieces that a task compares at a time, and bytes of text in one transform.
 TASK_PIECES, TRANSFORM_BYTES = 1_000_000, 3 << 20
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _U(31_337))
 _STEP = mix(np.arange(8, dtype=np.uint64) + _U(777)) | _U(1)
@@ -137,18 +146,29 @@ def _cutting(length: int, parts: int):
     return run
 
 
-def _settling(parts: int):
-    """Whole partitions of dealt pieces: all pieces of a minimiser are in one."""
+def _by_part(batches):
+    """(part, its rows (kind, data)) of rows in the order of their parts."""
+    part, held = None, []
+    for batch in batches:
+        for p, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if p != part and held:
+                yield held
+                held = []
+            part = p
+            held.append((kind, data))
+    if held:
+        yield held
 
-    def run(batches):
-        held = []
-        for batch in batches:
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if kind == _PIECES:
-                    held.append(np.frombuffer(data, PIECE))
-                else:
-                    runs = np.frombuffer(data, RUN)
-                    yield _dealt(_RUNS, runs["doc"], runs, parts)
+
+def _settling(parts: int):
+    """Parts of dealt pieces, one after the other: all pieces of a minimiser are in one."""
+
+    def settled(rows):
+        for kind, data in rows:
+            if kind == _RUNS:
+                runs = np.frombuffer(data, RUN)
+                yield _dealt(_RUNS, runs["doc"], runs, parts)
+        held = [np.frombuffer(data, PIECE) for kind, data in rows if kind == _PIECES]
         if not held:
             return
         first, runs = settle(np.concatenate(held))
@@ -157,17 +177,20 @@ def _settling(parts: int):
         open_ = first[np.append(same, False) | np.append(False, same)]
         yield _dealt(_PIECES, open_["doc"], open_, parts)
 
+    def run(batches):
+        for rows in _by_part(batches):
+            yield from settled(rows)
+
     return run
 
 
 def _by_document(dtype: np.dtype):
-    """Whole partitions of rows dealt by document: a row of packed entries for each document."""
+    """Parts of rows dealt by document: a row of packed entries for each document."""
     schema = pa.schema([("doc", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
-        held = [np.frombuffer(d, dtype) for batch in batches for d in batch.column(2).to_pylist()]
-        if held:
-            rows = np.concatenate(held)
+        for held in _by_part(batches):
+            rows = np.concatenate([np.frombuffer(data, dtype) for _, data in held])
             rows = rows[np.argsort(rows["doc"], kind="stable")]
             cuts = np.flatnonzero(np.diff(rows["doc"])) + 1
             some = np.split(rows, cuts)
@@ -177,16 +200,36 @@ def _by_document(dtype: np.dtype):
     return run
 
 
+def strips(piece: tuple, low: int, high: int, parts: int, length: int, text: bytes, base: int) -> list[tuple[int, int, int, int, int]]:
+    """(low, high, core's hash, first, last window) of `parts` strips of a piece or strip: its windows
+    that start low..high bytes before the minimiser. text holds the document from `base` on."""
+    _, _, _, at, first, last = piece
+    width, out = -(-(high - low + 1) // parts), []
+    for near in range(low, high + 1, width):
+        far = min(near + width - 1, high)
+        begin, end = max(first, at - far), min(last, at - near)
+        if begin <= end:
+            core = text[at - near - base : at - far + length - base]
+            out.append((near, far, xxhash.xxh3_64_intdigest(core, near), begin, end))
+    return out
+
+
 def _with_text(length: int, parts: int):
     def run(batches):
-        for batch in pieces_of(batches, 0, 8 << 20):
+        for batch in pieces_of(batches, 0, 4 << 20):
             held: dict[int, list[bytes]] = {}
             for text, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw, pieces = text.encode(), np.frombuffer(data, PIECE)
-                part = (mix(pieces["hash"]) % _U(parts)).tolist()
-                for i, p in enumerate(pieces.tolist()):
-                    held.setdefault(part[i], []).append(pieces[i].tobytes() + raw[p[4] : p[5] + length])
-            yield record_batch(_DEALT, list(held), [_TEXTS] * len(held), [b"".join(x) for x in held.values()])
+                raw, pieces = text.encode(), np.frombuffer(data, PIECE).copy()
+                cut = [(*x, i) for i, p in enumerate(pieces.tolist()) for x in strips(p, 0, length - GRAM, STRIPS, length, raw, 0)]
+                out = pieces[[x[5] for x in cut]]
+                out["hash"], out["first"], out["last"] = (np.array([x[k] for x in cut], np.uint64 if k == 2 else np.int64) for k in (2, 3, 4))
+                out["piece"] = [x[0] << 32 | x[1] for x in cut]  # its place before the minimiser
+                part, packed = (mix(out["hash"]) % _U(parts)).tolist(), out.tobytes()
+                for i, (p, x) in enumerate(zip(part, cut)):
+                    held.setdefault(p, []).append(packed[i * PIECE.itemsize : (i + 1) * PIECE.itemsize] + raw[x[3] : x[4] + length])
+            some = list(held.items())
+            for at in range(0, len(some), 5000):
+                yield record_batch(_DEALT, [p for p, _ in some[at : at + 5000]], [_TEXTS] * len(some[at : at + 5000]), [b"".join(x) for _, x in some[at : at + 5000]])
 
     return run
 
@@ -246,8 +289,8 @@ def expand(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order[rows].astype(np.int64), group
 
 
-def _expanding(length: int, parts: int):
-    """Whole partitions of piece texts, all pieces of a minimiser in one."""
+def _expanding(length: int, parts: int, most: int):
+    """Parts of the texts of strips, all strips of a core in one."""
 
     def windows(pieces: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
         codes = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it turns into 0
@@ -261,26 +304,59 @@ def _expanding(length: int, parts: int):
         runs = joined(doc[sort][later], start[sort][later], start[sort][later])
         return _dealt(_RUNS, runs["doc"], runs, parts)
 
-    def run(batches):
-        found = []
-        for batch in batches:
-            for data in batch.column(2).to_pylist():
-                at = 0
-                while at < len(data):
-                    piece = np.frombuffer(data, PIECE, 1, at)
-                    end = at + PIECE.itemsize + int(piece["last"][0] - piece["first"][0]) + length
-                    found.append((int(piece["hash"][0]), piece, data[at + PIECE.itemsize : end]))
-                    at = end
+    def equals(group) -> pa.RecordBatch:
+        first: dict[bytes, tuple[int, int]] = {}
+        at = [(int(p["doc"][0]), int(p["first"][0])) for _, p, _ in group]
+        for place, (*_, text) in zip(at, group):
+            first[text] = min(place, first.get(text, place))
+        later = np.array([place for place, (*_, text) in zip(at, group) if place != first[text]], np.int64).reshape(-1, 2)
+        runs = joined(later[:, 0], later[:, 1], later[:, 1])
+        return _dealt(_RUNS, runs["doc"], runs, parts)
+
+    def unpacked(data: bytes):
+        at = 0
+        while at < len(data):
+            piece = np.frombuffer(data, PIECE, 1, at)
+            end = at + PIECE.itemsize + int(piece["last"][0] - piece["first"][0]) + length
+            yield int(piece["hash"][0]), piece, data[at + PIECE.itemsize : end]
+            at = end
+
+    def narrower(group):
+        """Strips of one core, each cut in two, under their own cores."""
+        for _, piece, text in group:
+            p = piece[0].tolist()
+            for near, far, key, first, last in strips(p, p[1] >> 32, p[1] & 0xFFFFFFFF, 2, length, text, p[4]):
+                part = piece.copy()
+                part["hash"], part["piece"], part["first"], part["last"] = key, near << 32 | far, first, last
+                yield key, part, text[first - p[4] : last - p[4] + length]
+
+    def expanded(found):
+        """Transforms of bounded size over the strips whose core others have too."""
         found.sort(key=lambda x: x[0])
-        held, size, last = [], 0, None
-        for key, piece, text in found:
-            if size >= TRANSFORM_BYTES and key != last:
-                yield windows(np.concatenate([x for x, _ in held]), [t for _, t in held])
+        held, size = [], 0
+        for _, group in itertools.groupby(found, key=lambda x: x[0]):
+            group = list(group)
+            own = sum(len(t) + 1 for *_, t in group)
+            if len(group) == 1:
+                continue
+            near, far = int(group[0][1]["piece"][0]) >> 32, int(group[0][1]["piece"][0]) & 0xFFFFFFFF
+            if own > most and near < far:
+                yield from expanded(list(narrower(group)))
+                continue
+            if own > most:  # strips of one window, which is the core: nothing is left to expand
+                yield equals(group)
+                continue
+            if size and size + own > most:
+                yield windows(np.concatenate([x for _, x, _ in held]), [t for *_, t in held])
                 held, size = [], 0
-            held.append((piece, text))
-            size, last = size + len(text) + 1, key
+            held += group
+            size += own
         if held:
-            yield windows(np.concatenate([x for x, _ in held]), [t for _, t in held])
+            yield windows(np.concatenate([x for _, x, _ in held]), [t for *_, t in held])
+
+    def run(batches):
+        for rows in _by_part(batches):
+            yield from expanded([x for _, data in rows for x in unpacked(data)])
 
     return run
 
@@ -325,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Packed rows of pieces, about one for every 35 bytes of text, are shuffled once by
     minimiser; a task first folds its own copies, so that a passage that every document has
     is one piece a task. Only pieces that share a minimiser with different ones are shuffled
-    as text. Texts are shuffled to join the pieces and, at the end, the runs to remove.
+    as text, in strips. A task holds one part of some PART_BYTES at a time. Texts are shuffled to join the pieces and, at the end, the runs to remove.
 
     Null or empty text: 0 bytes. A null doc_id counts as smaller than any other. Rows that
     repeat a doc_id are documents of their own, ordered by text. Texts shorter than `length`
@@ -335,14 +411,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be at least {2 * GRAM}")
     texts, _ = unique_rows(docs, id_col, text_col)
     n = partitions(docs.sparkSession)
-    parts = 4 * n
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(4 * n, size // PART_BYTES)
+
+    def by_part(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "part").sortWithinPartitions("part")
+
     pieces = texts.select("_key", "_text").mapInArrow(_cutting(length, parts), _DEALT_DDL)
-    settled = materialise(pieces.repartition(n, "part").mapInArrow(_settling(parts), _DEALT_DDL), "settled")
-    open_ = settled.filter(F.col("kind") == _PIECES).repartition(n, "part").mapInArrow(_by_document(PIECE), "doc long, data binary")
+    settled = materialise(by_part(pieces).mapInArrow(_settling(parts), _DEALT_DDL), "settled")
+    open_ = by_part(settled.filter(F.col("kind") == _PIECES)).mapInArrow(_by_document(PIECE), "doc long, data binary")
     shared = texts.select("_key", "_text").join(open_.hint("shuffle_hash"), F.col("_key") == F.col("doc")).select("_text", "data")
-    expanded = shared.mapInArrow(_with_text(length, parts), _DEALT_DDL).repartition(n, "part").mapInArrow(_expanding(length, parts), _DEALT_DDL)
+    expanded = by_part(shared.mapInArrow(_with_text(length, parts), _DEALT_DDL)).mapInArrow(_expanding(length, parts, TRANSFORM_BYTES), _DEALT_DDL)
     runs = settled.filter(F.col("kind") == _RUNS).union(materialise(expanded, "expanded"))
-    by_doc = runs.repartition(n, "part").mapInArrow(_by_document(RUN), "doc long, data binary")
+    by_doc = by_part(runs).mapInArrow(_by_document(RUN), "doc long, data binary")
     final = texts.join(by_doc.hint("shuffle_hash"), F.col("_key") == F.col("doc"), "left").select("_id", "_text", F.coalesce("data", F.lit(b"")).alias("data"))
     out = final.mapInArrow(_keeping(length, with_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(with_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import auditloom.llm.suffix_dedup as module
 from auditloom.llm.suffix_dedup import expand, remove_repeats
 from tests.llm.conftest import prose
 
@@ -48,6 +49,23 @@ def test_a_passage_in_many_documents_with_own_surroundings(docs_of):
     check(docs_of, [(k, f"{prose(k, 5, 9)} {passage} {prose(k + 500, 9, 9)}") for k in range(150)], 100)
 
 
+@pytest.mark.parametrize("most", [300, 3000])
+def test_strips_that_are_too_many_for_a_transform(docs_of, monkeypatch, most):
+    """Passages with own surroundings on either side; the transforms take a few strips only."""
+    monkeypatch.setattr(module, "TRANSFORM_BYTES", most)
+    monkeypatch.setattr(module, "PART_BYTES", 2000)
+    passage = prose(6, 25)
+    rows = [(k, f"{prose(k, 5, 9)} {passage[k % 7 :]} {prose(k + 500, 9, 9)}") for k in range(80)]
+    check(docs_of, rows + [(200 + k, f"{k % 3}" + passage[:130]) for k in range(40)] + [(300, "ab" * 200), (301, "ba" * 200)], 100)
+
+
+def test_a_very_long_text(docs_of):
+    rng = random.Random(8)
+    text = prose(9, 30_000, 50)
+    again = "".join(text[at : at + n] + prose(at, 3, 90) for at, n in ((rng.randrange(len(text) - 999), rng.randrange(60, 900)) for _ in range(200)))
+    check(docs_of, [(1, text), (2, again), (3, text[5000:200_000])], 100)
+
+
 def test_odd_rows_and_empty_table(docs_of, odd_rows):
     check(docs_of, [(i, t[:3000] if t else t) for i, t in odd_rows], 100)
     assert remove_repeats(docs_of([])).count() == 0
