@@ -35,7 +35,7 @@ def uncovered(rows: DataFrame, contract: DataFrame, name: str) -> DataFrame:
 
 def label_of_index(rows: DataFrame, idx: str, classes: DataFrame, offset: int = 0) -> DataFrame:
     """name by position in the class list (idx, name), class_<i> beyond it."""
-    dim = F.broadcast(classes.select((F.col("idx") + offset).alias("_i"), F.col("name").alias("_n")))
+    dim = classes.select((F.col("idx") + offset).alias("_i"), F.col("name").alias("_n"))
     return rows.join(dim, F.col(idx) == F.col("_i"), "left").withColumn("name", F.coalesce("_n", F.concat(F.lit("class_"), F.col(idx).cast("string")))).drop("_i", "_n")
 
 
@@ -44,17 +44,17 @@ def resolve_labels(labels: DataFrame, classes: DataFrame, label: str = "label",
     equal normalised spelling, the first class of several; by likeness of the second part,
     among classes of the same first part, if at least `least` (the first of equals); or null.
 
-    The class list (idx, name) is small and broadcast. Likeness is the ratio of matching
+    Spark broadcasts the class list (idx, name) where it is small. Likeness is the ratio of matching
     blocks, which no built-in function gives, so an Arrow UDF compares the few (label, class)
     pairs of one first part that neither alias nor spelling settles.
     """
     spark = labels.sparkSession
     distinct = labels.select(F.col(label).alias("label")).distinct()
-    named = F.broadcast(classes.select("idx", "name", normalised(F.col("name")).alias("norm"), normalised(split_class(F.col("name"))["crop"]).alias("crop"), normalised(split_class(F.col("name"))["rest"]).alias("rest")))
+    named = classes.select("idx", "name", normalised(F.col("name")).alias("norm"), normalised(split_class(F.col("name"))["crop"]).alias("crop"), normalised(split_class(F.col("name"))["rest"]).alias("rest"))
     alias = spark.createDataFrame(sorted((aliases or {}).items()) or [("", "")], "label string, target string")
-    by_alias = F.broadcast(alias.join(named, alias["target"] == named["name"], "left_semi").select("label", F.col("target").alias("a")))
+    by_alias = alias.join(named, alias["target"] == named["name"], "left_semi").select("label", F.col("target").alias("a"))
     first = named.groupBy("norm").agg(F.min_by("name", "idx").alias("e"))
-    staged = distinct.join(by_alias, "label", "left").withColumn("norm", normalised(F.col("label"))).join(F.broadcast(first), "norm", "left")
+    staged = distinct.join(by_alias, "label", "left").withColumn("norm", normalised(F.col("label"))).join(first, "norm", "left")
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:

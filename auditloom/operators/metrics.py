@@ -42,7 +42,7 @@ def class_scores(rows: DataFrame, classes: DataFrame, true: str = "truth", pred:
     right = F.col(true) == F.col(pred)
     sides = rows.select(F.explode(F.array(F.struct(F.col(true).alias("name"), F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("h")), F.struct(F.col(pred).alias("name"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.when(right, 1).otherwise(0).alias("h")))).alias("s")).select("s.*")
     counts = sides.groupBy("name").agg(*[F.sum(c).alias(c) for c in "tph"])
-    full = F.broadcast(classes.select("name")).join(counts, "name", "left").select("name", *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in (("t", "support"), ("p", "predicted"), ("h", "hit"))])
+    full = classes.select("name").join(counts, "name", "left").select("name", *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in (("t", "support"), ("p", "predicted"), ("h", "hit"))])
     none = F.lit(zero_division).cast("double")
     scored = full.withColumn("precision", F.coalesce(ratio(F.col("hit"), F.col("predicted")), none)).withColumn("recall", F.coalesce(ratio(F.col("hit"), F.col("support")), none))
     return scored.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), none))
@@ -67,7 +67,7 @@ def confusion_wide(rows: DataFrame, classes: list[str], true: str = "truth", pre
     """Dense matrix: a row for each class, a column for each predicted class, zeros included."""
     spark = rows.sparkSession
     wide = rows.groupBy(F.col(true).alias("name")).pivot(pred, classes).agg(F.count(F.lit(1)))
-    full = F.broadcast(class_table(spark, classes)).join(wide, "name", "left").select("name", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in classes])
+    full = class_table(spark, classes).join(wide, "name", "left").select("name", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in classes])
     return full.withColumnRenamed("name", "truth")
 
 
@@ -152,7 +152,7 @@ def class_balance(rows: DataFrame, classes: DataFrame, label: str = "truth", wea
     """Count of each contract class, its ratio to the median of the classes that have rows, and
     flags for weak (below half the median) and low (fewer than `low` rows) classes."""
     counts = rows.groupBy(F.col(label).alias("name")).agg(F.count("*").alias("n"))
-    full = F.broadcast(classes.select("name")).join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    full = classes.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     mid = F.median(F.when(F.col("n") > 0, F.col("n"))).over(Window.partitionBy())  # as many rows as classes
     held = full.withColumn("median", mid)
     return held.select("name", "n", ratio(F.col("n"), F.col("median")).alias("ratio"), (F.col("n") < weak * F.col("median")).alias("weak"), (F.col("n") < low).alias("low"))
@@ -212,4 +212,4 @@ def histogram(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     names = rows.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(bins)], "bin int, low double, high double")
     at = F.coalesce(*[F.when((value >= a) & (value < b), F.lit(i)) for i, (a, b) in enumerate(bins)])
     counts = rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    return F.broadcast(names).join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return names.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import labels as lb
 from auditloom.functions import rules
 from auditloom.operators import contract, lookup, metrics
+from auditloom.operators.splits import dense_index
 from auditloom.plans.fixtures import SQL_PRED, class_names, files, predictions, table
 from auditloom.sources.files import forecast_summary
 
@@ -90,9 +91,11 @@ def index_labels(spark, d):
 
 
 def resolve_labels(spark, d):
-    classes = metrics.class_table(spark, ["Rice___Brown_spot", "Rice___healthy", "Wheat___mildew", "Wheat___yellow_rust"])
-    said = spark.createDataFrame([(x,) for x in ("rice_brown_spots", "Rice brown-spot", "wheat_powdery_mildew", "wheat_rust_yellow", "corn_rust", "rice", "wheat_milldew")], "label string")
-    return lookup.resolve_labels(said, classes, aliases={"wheat_powdery_mildew": "Wheat___mildew", "rice": "Oat___rust"})
+    """Part names, spelt three ways, against the classes first word___second word."""
+    p = table(spark, d, "part")
+    classes = dense_index(p.select(F.regexp_replace("p_name", " ", "___").alias("name")), "name")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.upper(F.regexp_replace("p_name", " ", "-"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("s"))).otherwise(F.concat(F.lit("zz_"), "p_name"))
+    return lookup.resolve_labels(p.select(said.alias("label")), classes, aliases={"zz_small ring": "small___ring", "zz_red bolt": "no___class"})
 
 
 def contract_report(spark, d):
@@ -123,6 +126,9 @@ QUERIES = {f.__name__: f for f in (severity_bands, weather_risk, forecast_by_use
 _P = f"WITH {SQL_PRED}"
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 ORACLE_SQL = {
+    "resolve_labels": """WITH x AS (SELECT DISTINCT p_partkey % 3 AS k, p_name AS n FROM part), a AS (SELECT DISTINCT p_name AS n FROM part)
+SELECT CASE k WHEN 0 THEN upper(replace(n, ' ', '-')) WHEN 1 THEN replace(n, ' ', '_') || 's' ELSE 'zz_' || n END AS label, CASE WHEN k < 2 OR (n = 'small ring' AND n IN (FROM a)) THEN replace(n, ' ', '___') END AS name,
+  CASE WHEN k = 0 THEN 'exact' WHEN k = 1 THEN format('fuzzy({:.2f})', 2.0 * length(string_split(n, ' ')[2]) / (2 * length(string_split(n, ' ')[2]) + 1)) WHEN n = 'small ring' THEN 'alias' ELSE 'unmatched' END AS how FROM x""",
     "severity_bands": f"""{_P}, z AS (SELECT CASE WHEN "truth" = 'view' THEN 0 WHEN conf < 0.6 THEN 1 WHEN conf <= 0.85 THEN 2 ELSE 3 END AS stage FROM p) SELECT stage, [0, 15, 40, 75][stage + 1] AS percent, count(*) AS n FROM z GROUP BY ALL""",
     "weather_risk": f"""WITH e AS (SELECT event_type, CASE WHEN {_K} < 97 THEN {_K} END AS h, event_id % 4 AS rain, event_type IN ('click', 'view') AS fungal FROM events)
 SELECT event_type, CASE WHEN h IS NULL THEN 'UNKNOWN' WHEN fungal AND h > 75 AND rain >= 2 THEN 'HIGH' WHEN NOT fungal AND h > 80 THEN 'HIGH' WHEN h > 60 THEN 'MODERATE' ELSE 'LOW' END AS risk, count(*) AS n FROM e GROUP BY ALL""",

@@ -116,6 +116,10 @@ _V = f"{_NEAR}, v AS (SELECT id_a, id_b, 100 * list_max([abs(a.embedding[i]::DOU
 _C = "WITH x AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS e FROM embeddings)"
 _D = "x2 AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS e, label FROM embeddings)"
 ORACLE_SQL = {
+    "greedy_dedup": f"""{_S.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT vec_id, sig, row_number() OVER (ORDER BY vec_id) AS r FROM s),
+g AS (SELECT 0::BIGINT AS r, []::BIT[] AS held, NULL::BIGINT AS vec_id, NULL::BOOLEAN AS kept
+  UNION ALL SELECT r, CASE WHEN ok THEN list_append(held, sig) ELSE held END, vec_id, ok FROM (SELECT o.*, g.held, len(list_filter(g.held, lambda x: bit_count(xor(x, o.sig)) <= 14)) = 0 AS ok FROM g JOIN o ON o.r = g.r + 1))
+SELECT vec_id, kept FROM g WHERE r > 0""",
     "neardup_pairs": f"{_NEAR} SELECT * FROM n",
     "neardup_cross": f"{_CROSS} SELECT * FROM n",
     "neardup_hist": f"{_CROSS}, e AS (SELECT unnest(range(4))::INT AS bin, unnest([0.0, 2.0, 4.0, 6.0])::DOUBLE AS low, unnest([2.0, 4.0, 6.0, 9.0])::DOUBLE AS high) SELECT bin, low, high, count(n.id_a) AS n FROM e LEFT JOIN n ON distance >= low AND distance < high GROUP BY ALL",
