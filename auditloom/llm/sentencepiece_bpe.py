@@ -14,9 +14,9 @@ from auditloom.llm.common import id_and_text, pieces_of, record_batch, with_id
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-#: Distinct words, of LONG characters at most, and pairs of tokens that a task remembers (some 40 MB
-#: each); it forgets them all when there are more, and when it ends.
-REMEMBERED, PAIRS, LONG = 120_000, 400_000, 64
+#: Distinct words, of LONG characters at most, and pairs of tokens that a Python worker remembers
+#: (some 80 and 50 MB); it forgets them all when there are more, and the words when a task ends.
+REMEMBERED, PAIRS, LONG = 250_000, 500_000, 64
 
 
 def load_model(path: str) -> dict:
@@ -54,7 +54,7 @@ class PrefixTable:
         self.id = {p: i for i, (p, t) in enumerate(zip(model["pieces"], model["types"])) if t == _NORMAL}
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(model["pieces"], model["types"])) if t == _BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.types = model["types"]
+        self.types, self.decimal = model["types"], [f" {i}" for i in range(len(model["pieces"]))]
         self.chars = {p for p in self.id if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
@@ -100,11 +100,15 @@ class PrefixTable:
             for i, c in enumerate(word):
                 if c not in self.chars:
                     last[i + 1] = -1
+        known = self.fits.get
         for at, (token, n) in self.automaton.iter(word):
             end = at + 1
             if not length[end]:
                 before = last[end - n]
-                if before < 0 or self.pair_fits(before, token):
+                fits = before < 0 or known(before << 20 | token)
+                if fits is None:
+                    fits = self.pair_fits(before, token)
+                if fits:
                     last[end], length[end] = token, n
         return self.backwards(word, last, length)
 
@@ -177,7 +181,8 @@ class PrefixTable:
         found = self.known.get(word)
         if found is None:
             ids = self.ids(word)
-            found = ("".join(f" {i}" for i in ids).encode(), len(ids), self.decode(ids))
+            plain = self.byte_of.keys().isdisjoint(ids)  # then the tokens are the word
+            found = ("".join(map(self.decimal.__getitem__, ids)).encode(), len(ids), word.replace(SPACE, " ") if plain else self.decode(ids))
             if len(word) <= LONG:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -244,11 +249,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches):
         table = table_of(key, sent.value)
-        end = b" %d" % table.end
+        end, known = b" %d" % table.end, table.known.get
         for batch in pieces_of(batches):
             rows: list[list] = [[] for _ in fields[1:]]
             for text in batch.column(1).to_pylist():
-                found = [table.word(w) for w in table.words(text.replace(SPACE, " "))]
+                found = [known(w) or table.word(w) for w in table.words(text.replace(SPACE, " "))]
                 ids = (b"".join([f[0] for f in found]) + end)[1:]
                 decoded = "".join([f[2] for f in found])[1:]  # without the dummy space
                 row = [sum(f[1] for f in found) + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids.decode(), decoded]
@@ -256,7 +261,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     column.append(value)
             yield record_batch(schema, batch.column(0), *rows)
         table.known.clear()
-        table.fits.clear()
 
     out = id_and_text(docs, id_col, text_col).mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if with_text else ""))
     return out.select(with_id(), *[F.col(n) for n, _ in fields[1:]])
