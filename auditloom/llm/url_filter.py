@@ -75,8 +75,9 @@ def _domain_edges(hosts: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.lit(1.0).alias("weight"))
 
 
-#: Rounds between two looks at what is still on its way, each of which writes the ranks out.
-LOOK = 8
+#: Rounds between two looks at what is still on its way, each of which writes the ranks out. A round
+#: has the ranks of the one before twice in its plan, so there are few between two writes.
+LOOK = 2
 
 
 def most_rounds(damping: float, tolerance: float) -> int:
