@@ -146,6 +146,28 @@ def _cutting(length: int, parts: int):
     return run
 
 
+class _Dealer:
+    """Pieces and runs that a task has found, dealt out by document many at a time."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts, self.held, self.n = parts, {_PIECES: [], _RUNS: []}, 0
+
+    def add(self, kind: int, rows: np.ndarray):
+        if len(rows):
+            self.held[kind].append(rows)
+            self.n += len(rows)
+            if self.n >= TASK_PIECES:
+                yield from self.rest()
+
+    def rest(self):
+        for kind, some in self.held.items():
+            if some:
+                rows = np.concatenate(some)
+                self.held[kind] = []
+                yield _dealt(kind, rows["doc"], rows, self.parts)
+        self.n = 0
+
+
 def _by_part(batches):
     """(part, its rows (kind, data)) of rows in the order of their parts."""
     part, held = None, []
@@ -163,23 +185,23 @@ def _by_part(batches):
 def _settling(parts: int):
     """Parts of dealt pieces, one after the other: all pieces of a minimiser are in one."""
 
-    def settled(rows):
+    def settled(rows, out):
         for kind, data in rows:
             if kind == _RUNS:
-                runs = np.frombuffer(data, RUN)
-                yield _dealt(_RUNS, runs["doc"], runs, parts)
+                yield from out.add(_RUNS, np.frombuffer(data, RUN))
         held = [np.frombuffer(data, PIECE) for kind, data in rows if kind == _PIECES]
         if not held:
             return
         first, runs = settle(np.concatenate(held))
-        yield _dealt(_RUNS, runs["doc"], runs, parts)
+        yield from out.add(_RUNS, runs)
         same = first["hash"][1:] == first["hash"][:-1]
-        open_ = first[np.append(same, False) | np.append(False, same)]
-        yield _dealt(_PIECES, open_["doc"], open_, parts)
+        yield from out.add(_PIECES, first[np.append(same, False) | np.append(False, same)])
 
     def run(batches):
+        out = _Dealer(parts)
         for rows in _by_part(batches):
-            yield from settled(rows)
+            yield from settled(rows, out)
+        yield from out.rest()
 
     return run
 
@@ -292,7 +314,7 @@ def expand(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _expanding(length: int, parts: int, most: int):
     """Parts of the texts of strips, all strips of a core in one."""
 
-    def windows(pieces: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    def windows(pieces: np.ndarray, texts: list[bytes]) -> np.ndarray:
         codes = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it turns into 0
         places, group = expand(codes, length)
         sizes = pieces["last"].astype(np.int64) - pieces["first"] + length + 1
@@ -301,17 +323,15 @@ def _expanding(length: int, parts: int, most: int):
         doc, start = pieces["doc"][of], pieces["first"][of] + (places - bounds[of])
         sort = np.lexsort((start, doc, group))
         later = np.append(False, group[sort][1:] == group[sort][:-1]) if len(sort) else np.zeros(0, bool)
-        runs = joined(doc[sort][later], start[sort][later], start[sort][later])
-        return _dealt(_RUNS, runs["doc"], runs, parts)
+        return joined(doc[sort][later], start[sort][later], start[sort][later])
 
-    def equals(group) -> pa.RecordBatch:
+    def equals(group) -> np.ndarray:
         first: dict[bytes, tuple[int, int]] = {}
         at = [(int(p["doc"][0]), int(p["first"][0])) for _, p, _ in group]
         for place, (*_, text) in zip(at, group):
             first[text] = min(place, first.get(text, place))
         later = np.array([place for place, (*_, text) in zip(at, group) if place != first[text]], np.int64).reshape(-1, 2)
-        runs = joined(later[:, 0], later[:, 1], later[:, 1])
-        return _dealt(_RUNS, runs["doc"], runs, parts)
+        return joined(later[:, 0], later[:, 1], later[:, 1])
 
     def unpacked(data: bytes):
         at = 0
@@ -355,8 +375,11 @@ def _expanding(length: int, parts: int, most: int):
             yield windows(np.concatenate([x for _, x, _ in held]), [t for *_, t in held])
 
     def run(batches):
+        out = _Dealer(parts)
         for rows in _by_part(batches):
-            yield from expanded([x for _, data in rows for x in unpacked(data)])
+            for runs in expanded([x for _, data in rows for x in unpacked(data)]):
+                yield from out.add(_RUNS, runs)
+        yield from out.rest()
 
     return run
 
