@@ -39,7 +39,7 @@ def test_canonical_labels(spark):
 
 
 def test_naming_pattern(spark):
-    for names, want in ((["1", "2_train"], "plain_label_names"), (["1", "2"], "numeric_class_ids"), (["a___b"], "crop___disease"), (["a___b", "c"], "mixed"), ([], "unknown")):
+    for names, want in ((["1", "2_train"], "numeric_class_ids"), (["1", "b"], "plain_label_names"), (["1", "2"], "numeric_class_ids"), (["a___b"], "crop___disease"), (["a___b", "c"], "mixed (crop___disease + other)"), ([], "unknown")):
         df = spark.createDataFrame([(n,) for n in names], "x string")
         assert df.agg(lb.naming_pattern(F.col("x")).alias("p")).first().p == want
 
