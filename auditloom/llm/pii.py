@@ -329,13 +329,25 @@ def _together(frequent, n: int, alpha: float):
 _PLACES = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _places_of_terms(dull):
-    """All places of terms outside base spans, but of frequent ones that disclose nothing."""
+def _bits_of(terms: DataFrame) -> np.ndarray:
+    """A table of 2 ** 24 bits, those set that terms fall on; as large whatever the terms."""
+    word, bit = F.shiftrightunsigned("term", 46).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(term, 40) & 63 as int))").alias("bit")
+    found = terms.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** 18 rows at most
+    out = np.zeros(1 << 18, np.uint64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def _places_of_terms(dull, telling):
+    """The places outside base spans of all terms whose bit is set, but of frequent ones that
+    disclose nothing."""
 
     def places(batches):
         for batch in pieces_of(batches, 2):
             text, term, start, end = _whole_words(batch.column(2), [_base(t) for t in batch.column(2).to_pylist()])
-            keep = ~np.isin(term, dull.value)
+            at = term.view(np.uint64)
+            keep = (telling.value[(at >> np.uint64(46)).astype(np.int64)] >> ((at >> np.uint64(40)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keep &= ~np.isin(term, dull.value)
             a, b = (batch.column(i).to_numpy()[text[keep]] for i in range(2))
             term, start, end = term[keep], start[keep], end[keep]
             for i in range(0, len(a), 100_000):
@@ -379,7 +391,7 @@ def _whole_texts(rows: DataFrame, alpha: float, support: int) -> DataFrame:
     telling = materialise(together.join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("term").distinct(), "telling")
     told = telling.join(term_df.filter(F.col("df_t") * FREQUENT > n), "term", "left_semi").toArrow().column(0).to_numpy()
     dull = spark.sparkContext.broadcast(np.setdiff1d(often_term, told))
-    places = hashed.select("_a", "_b", "_text").mapInArrow(_places_of_terms(dull), "_a long, _b long, term long, start long, end long")
+    places = hashed.select("_a", "_b", "_text").mapInArrow(_places_of_terms(dull, spark.sparkContext.broadcast(_bits_of(telling))), "_a long, _b long, term long, start long, end long")
     return places.join(telling, "term", "left_semi").select("_a", "_b", "start", "end")
 
 
