@@ -36,6 +36,8 @@ GRAM = 32
 #: Strips of a piece; bytes of all texts for each part that pieces and strips are dealt into, of
 #: which a task holds one at a time.
 STRIPS, PART_BYTES = 4, 4 << 20
+#: Bytes of all texts for each task of a shuffle, where the session has fewer partitions.
+TASK_BYTES = 64 << 20
 #: Pieces that a task compares at a time, and bytes of text in one transform.
 TASK_PIECES, TRANSFORM_BYTES = 1_000_000, 3 << 20
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _U(31_337))
@@ -433,8 +435,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 2 * GRAM <= length <= 1 << 20:
         raise ValueError(f"length must be at least {2 * GRAM}")
     texts, _ = unique_rows(docs, id_col, text_col)
-    n = partitions(docs.sparkSession)
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), size // TASK_BYTES)
     parts = max(4 * n, size // PART_BYTES)
 
     def by_part(rows: DataFrame) -> DataFrame:
