@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import secret_scan, url_filter
+from auditloom.llm import collocations, secret_scan, url_filter
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.exact_dedup import exact_duplicates
 from auditloom.llm.near_dedup import near_duplicates
@@ -70,6 +70,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("k", "cut")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL_OP3 = f"""
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql(), "op5_url_filter": url_filter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql(), "op5_url_filter": url_filter.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
