@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.llm import collocations, secret_scan, url_filter
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.exact_dedup import exact_duplicates
+from auditloom.llm.language_id import identify_languages
 from auditloom.llm.near_dedup import near_duplicates
 from auditloom.llm.pii import find_private
 from auditloom.llm.quality import classify
@@ -74,6 +75,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents")).drop("k", "cut")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = identify_languages(table(spark, sf_dir, "documents"), learn=~held_out)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "lang_pred", "score", "cross_entropy", "margin", "rejected")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL_OP3 = f"""
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_collocations": op11_collocations,
+    "op12_language_id": op12_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql(), "op5_url_filter": url_filter.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
