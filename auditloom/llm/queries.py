@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import collocations, secret_scan, url_filter
+from auditloom.llm import collocations, hard_negatives, secret_scan, url_filter
 from auditloom.llm.decontaminate import contamination
 from auditloom.llm.exact_dedup import exact_duplicates
 from auditloom.llm.language_id import identify_languages
@@ -81,6 +81,12 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "lang_pred", "score", "cross_entropy", "margin", "rejected")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL_OP3 = f"""
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_collocations": op11_collocations,
     "op12_language_id": op12_language_id,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql(), "op5_url_filter": url_filter.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": SQL_OP3, "op4_secret_scan": secret_scan.oracle_sql(), "op5_url_filter": url_filter.oracle_sql(), "op11_collocations": collocations.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql()}
