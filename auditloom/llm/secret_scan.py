@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import functools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import NULL_ID, materialise, with_id
 
-#: (kind, pattern, group that holds the secret, what a match must be like to count), in the
-#: order in which kinds are listed; the first three are the fixed base.
-KINDS: tuple[tuple[str, str, int, str], ...] = (
-    ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, "^.{6,}"),
-    ("access", r"AKIA[A-Z0-9]{16,}", 0, "^."),
-    ("hex", r"[0-9a-f]{24,}", 0, "^."),
-    ("opaque", r"[A-Za-z0-9+/_-]{20,}", 0, "[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"),
+#: (kind, pattern, group that holds the secret, what all must be found in a match that counts), in
+#: the order in which kinds are listed; the first three are the fixed base. What must be found
+#: is looked for in one pass each, so that a word of any length costs no more than its length.
+KINDS: tuple[tuple[str, str, int, tuple[str, ...]], ...] = (
+    ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, ("^.{6}",)),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, ()),
+    ("hex", r"[0-9a-f]{24,}", 0, ()),
+    ("opaque", r"[A-Za-z0-9+/_-]{20,}", 0, ("[A-Za-z]", "[0-9]")),
 )
 BASE = 3
 
@@ -37,7 +38,7 @@ def _candidates(number: int) -> Column:
             F.lit(number).alias("kind"),
             F.length(m["gap"]).alias("gap"),
             F.length(m["whole"]).alias("size"),
-            m["secret"].rlike(like).alias("ok"),
+            reduce(Column.__and__, [m["secret"].rlike(x) for x in like], F.lit(True)).alias("ok"),
             F.sha2(m["secret"], 256).alias("hash"),
         ),
     )
@@ -92,14 +93,20 @@ def scan_secrets(
     examples = counted.filter((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).select("hash", F.lit(True).alias("example"))
     judged = spans.select("_row", "kind", "start", "end", "hash").join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
 
-    per_row = judged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "example"))).alias("all"))
+    # a sweep from either side finds base spans that reach into a span, or begin before its end
+    is_base = F.col("kind") < BASE
+    behind = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reaches = F.max(F.when(is_base, F.col("end"))).over(behind) > F.col("start")
+    begins = F.min(F.when(is_base, F.col("start"))).over(ahead) < F.col("end")
+    free = ~F.coalesce(reaches, F.lit(False)) & ~F.coalesce(begins, F.lit(False))
+    swept = judged.withColumn("shown", is_base | (~F.col("example") & free))
+
+    per_row = swept.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "example", "shown"))).alias("all"))
     joined = scanned.select("_row", "_id").join(per_row, "_row", "left")
-    every = F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,example:boolean>>"))
+    every = F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,example:boolean,shown:boolean>>"))
     base = F.filter("every", lambda s: s["kind"] < BASE)
-    shown = F.filter(
-        "every",
-        lambda s: (s["kind"] < BASE) | ((~s["example"]) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-    )
+    shown = F.filter("every", lambda s: s["shown"])
     name = F.array(*[F.lit(k[0]) for k in KINDS])
 
     def text(spans: Column) -> Column:
@@ -127,12 +134,13 @@ def oracle_sql(max_owners: int = 2, max_repos: int = 3) -> str:
     """The same over `documents`, for DuckDB."""
     parts = []
     for i, (_, pattern, group, like) in enumerate(KINDS):
-        p, like = pattern.replace("'", "''"), like.replace("'", "''")
+        p = pattern.replace("'", "''")
+        ok = " AND ".join([f"regexp_matches(x, '{x}')" for x in like] or ["true"])
         parts.append(f"""
 SELECT r, owner, repo, {i} AS kind, unnest(range(1, len(w) + 1)) AS pos,
        unnest(list_transform(list_slice(string_split_regex(t, '{p}'), 1, len(w)), lambda x: length(x))) AS gap,
        unnest(list_transform(w, lambda x: length(x))) AS size,
-       unnest(list_transform(s, lambda x: regexp_matches(x, '{like}'))) AS ok, unnest(list_transform(s, lambda x: sha256(x))) AS hash
+       unnest(list_transform(s, lambda x: {ok})) AS ok, unnest(list_transform(s, lambda x: sha256(x))) AS hash
 FROM (SELECT r, owner, repo, t, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {group}) AS s FROM d WHERE regexp_matches(t, '{p}'))""")
     names = ", ".join(f"'{k[0]}'" for k in KINDS)
     span = f"[{names}][kind + 1] || ':' || \"start\" || ':' || \"end\""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -63,3 +64,23 @@ def test_odd_rows_and_empty_table(spark, odd_rows):
     long_ = "word " * 20_000
     check(spark, [(i, t, None if i is None else "a", "en") for i, t in odd_rows] + [(50, f"{long_}secret=abcdef {long_}AKIA{'A' * 40}", "a", None), (51, "password=" + "x" * 100_000, "b", None), (52, "token=token=abcdefg password=abc secret:  'hunter22'", "b", "en")])
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).count() == 0
+
+
+def test_words_of_megabytes_cost_no_more_than_their_length(spark):
+    """A word of one class only, and one with its only digit at the end."""
+    words = ["a" * 10_000_000, "Z" * 5_000_000, "q" * 5_000_000 + "7", "5" * 3_000_000]
+    df = spark.createDataFrame([(i, f"{w} secret=abcdefg1", "a", "en") for i, w in enumerate(words)], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in scan_secrets(df).collect()}
+    assert time.time() - began < 30
+    at = [len(w) for w in words]
+    assign = [f"assign:{n + 1}:{n + 16}" for n in at]
+    assert got == {0: f"hex:0:{at[0]},{assign[0]}", 1: assign[1], 2: f"opaque:0:{at[2]},{assign[2]}", 3: f"hex:0:{at[3]},{assign[3]}"}
+
+
+def test_opaque_strings_beside_very_many_base_spans(spark):
+    """A text of 20,000 base spans and as many opaque strings, every second one across a base span."""
+    words = [f"Abc{i:017d}/x" if i % 2 else f"token=Abc{i:017d}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "a", "en")], "doc_id long, text string, source string, lang string")
+    got = scan_secrets(df).first()
+    assert (got.n_assign, got.n_opaque) == (10_000, 10_000) and got.spans.count(",") == 19_999
