@@ -316,10 +316,11 @@ def toxic_terms(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     likelihood ratio of the two shares, is `least` or more. Null labels are left out.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("_l"), (F.col(toxic_col).cast("double") > 0).alias("_toxic")).dropna()
+    rows = rows.groupBy("_l").agg(F.max("_toxic").alias("_toxic"))
     total = rows.count()
     if not total:
         return np.zeros(0, np.uint64)
-    some = rows.filter(_drawn(min(1.0, labelled_rows / total), "_l", F.lit(9))).groupBy("_l").agg(F.max("_toxic").alias("_toxic"))
+    some = rows.filter(_drawn(min(1.0, labelled_rows / total), "_l", F.lit(9)))
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(some), F.col("_id") == F.col("_l"))
     texts = texts.groupBy(F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_g")).agg(F.first("_text").alias("_text"), F.max("_toxic").alias("_toxic")).select("_text", "_toxic")
 
@@ -359,9 +360,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     The labellers of wording know INSULTS and, where `labelled` (doc_id, toxic) is given, the
     toxic_terms() of about `labelled_rows` of its rows. The votes are counted by pattern, of
     which there are 3 ** 8 * 2 ** 3 at most, whatever the number of documents; EM runs on these
-    counts. The scorer learns the posterior labels of some `sample_rows` documents, drawn by a hash of
-    id and text; only their features reach the driver. An empty sample of a table that isn't
-    empty is an error.
+    counts. The scorer learns the posterior labels of some `sample_rows` documents, and twice as
+    many at most. They are drawn by a hash of id, text and the row's place in its task, so that of
+    rows alike about the same share is drawn as of others; only their features reach the
+    driver. If none is drawn, the first `sample_rows` rows are taken.
     """
     rows, spark = id_and_text(docs, id_col, text_col), docs.sparkSession
     more = toxic_terms(docs, labelled, id_col, text_col, labelled_rows=labelled_rows) if labelled is not None else np.zeros(0, np.uint64)
@@ -390,10 +392,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     order = np.argsort(pattern)
     votes, counts = votes_of(pattern[order]), counts[order]
     model = Classifier(fit_labels(votes[:, : len(FORM)], counts), fit_labels(votes[:, len(FORM) :], counts), np.zeros(0), lexicon)
-    drawn = rows if counts.sum() <= sample_rows else rows.filter(_drawn(sample_rows / counts.sum(), "_id", F.substring("_text", 1, 64), F.lit(8)))
-    sample = drawn.mapInArrow(sampled, "pattern long, buckets binary, shares binary").toArrow()
-    if not sample.num_rows:
-        raise ValueError(f"no document was drawn for the sample of {sample_rows}")
+    place = F.monotonically_increasing_id()
+    drawn = rows if counts.sum() <= sample_rows else rows.filter(_drawn(sample_rows / counts.sum(), "_id", F.substring("_text", 1, 64), place, F.lit(8)))
+    for chosen in (drawn, rows.limit(sample_rows)):
+        sample = chosen.mapInArrow(sampled, "pattern long, buckets binary, shares binary").limit(2 * sample_rows).toArrow()
+        if sample.num_rows:
+            break
     features = [(np.frombuffer(b, np.int16), np.frombuffer(v)) for b, v in zip(sample.column(1).to_pylist(), sample.column(2).to_pylist())]
     model.weights = fit_scorer(features, model.posterior(votes_of(sample.column(0).to_numpy())))
     return model

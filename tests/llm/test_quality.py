@@ -135,10 +135,28 @@ def test_toxic_wording_of_held_out_rows(spark):
     assert len(toxic) > 15 and np.mean(toxic) < 0.5 and np.mean(clean) > 0.97
 
 
-def test_an_empty_sample_is_an_error(docs_of, monkeypatch):
+def test_an_empty_draw_takes_the_first_rows(docs_of, monkeypatch):
     monkeypatch.setattr(module, "_drawn", lambda share, *key: module.F.lit(False))
-    with pytest.raises(ValueError, match="sample"):
-        classify(docs_of([(i, prose(i, 30)) for i in range(30)]), sample_rows=5)
+    assert classify(docs_of([(i, prose(i, 30)) for i in range(30)]), sample_rows=5).count() == 30
+
+
+@pytest.mark.parametrize("ids", ["cast(null as long)", "7L", "id"])
+def test_rows_alike_are_drawn_like_others(spark, monkeypatch, ids):
+    """20,000 equal rows: about the sample's share of them is drawn, whatever text and id they have."""
+    drawn, fit = [], module.fit_scorer
+    monkeypatch.setattr(module, "fit_scorer", lambda features, labels: drawn.append(len(features)) or fit(features, labels))
+    for text in (prose(1, 40), "A B C !!!", ""):
+        rows = spark.range(20_000, numPartitions=3).selectExpr(f"{ids} as doc_id", f"'{text}' as text")
+        rows = rows.unionByName(spark.createDataFrame([(50, "river stone"), (None, None)], "doc_id long, text string"))
+        assert classify(rows, sample_rows=400).count() == 20_002
+    assert all(250 < n < 600 for n in drawn)
+
+
+def test_repeated_labels_do_not_thin_out_the_others(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{prose(i, 20)} {'zorgle' if i % 4 == 0 else ''}") for i in range(80)], "doc_id long, text string")
+    labels = spark.range(80).selectExpr("id as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    many = labels.union(spark.range(5000).selectExpr("1L", "0"))
+    assert len(module.toxic_terms(docs, many, labelled_rows=100)) == len(module.toxic_terms(docs, labels, labelled_rows=100)) > 0
 
 
 def test_the_sample_is_bounded_whatever_the_share(spark):
