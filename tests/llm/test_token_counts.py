@@ -2,8 +2,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import auditloom.llm.token_counts as module
 from auditloom.llm.queries import tokenizer_path
-from auditloom.llm.token_counts import SPACE, UNIT, PrefixTrie, pretoken_counts, token_counts, unigram_scores
+from auditloom.llm.token_counts import SPACE, UNIT, PrefixTrie, pretoken_counts, pretokens, sliced, token_counts, unigram_scores
 from tests.llm.conftest import prose
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -36,16 +37,36 @@ def test_trie_against_single_words(words, scores):
 
 @settings(max_examples=100, deadline=None)
 @given(st.text("abc😀", min_size=201, max_size=400), st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(-9 * UNIT, -1), max_size=12))
-def test_words_beyond_the_trie(word, scores):
+def test_long_words(word, scores):
     assert PrefixTrie(scores).counts([word, word[:9]])[word] == best(word, scores)
 
 
-def test_a_prefix_is_scored_once(scores):
+def test_a_shared_prefix_is_scored_once(scores):
     trie = PrefixTrie(scores)
     trie.insert(["abc", "abd"])
-    nodes = len(trie.best)
-    trie.insert(["ab", "abcd"])
-    assert (nodes, len(trie.best)) == (5, 6)
+    assert len(trie.best) == 3  # "", "a", "ab"
+    trie.insert(["ab", "abcd", "abce"])
+    assert len(trie.best) == 4  # "abc"
+    trie.insert(["x" * 100_000, "abcf"])
+    assert len(trie.best) == 4
+
+
+@pytest.mark.parametrize("words", [["x" * 1300, "x" * 1000, "x" * 1300 + "y"], [f"{i:05d}{prose(i, 3, 99)}" for i in range(3000)]])
+def test_nodes_and_words_are_bounded(scores, monkeypatch, words):
+    monkeypatch.setattr(module, "NODES", 900)
+    monkeypatch.setattr(module, "WORDS", 2000)
+    monkeypatch.setattr(module, "HELD", 64)
+    trie, found = PrefixTrie(scores), {}
+    for at in range(0, len(words), 500):
+        found.update({w: trie.counts(words[at : at + 500])[w] for w in words[at : at + 500]})
+        assert len(trie.best) <= 900 + 1 and len(trie.terminal) <= 2000
+    assert found == {w: best(w, scores) for w in words}
+
+
+@pytest.mark.parametrize("text", ["a  b\tc\u00a0d " * 50, "x" * 300, " " * 300, "", "word " * 100 + "y" * 500, "é\u2003" * 99])
+def test_slices_have_the_words_of_the_whole(monkeypatch, text):
+    monkeypatch.setattr(module, "SLICE", 37)
+    assert [w for part in sliced(text) for w in pretokens(part)] == pretokens(text)
 
 
 def test_against_brute_force(docs_of, odd_rows, scores):
