@@ -37,6 +37,8 @@ IN_WORD[[32, 9]] = False
 TEXT_BYTES = 4 << 20
 #: Words of a row of the stream; grams that a task holds before it emits their counts.
 ROW_WORDS, HELD_GRAMS = 1000, 2_000_000
+#: Words for each task of the exact counts: every task tells all the frequent grams that it has met.
+TASK_WORDS = 10_000_000
 #: Least and largest number of bits of a level's table (2 ** 30 bits are 128 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 #: Groups a language's candidates are ranked in, round by round.
@@ -295,7 +297,8 @@ def phrase_levels(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                 frequent = spark.sparkContext.broadcast(Bits(hashed, every, least))
             if not frequent.value.any:
                 break
-            exact = stream.mapInArrow(_exact(k, known, frequent), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            few = stream.coalesce(max(spark.sparkContext.defaultParallelism, every // TASK_WORDS))
+            exact = few.mapInArrow(_exact(k, known, frequent), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
             levels.append(materialise(exact.select("key", F.lit(k).alias("k"), "n"), f"level-{k}"))
             known = frequent
     return words, reduce(DataFrame.unionByName, levels), totals
