@@ -23,12 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditloom.llm.common import NULL_ID, materialise, partitions, record_batch, small_batches
+from auditloom.llm.common import NULL_ID, materialise, partitions, record_batch
 
 #: Components are kept within these bounds, so that scores of 128 dimensions fit 64 bits.
 MOST_COMPONENT = 1 << 28
 #: Anchors of a group (or more, so that there are about MOST_GROUPS at most), rows of a pack, most pivots.
 GROUP_ANCHORS, MOST_GROUPS, PACK_ROWS, MOST_PIVOTS = 512, 1 << 16, 4096, 1024
+#: Rows of a batch for Python: vectors are short, and Spark ends a batch of packs at 64 MB.
+PACKED_BATCH = 10_000
+#: Groups whose best rows a task holds, of some hundred kilobytes each.
+HELD_GROUPS = 200
 #: Rows that pivots are taken from.
 PIVOT_SAMPLE = 8192
 
@@ -123,6 +127,7 @@ class Groups:
         label = table.column("label")
         self.label = label.fill_null(0).to_numpy()
         self.any = label.is_null().to_numpy()
+        self.of_group: list[tuple[int, list[int]]] = sorted((g, np.flatnonzero(self.group == g).tolist()) for g in set(self.group.tolist()))
 
 
 def _sent(space, groups, own_cell: bool):
@@ -140,59 +145,103 @@ def _sent(space, groups, own_cell: bool):
             cell = d.argmin(1)
             size = np.sqrt(np.maximum(0, s.norm)) + 1
             slack = 1e-6 * size * size + 1  # of rounding
-            for i in range(len(g.group)):
-                take = (cell == g.cell[i]) == own_cell
-                if not g.any[i]:
-                    take &= labels == g.label[i]
-                if not own_cell:
-                    far = d[:, g.cell[i]]
-                    high = (g.squares[1][i] + s.norm - np.maximum(0, far - g.reach[i]) ** 2) / 2 + slack
-                    low = (g.squares[0][i] + s.norm - (far + g.reach[i]) ** 2) / 2 - slack
-                    take &= (high >= g.low[i]) & (low <= g.high[i])
+            for group, some in g.of_group:
+                take = np.zeros(len(x), bool)
+                for i in some:  # the labels of the group's anchors, or one row for all
+                    own = (cell == g.cell[i]) == own_cell
+                    if not g.any[i]:
+                        own &= labels == g.label[i]
+                    if not own_cell:
+                        far = d[:, g.cell[i]]
+                        high = (g.squares[1][i] + s.norm - np.maximum(0, far - g.reach[i]) ** 2) / 2 + slack
+                        low = (g.squares[0][i] + s.norm - (far + g.reach[i]) ** 2) / 2 - slack
+                        own &= (high >= g.low[i]) & (low <= g.high[i])
+                    take |= own
                 at = np.flatnonzero(take)
                 for begin in range(0, len(at), PACK_ROWS):
                     p = at[begin : begin + PACK_ROWS]
-                    yield record_batch(_PACK, [g.group[i]], [keys[p].astype("<i8").tobytes()], [ids[p].astype("<i8").tobytes()], [labels[p].astype("<i8").tobytes()], [x[p].tobytes()])
+                    yield record_batch(_PACK, [group], [keys[p].astype("<i8").tobytes()], [ids[p].astype("<i8").tobytes()], [labels[p].astype("<i8").tobytes()], [x[p].tobytes()])
 
     return run
 
 
+class _Kept:
+    """The k best rows that a task has found so far for each window of a group's anchors."""
+
+    def __init__(self, anchors: list[dict], dim: int, k: int) -> None:
+        self.k, self.keys = k, np.array([a["key"] for a in anchors], np.int64)
+        self.labels, self.x = np.array([a["label"] for a in anchors], np.int64), _matrix([a["vector"] for a in anchors], dim)
+        most = max(len(a["windows"]) for a in anchors)
+        none = {"window": -1, "low": 1, "high": 0}  # lets nothing in
+        windows = [(sorted(a["windows"], key=lambda w: w["window"]) + [none] * most)[:most] for a in anchors]
+        self.window, self.low, self.high = (np.array([[w[n] for w in ws] for ws in windows], np.int64) for n in ("window", "low", "high"))
+        shape = (len(anchors), most, k)
+        self.found = np.zeros(shape, bool)
+        self.score, self.id, self.key = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, same_label: bool) -> None:
+        order = np.lexsort((keys, ids))
+        keys, ids, labels = keys[order], ids[order], labels[order]
+        every = scores(self.x, x[order])
+        fit = (self.labels[:, None] == labels) == same_label
+        if same_label:
+            fit &= self.keys[:, None] != keys
+        for w in range(self.window.shape[1]):
+            ok = fit & (every >= self.low[:, w, None]) & (every <= self.high[:, w, None])
+            at, valid = _best_places(every, ok, self.k)
+            score, i, key = np.take_along_axis(every, at, 1), ids[at], keys[at]
+            every_found = np.concatenate([self.found[:, w], valid], 1)
+            parts = [np.concatenate([old[:, w], new], 1) for old, new in ((self.score, score), (self.id, i), (self.key, key))]
+            order = np.lexsort((parts[2], parts[1], -parts[0], ~every_found))[:, : self.k]
+            self.found[:, w] = np.take_along_axis(every_found, order, 1)
+            self.score[:, w], self.id[:, w], self.key[:, w] = (np.take_along_axis(x, order, 1) for x in parts)
+
+    def rows(self) -> list[np.ndarray]:
+        a, w, k = np.nonzero(self.found)
+        return [self.keys[a], self.window[a, w], self.score[a, w, k], self.id[a, w, k], self.key[a, w, k]]
+
+
+def _best_places(every: np.ndarray, ok: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether they count) of the k highest scores of each line among those that are ok, of
+    equals the first; in any order."""
+    n = every.shape[1]
+    bits = max(1, (n - 1).bit_length())
+    if int(np.abs(every).max(initial=0)) < 1 << (61 - bits):  # score and place in one number
+        whole = np.where(ok, (every << bits) | (n - 1 - np.arange(n)), np.iinfo(np.int64).min)
+        at = np.argpartition(whole, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), every.shape)
+    else:
+        at = np.lexsort((np.broadcast_to(np.arange(n), every.shape), -every, ~ok))[:, :k]
+    valid = np.take_along_axis(ok, at, 1)
+    if at.shape[1] < k:
+        more = k - at.shape[1]
+        at, valid = np.pad(at, ((0, 0), (0, more))), np.pad(valid, ((0, 0), (0, more)))
+    return at, valid
+
+
 def _best(dim: int, same_label: bool, k: int):
     """The k best rows of each anchor's windows among the packs of its group, by score, id and key.
 
-    Input: group, packed rows, and the anchors of the group as lists. What a task has found for a
-    group is kept until the next group comes, so that it tells k rows a window at most."""
+    Input: group, packed rows, and the anchors of the group as lists. What a task has found is
+    kept for HELD_GROUPS groups, so that it tells k rows of a window as a rule."""
 
     def run(batches):
-        group, held = None, {}
+        kept: dict[int, _Kept] = {}
 
         def out():
-            rows = [(a, w, s, i, key) for (a, w), found in held.items() for s, i, key in found]
-            for at in range(0, len(rows), 50_000):
-                yield record_batch(_BEST, *[list(c) for c in zip(*rows[at : at + 50_000])])
+            for one in kept.values():
+                rows = one.rows()
+                for at in range(0, len(rows[0]), 50_000):
+                    yield record_batch(_BEST, *[c[at : at + 50_000] for c in rows])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["group"] != group:
-                    yield from out()
-                    group, held = row["group"], {}
-                keys, ids, labels = (np.frombuffer(row[n], "<i8") for n in ("keys", "ids", "labels"))
-                order = np.lexsort((keys, ids))
-                keys, ids, labels = keys[order], ids[order], labels[order]
-                x = np.frombuffer(row["vectors"], "<i4").reshape(-1, dim)[order]
-                anchors = row["anchors"]
-                every = scores(_matrix([a["vector"] for a in anchors], dim), x)
-                for a, own in zip(anchors, every):
-                    fit = (labels == a["label"]) & (keys != a["key"]) if same_label else labels != a["label"]
-                    for w in a["windows"]:
-                        at = np.flatnonzero(fit & (own >= w["low"]) & (own <= w["high"]))
-                        if len(at) > k:
-                            least = np.partition(own[at], len(at) - k)[len(at) - k]
-                            at = at[own[at] >= least]
-                        at = at[np.argsort(-own[at], kind="stable")[:k]]
-                        if len(at):
-                            found = held.get((a["key"], w["window"]), []) + list(zip(own[at].tolist(), ids[at].tolist(), keys[at].tolist()))
-                            held[a["key"], w["window"]] = sorted(found, key=lambda f: (-f[0], f[1], f[2]))[:k]
+            for i, group in enumerate(batch.column(0).to_pylist()):
+                if group not in kept:
+                    if len(kept) >= HELD_GROUPS:
+                        yield from out()
+                        kept.clear()
+                    kept[group] = _Kept(batch.column(5)[i].as_py(), dim, k)
+                keys, ids, labels = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in (1, 2, 3))
+                kept[group].add(keys, ids, labels, np.frombuffer(batch.column(4)[i].as_py(), "<i4").reshape(-1, dim), same_label)
         yield from out()
 
     return run
@@ -272,20 +321,19 @@ def mine_hard_negatives(vectors: DataFrame, anchor: Column, id_col: str = "vec_i
 
     def served(windows: DataFrame, same_label: bool, k: int, name: str) -> DataFrame:
         """The best k rows of each window (an anchor's row with window, low, high) over all rows."""
-        own = materialise(_joined(rows, _packed(windows), _described(windows, same_label), space, dim, True, same_label, k), f"{name}-own", 50)
-        full = own.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k).select(F.col("anchor").alias("key"), "window", "least")
+        own = materialise(_joined(rows, _packed(windows), _described(windows, same_label), space, dim, True, same_label, k), f"{name}-own", PACKED_BATCH)
+        full = _first(own, k).groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k).select(F.col("anchor").alias("key"), "window", "least")
         narrow = windows.join(full, ["key", "window"], "left").withColumn("low", F.greatest("low", F.coalesce("least", "low"))).drop("least")
         narrow = materialise(narrow, f"{name}-windows")
-        rest = materialise(_joined(rows, _packed(narrow), _described(narrow, same_label), space, dim, False, same_label, k), f"{name}-rest", 50)
+        rest = materialise(_joined(rows, _packed(narrow), _described(narrow, same_label), space, dim, False, same_label, k), f"{name}-rest", PACKED_BATCH)
         return materialise(_first(own.unionByName(rest), k), name)
 
-    with small_batches(spark):
-        whole = anchors.withColumns({"window": F.lit(0).cast("long"), "low": F.lit(_ANY[0]).cast("long"), "high": F.lit(_ANY[1]).cast("long")})
-        best = served(whole, True, positives, "positives")
-        wide = F.col("score").cast("decimal(20,0)")  # low <= 100 * score / positive score <= high, in whole numbers
-        bounds = best.select(F.col("anchor").alias("key"), F.col("rank").cast("long").alias("window"), F.col("id").alias("positive"), F.col("score").alias("positive_score"), F.ceil(wide * low / 100).cast("long").alias("low"), F.floor(wide * high / 100).cast("long").alias("high"))
-        windows = materialise(anchors.join(bounds.filter(F.col("low") <= F.col("high")), "key"), "negative-windows")
-        found = served(windows.drop("positive", "positive_score"), False, negatives, "negatives")
+    whole = anchors.withColumns({"window": F.lit(0).cast("long"), "low": F.lit(_ANY[0]).cast("long"), "high": F.lit(_ANY[1]).cast("long")})
+    best = served(whole, True, positives, "positives")
+    wide = F.col("score").cast("decimal(20,0)")  # low <= 100 * score / positive score <= high, in whole numbers
+    bounds = best.select(F.col("anchor").alias("key"), F.col("rank").cast("long").alias("window"), F.col("id").alias("positive"), F.col("score").alias("positive_score"), F.ceil(wide * low / 100).cast("long").alias("low"), F.floor(wide * high / 100).cast("long").alias("high"))
+    windows = materialise(anchors.join(bounds.filter(F.col("low") <= F.col("high")), "key"), "negative-windows")
+    found = served(windows.drop("positive", "positive_score"), False, negatives, "negatives")
     named = windows.select(F.col("key").alias("anchor"), "window", F.col("id").alias("anchor_id"), "positive", "positive_score")
     out = found.join(named, ["anchor", "window"])
     return out.select(*[F.when(F.col(c) != NULL_ID, F.col(c)).alias(n) for c, n in (("anchor_id", "anchor_id"), ("positive", "positive_id"))], F.col("rank").cast("int").alias("rank"), F.when(F.col("id") != NULL_ID, F.col("id")).alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
