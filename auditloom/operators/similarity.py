@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,27 +110,72 @@ def near_nodes(rows: DataFrame, id_col: str, signature: str, limit: int, equal:
     return pairs, rows.join(nodes, [*equal, signature]).select(F.col(id_col), "node", "copies")
 
 
-def greedy_keep(rows: DataFrame, order_col: str, signature: str, limit: int) -> DataFrame:
+def greedy_keep(rows: DataFrame, order_col: str, signature: str, limit: int, block_edges: int = 1_000_000) -> DataFrame:
     """(order_col, kept): go through the rows in order and keep each that has no kept row
     before it within the limit.
 
     That is the first maximal independent set in this order. Equal signatures never both stay,
-    so only the first of each is a node. Rounds settle nodes whose earlier neighbours are all
-    settled: kept if none of these is kept. Each round is written to the shared folder; there
-    are as many as the longest chain of undecided neighbours.
+    so only the first of each is a node; see first_independent().
     """
-    spark = rows.sparkSession
     nodes = rows.groupBy(signature).agg(F.min(order_col).alias("node"))
-    edges = stored(near_pairs(nodes, nodes, "node", signature, limit, self_join=True).select(F.col("id_a").alias("before"), F.col("id_b").alias("node")), spark)
-    state = stored(nodes.join(edges.select("node").distinct().withColumn("bound", F.lit(True)), "node", "left").select("node", F.when(F.col("bound"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")), spark)
-    while not state.filter("kept is null").isEmpty():
-        open_ = edges.join(state.filter("kept is null").select("node"), "node")
-        seen = open_.join(state.select(F.col("node").alias("before"), F.col("kept").alias("k")), "before").groupBy("node").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("some"), F.bool_and(F.col("k").isNotNull() & ~F.coalesce("k", F.lit(False))).alias("none"))
-        state = stored(state.join(seen, "node", "left").select("node", F.coalesce("kept", F.when(F.col("some"), False).when(F.col("none"), True)).alias("kept")), spark)
-    firsts = state.filter("kept").select(F.col("node").alias(order_col), F.lit(True).alias("_k"))
+    edges = near_pairs(nodes, nodes, "node", signature, limit, self_join=True).select(F.col("id_a").alias("before"), F.col("id_b").alias("node"))
+    out = first_independent(edges, block_edges)
+    firsts = nodes.select("node").join(out.filter(~F.col("kept")), "node", "left_anti").select(F.col("node").alias(order_col), F.lit(True).alias("_k"))
     return rows.select(order_col).join(firsts, order_col, "left").select(order_col, F.coalesce("_k", F.lit(False)).alias("kept"))
 
 
+def first_independent(edges: DataFrame, block_edges: int = 1_000_000) -> DataFrame:
+    """(node, kept) of all nodes with an edge (before, node) to an earlier one: kept is false if an
+    earlier neighbour is kept. Nodes without earlier neighbours are kept, and aren't told.
+
+    In each round the edges whose node is undecided are dealt out in order of their nodes, about
+    block_edges to a task, which goes through its nodes in order and decides all that depend
+    on nothing but decided nodes and its own. So a chain of neighbours takes no more rounds than
+    it has tasks to pass through, and the first task always ends with none undecided; chains that
+    cross no border take one round. A task holds the states of its own nodes. What a round has
+    decided is written to the shared folder.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["node"].dataType.simpleString()
+    inner = edges.select(F.col("node").alias("before")).distinct().withColumn("_inner", F.lit(True))
+    # a neighbour without earlier ones of its own is kept from the start
+    open_ = stored(edges.join(inner, "before", "left").select("node", "before", F.when(F.col("_inner").isNull(), F.lit(True)).alias("known")), spark)
+    decided = []
+    while n := open_.count():
+        blocks = open_.repartitionByRange(-(-n // block_edges), "node").sortWithinPartitions("node")
+        decided.append(stored(blocks.mapInArrow(_decide, f"node {kind}, kept boolean"), spark))
+        left = open_.join(decided[-1], "node", "left_anti")
+        told = decided[-1].select(F.col("node").alias("before"), F.col("kept").alias("_k"))
+        open_ = stored(left.join(told, "before", "left").select("node", "before", F.coalesce("known", "_k").alias("known")), spark)
+    if not decided:
+        return edges.select("node", F.lit(False).alias("kept")).limit(0)
+    return functools.reduce(DataFrame.unionByName, decided)
+
+
+def _decide(batches):
+    """(node, kept) of the nodes that a task can decide; its edges come in order of their nodes."""
+    state, node, some, unknown = {}, None, False, False
+
+    def settled():
+        state[node] = None if unknown and not some else not some
+
+    for batch in batches:
+        for at, before, known in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            if at != node:
+                if node is not None:
+                    settled()
+                node, some, unknown = at, False, False
+            kept = state.get(before) if known is None else known
+            some, unknown = some or kept is True, unknown or kept is None
+    if node is None:
+        return
+    settled()
+    found = [(k, v) for k, v in state.items() if v is not None]
+    for i in range(0, len(found), 50_000):
+        part = found[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], batch.schema.field(0).type), pa.array([v for _, v in part])], names=["node", "kept"])
+
+
 def verdict(mae: Column, same: float = 5.0, similar: float = 15.0) -> Column:
     return F.when(mae <= same, "same").when(mae <= similar, "similar").otherwise("different")
 

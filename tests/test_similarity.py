@@ -59,3 +59,31 @@ def test_softmax_only_if_needed(spark):
     df = spark.createDataFrame([([0.25, 0.75],), ([1.0, 3.0],), ([-1.0, 1.5],)], "s array<double>")
     got = [r.p for r in df.select(vectors.softmax_if_needed(F.col("s")).alias("p")).collect()]
     assert got[0] == [0.25, 0.75] and all(abs(sum(p) - 1) < 1e-9 for p in got)
+
+
+@pytest.mark.parametrize("block_edges", [7, 100, 10**6])
+def test_first_independent_set_by_blocks(spark, block_edges):
+    rng = random.Random(block_edges)
+    edges = sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(400)})
+    kept = {}
+    for node in range(200):
+        kept[node] = not any(kept[a] for a, b in edges if b == node)
+    want = {b: kept[b] for _, b in edges}
+    named = [(f"n{a:03d}", f"n{b:03d}") for a, b in edges]  # nodes of any type that has an order
+    got = similarity.first_independent(spark.createDataFrame(named, "before string, node string"), block_edges).collect()
+    assert {int(r.node[1:]): r.kept for r in got} == want and len(got) == len(want)
+
+
+def test_a_chain_takes_as_many_rounds_as_tasks(spark, monkeypatch):
+    """100,000 links in order, 5,000 to a task: the rule of one link a round would take 100,000."""
+    rounds, stored = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, s: rounds.append(1) or stored(df, s))
+    chain = spark.range(100_000).select(F.col("id").alias("before"), (F.col("id") + 1).alias("node"))
+    assert similarity.first_independent(chain, 5000).filter(F.col("kept") == (F.col("node") % 2 == 0)).count() == 100_000
+    assert (len(rounds) - 1) / 2 < 30
+
+
+def test_no_neighbours_at_all(spark):
+    assert similarity.first_independent(spark.createDataFrame([], "before long, node long")).count() == 0
+    rows = spark.createDataFrame([(3, 0), (1, -1), (2, 0)], "id long, sig long")
+    assert sorted(map(tuple, similarity.greedy_keep(rows, "id", "sig", 4).collect())) == [(1, True), (2, True), (3, False)]
