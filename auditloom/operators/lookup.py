@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from auditloom.functions.labels import normalised, split_class
+from auditloom.operators.scratch import stored
 
 
 def lookup_with_fallback(rows: DataFrame, key: str, tables: list[DataFrame], value: str, default) -> DataFrame:
@@ -45,8 +47,8 @@ def resolve_labels(labels: DataFrame, classes: DataFrame, label: str = "label",
     among classes of the same first part, if at least `least` (the first of equals); or null.
 
     Spark broadcasts the class list (idx, name) where it is small. Likeness is the ratio of matching
-    blocks, which no built-in function gives, so an Arrow UDF compares the few (label, class)
-    pairs of one first part that neither alias nor spelling settles.
+    blocks, which no built-in function gives, so an Arrow UDF compares the (label, class) pairs of one
+    first part that neither alias nor spelling settles, as far as likely_pairs() leaves any.
     """
     spark = labels.sparkSession
     distinct = labels.select(F.col(label).alias("label")).distinct()
@@ -56,16 +58,46 @@ def resolve_labels(labels: DataFrame, classes: DataFrame, label: str = "label",
     first = named.groupBy("norm").agg(F.min_by("name", "idx").alias("e"))
     staged = distinct.join(by_alias, "label", "left").withColumn("norm", normalised(F.col("label"))).join(first, "norm", "left")
 
-    @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
     parts = F.split("label", "_", 2)
     open_ = staged.filter("a is null and e is null and instr(label, '_') > 0").select("label", normalised(parts[0]).alias("crop"), normalised(parts[1]).alias("mine"))
-    scored = open_.join(named, "crop").select("label", "idx", "name", likeness("mine", "rest").alias("score")).filter(F.col("score") >= least)
+    first, rest = likely_pairs(open_, named, least)
+    scored = first.unionByName(rest.select("label", "idx", "name", likeness("mine", "rest").alias("score"))).filter(F.col("score") >= least)
     best = scored.groupBy("label").agg(F.max_by("name", F.struct("score", -F.col("idx"))).alias("f"), F.max("score").alias("score"))
     out = staged.join(best, "label", "left")
     how = F.when(F.col("a").isNotNull(), "alias").when(F.col("e").isNotNull(), "exact").when(F.col("f").isNotNull(), F.format_string("fuzzy(%.2f)", "score")).otherwise("unmatched")
     return out.select("label", F.coalesce("a", "e", "f").alias("name"), how.alias("how"))
+
+
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of matching blocks of two texts."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def _counted(text: str) -> Column:
+    """The characters of a text, each with how often it has come up so far: a set that stands for a multiset."""
+    chars = F.split(text, "")
+    return F.when(F.length(text) > 0, F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def likeness_bound(a: str, b: str, counted_a: str, counted_b: str) -> Column:
+    """No less than the likeness of two texts of lengths n and m, by built-in functions. Matching blocks are a common
+    subsequence: they have no more characters than both texts share, nor than (n + m - edits) / 2."""
+    both = F.length(a) + F.length(b)
+    shared = 2 * F.size(F.array_intersect(counted_a, counted_b)) / both
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.least(shared, 1 - F.levenshtein(a, b) / both))
+
+
+def likely_pairs(labels: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """((label, idx, name, score), (label, idx, name, mine, rest)): of labels (label, crop, mine) and
+    classes (idx, name, crop, rest) with one crop, for each label the class with the highest bound and
+    its likeness; and the pairs that may still be as alike, the only others to be compared."""
+    mine, rest = labels.withColumn("_a", _counted("mine")), classes.withColumn("_b", _counted("rest"))
+    pairs = mine.join(rest, "crop").withColumn("bound", likeness_bound("mine", "rest", "_a", "_b")).select("label", "idx", "name", "mine", "rest", "bound")
+    pairs = stored(pairs.filter(F.col("bound") >= least), labels.sparkSession)
+    first = pairs.groupBy("label").agg(F.min_by(F.struct("idx", "name", "mine", "rest"), F.struct(-F.col("bound"), "idx")).alias("x"))
+    first = stored(first.select("label", "x.idx", "x.name", likeness("x.mine", "x.rest").alias("score")), labels.sparkSession)
+    known = first.select("label", F.col("idx").alias("_i"), F.col("score").alias("_s"))
+    return first, pairs.join(known, "label").filter((F.col("idx") != F.col("_i")) & (F.col("bound") >= F.col("_s") - 1e-12)).select("label", "idx", "name", "mine", "rest")

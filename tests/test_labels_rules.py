@@ -1,6 +1,9 @@
 """Column expressions, readers and writers, lookups, checks."""
 
 import json
+import random
+import re
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -62,6 +65,37 @@ def test_resolve_labels(spark):
     assert got["corn_rust"] == got["rice"] == (None, "unmatched")
 
 
+def test_fuzzy_labels_against_all_pairs(spark):
+    """The same answers as from the ratios of all pairs of a crop, with few of them computed."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    classes = [f"{crop}___{rng.choice(words)}_{rng.choice(words)}" for crop in ("Rice", "Wheat") for _ in range(150)] + ["Rice___", "Rice___ab"]
+    said = set()
+    for name in classes + classes[:60]:
+        crop, rest = name.split("___")
+        t = list(rest)
+        for _ in range(rng.randrange(4)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("aeiou_"))
+        said.add(f"{crop.lower()}_{''.join(t)}")
+    said |= {"rice_", "rice_zzzz", "rice_ba", "corn_leaf"}
+    norm = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    want = {}
+    for label in said:
+        crop, mine = label.split("_", 1)
+        if any(norm(label) == norm(c) for c in classes):
+            continue
+        best = max(((SequenceMatcher(None, norm(mine), norm(c.split("___")[1])).ratio(), -i) for i, c in enumerate(classes) if norm(c.split("___")[0]) == norm(crop)), default=(0, 0))
+        want[label] = classes[-best[1]] if best[0] >= 0.5 else None
+    labels = spark.createDataFrame([(x,) for x in sorted(said)], "label string")
+    table = metrics.class_table(spark, classes)
+    got = {r.label: r.name for r in lookup.resolve_labels(labels, table).collect()}
+    assert {k: got[k] for k in want} == want
+    open_ = spark.createDataFrame([(x, norm(x.split("_", 1)[0]), norm(x.split("_", 1)[1])) for x in want], "label string, crop string, mine string")
+    named = spark.createDataFrame([(i, c, norm(c.split("___")[0]), norm(c.split("___")[1])) for i, c in enumerate(classes)], "idx int, name string, crop string, rest string")
+    first, rest = lookup.likely_pairs(open_, named, 0.5)
+    assert first.count() + rest.count() < 0.05 * open_.join(named, "crop").count()
+
+
 def test_lookup_fallback_with_nulls(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "key string")
     one, two = spark.createDataFrame([("a", "1")], "key string, value string"), spark.createDataFrame([("a", "9"), ("b", "2")], "key string, value string")
