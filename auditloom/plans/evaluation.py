@@ -129,7 +129,8 @@ def conf_histogram(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return m.bootstrap_interval(predictions(spark, d))
+    out = m.bootstrap_interval(predictions(spark, d))
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "low", "high")})
 
 
 def worst_missed(spark, d):
@@ -140,7 +141,12 @@ def worst_missed(spark, d):
 QUERIES = {f.__name__: f for f in (gate_sweep, gate_sweep_by_class, gate_by_group, gate_pick, accuracy_summary, class_prf, class_prf_zero, macro_weighted, confusion_long, confusion_wide, mispairs_topk, confident_mistakes, group_rollup, healthy_summary, family_accuracy, prior_ratio, worst_classes, class_balance, exclusion_rescore, two_runs, conf_histogram, bootstrap_ci, worst_missed)}
 
 _P = f"WITH {SQL_PRED}"
+_BITS = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
 ORACLE_SQL = {
+    "bootstrap_ci": f"""{_P}, blocks AS (SELECT {_BITS.format("id::VARCHAR")} % 1000 AS block, count(*) AS n, count(*) FILTER (WHERE "truth" = pred) AS yes FROM p GROUP BY 1),
+draws AS (SELECT r, n, yes, {_BITS.format("'42:' || r || ':' || block")} AS u FROM blocks, range(1000) z(r)), weighted AS (SELECT r, n, yes, {" + ".join(f"(u >= {x})::INT" for x in m.POISSON_STEPS)} AS times FROM draws),
+shares AS (SELECT sum(times * yes)::DOUBLE / sum(times * n) AS a FROM weighted GROUP BY r)
+SELECT (SELECT sum(n)::BIGINT FROM blocks) AS n, round((SELECT sum(yes)::DOUBLE / sum(n) FROM blocks), 9) AS accuracy, round(quantile_cont(a, 0.025), 9) AS low, round(quantile_cont(a, 0.975), 9) AS high FROM shares""",
     "gate_sweep": f"{_P} {_SWEEP.format(by='')}",
     "gate_sweep_by_class": f'{_P} {_SWEEP.format(by=chr(34) + "truth" + chr(34) + ",")}',
     "gate_by_group": f'{_P}, w AS ({_SWEEP.format(by=SQL_GROUP.format(chr(34) + "truth" + chr(34)) + " AS grp,")}) SELECT grp AS "group", threshold, total AS n, shown, precision FROM w',

@@ -1,5 +1,8 @@
 """Aggregates over predictions: golden values, zero denominators, ties, empty tables."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +80,7 @@ def test_mispairs_order(spark):
 
 
 def test_empty_tables(spark):
-    rows = spark.createDataFrame([], "truth string, pred string, conf double, family int")
+    rows = spark.createDataFrame([], "id int, truth string, pred string, conf double, family int")
     assert m.accuracy(rows).first().top1 is None
     assert m.gate_sweep(rows, [0.5]).count() == 0
     assert m.family_accuracy(rows).first().families == 0
@@ -85,11 +88,26 @@ def test_empty_tables(spark):
 
 
 def test_bootstrap_brackets_accuracy(spark):
-    rows = spark.range(4000).select(F.lit("a").alias("truth"), F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("pred"))
+    rows = spark.range(4000).select("id", F.lit("a").alias("truth"), F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("pred"))
     r = m.bootstrap_interval(rows).first()
     assert r.accuracy == 0.9 and 0.88 < r.low < 0.9 < r.high < 0.92
 
 
+def test_bootstrap_against_loops(spark):
+    """Drawn by loops from the same counters; and a Poisson(1) number of the right mean and spread."""
+    bits = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    number = lambda u: sum(u >= x for x in m.POISSON_STEPS)
+    rows, accuracies = [(i, "a", "a" if i % 3 else "b") for i in range(200)] + [(None, "a", None)], []
+    for replicate in range(50):
+        times = [number(bits(f"7:{replicate}:{bits('' if i is None else str(i)) % 20}")) for i, _, _ in rows]
+        accuracies.append(sum(t * (a == b) for t, (_, a, b) in zip(times, rows)) / sum(times))
+    got = m.bootstrap_interval(spark.createDataFrame(rows, "id long, truth string, pred string"), replicates=50, blocks=20, seed=7).first()
+    want = np.percentile(accuracies, [2.5, 97.5])
+    assert (got.n, got.low, got.high) == (201, pytest.approx(want[0]), pytest.approx(want[1]))
+    drawn = [number(bits(f"1:{i}")) for i in range(20_000)]
+    assert np.mean(drawn) == pytest.approx(1, abs=0.03) and np.var(drawn) == pytest.approx(1, abs=0.05)
+
+
 def test_histogram_keeps_empty_bins(spark):
     rows = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "x double")
     assert [r.n for r in m.histogram(rows, F.col("x"), [0.0, 0.5, 0.75, 1.0]).orderBy("bin").collect()] == [1, 1, 0]
