@@ -50,6 +50,48 @@ def folder_profile(files: DataFrame, root: str, deepest: int = 8) -> DataFrame:
     return g.select("parent", "folders", "files", split.alias("is_split_root"))
 
 
+#: Names of folders that hold one side of a split each; fixed values.
+SPLITS = ("train", "val", "valid", "test")
+
+
+def tree_folders(files: DataFrame, root: str, endings: tuple[str, ...] = FIVE, deepest: int | None = None, path: str = "path") -> DataFrame:
+    """Every folder of a tree, the root too, from the paths of its files: folder (relative, '' for the root), name, depth,
+    parent, images (in it), all_images (below it), folders (in it), files, split_root.
+
+    Paths are counted by folder first; then each folder's counts go to all its ancestors at
+    once, so a level costs no pass of its own. deepest leaves out folders further down,
+    whose images still count above. split_root: its folders include train and val or valid, in
+    any case. Paths outside the root are left out. Folders without a file are not in a listing.
+    """
+    base = root.rstrip("/") + "/"
+    inside = files.select(F.col(path).alias("p")).filter(F.startswith("p", F.lit(base))).select(F.substring("p", len(base) + 1, 1 << 30).alias("p"))
+    image = F.lower(F.regexp_extract("p", r"\.([^./]*)$", 1)).isin(*endings)
+    held = inside.groupBy(F.regexp_replace("p", "/?[^/]*$", "").alias("folder")).agg(F.count_if(image).alias("images"), F.count("*").alias("files"))
+    parts = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    up = held.select("folder", "images", "files", parts.alias("parts")).select("folder", "images", "files", "parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"))
+    up = up.select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("a"), "depth", F.when(F.size("parts") > F.col("depth"), F.get("parts", F.col("depth"))).alias("child"), "images", "files")
+    own = F.col("child").isNull()
+    by_child = up.groupBy("a", "depth", "child").agg(F.sum("images").alias("images"), F.sum("files").alias("files"))
+    has = lambda *names: F.bool_or(F.coalesce(F.lower("child").isin(*names), F.lit(False)))
+    out = by_child.groupBy(F.col("a").alias("folder"), "depth").agg(
+        F.coalesce(F.sum(F.when(own, F.col("images"))), F.lit(0)).alias("images"), F.sum("images").alias("all_images"), F.count("child").alias("folders"), F.coalesce(F.sum(F.when(own, F.col("files"))), F.lit(0)).alias("files"), (has("train") & has("val", "valid")).alias("split_root"),
+        F.max("child").alias("_only"),
+    )
+    name, parent = F.regexp_extract("folder", "([^/]*)$", 1), F.when(F.col("depth") > 0, F.regexp_replace("folder", "/?[^/]*$", ""))
+    out = out.withColumns({"name": F.when(F.col("depth") > 0, name).otherwise(root.rstrip("/").rpartition("/")[2]), "parent": parent})
+    out = out.withColumn("only_child", F.when(F.col("folders") == 1, F.col("_only"))).drop("_only")
+    return out if deepest is None else out.filter(F.col("depth") <= deepest)
+
+
+def nesting_anomalies(folders: DataFrame, deepest: int = 3) -> DataFrame:
+    """(folder, anomaly) of tree_folders(): `depth>3` (or as deep as is allowed), `0 images` (none in it and no folder either), `nested
+    split folder` and `repeated folder name` (its only folder has its name, in any case)."""
+    same = F.lower("only_child") == F.lower("name")
+    rules = [(F.col("depth") > deepest, f"depth>{deepest}"), ((F.col("images") == 0) & (F.col("folders") == 0), "0 images"), (same & F.lower("name").isin(*SPLITS), "nested split folder"), (same, "repeated folder name")]
+    found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in rules]))
+    return folders.select("folder", F.explode(found).alias("anomaly"))
+
+
 def decoded_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, width, height, ok) by Spark's image source; files that don't decode are not ok."""
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,3 +55,73 @@ def append_history(rows: DataFrame, path: str) -> None:
 def without_ids(history: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """The history without some ids, to be written anew: deletes are rewrites."""
     return history.join(gone.select(key), key, "left_anti")
+
+
+# --------------------------------------------------------------------------- written whole or not at all
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system of a path, path) as Hadoop sees them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
+
+
+def publish_plan(plan: DataFrame, path: str, violations: dict[str, Column], partition_by: list[str] | None = None, apply: bool = False, force: bool = False) -> DataFrame:
+    """Write a plan if its checks hold: (check, violations, ok, written), a row for each check.
+
+    violations are aggregates of the plan, each the number of rows against one rule. They are
+    observed while the plan is written, in the same pass, to a staging folder beside path, which
+    becomes path by one rename if all are 0, or with force; else it is deleted, and nothing is
+    left. A path that exists is an error. Without apply nothing is written, and the plan is
+    only aggregated. Of an empty plan all counts are 0.
+    """
+    spark = plan.sparkSession
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(f"c{i}") for i, c in enumerate(violations.values())]
+    if apply:
+        if exists(spark, path):
+            raise ValueError(f"{path} exists")
+        staging, seen = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}", Observation()
+        observed = plan.observe(seen, *counts)
+        try:
+            (observed.write.partitionBy(*partition_by) if partition_by else observed.write).parquet(staging)
+            found = [seen.get[f"c{i}"] for i in range(len(counts))]
+            written = force or not any(found)
+            system, folder = _file_system(spark, staging)
+            if written and not system.rename(folder, _file_system(spark, path)[1]):
+                raise OSError(f"{staging} could not become {path}")
+        finally:
+            system, folder = _file_system(spark, staging)
+            system.delete(folder, True)  # nothing, where it was renamed
+    else:
+        found, written = list(plan.agg(*counts).first()), False
+    rows = [(name, int(n or 0), not n, written) for name, n in zip(violations, found)]
+    return spark.createDataFrame(rows, "check string, violations long, ok boolean, written boolean")
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """What tells one state of some files and folders from another: names, sizes and times of
+    all files, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.unix_millis("modificationTime").alias("time"))
+    facts = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), *[F.bit_xor(F.xxhash64(F.lit(i), "path", "length", "time")).alias(f"x{i}") for i in range(2)])
+    return facts.select(F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in facts.columns]), 256)).first()[0]
+
+
+def cached(spark: SparkSession, inputs: list[str], path: str, compute: Callable[[], DataFrame], version: str = "") -> tuple[DataFrame, bool]:
+    """(the result of compute, whether it was there already): results lie below path in folders named by the
+    fingerprint of the inputs and the version of the computation.
+
+    A result counts if it was written to its end and has a row; an empty one is computed anew.
+    With a stored result no input file is opened. Results of earlier states stay.
+    """
+    folder = f"{path.rstrip('/')}/{fingerprint(spark, inputs)[:32]}{'-' + version if version else ''}"
+    if exists(spark, f"{folder}/_SUCCESS"):
+        held = spark.read.parquet(folder)
+        if not held.isEmpty():
+            return held, True
+    compute().write.parquet(folder, mode="overwrite")
+    return spark.read.parquet(folder), False

@@ -5,6 +5,8 @@ Event times must be TIMESTAMP; TIMESTAMP_NTZ columns are cast, with the session
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,20 @@ def live_history(history: DataFrame, by: str) -> DataFrame:
     """A count by class that is given out anew when rows arrive (complete mode): the nearest to
     a query that views observe. Its state is one row a class."""
     return history.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def save_once(path: str, key: str = "id", after: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For writeStream.foreachBatch: each scan of a stream once in the history below path.
+
+    A batch has a folder of its own, named by its number, and replaces it as a whole. If a
+    query is killed between a batch's write and its commit, Spark gives the restarted query
+    the same batch under the same number, and its rows replace those of the first try. Within a
+    batch, rows that repeat the key are one. `after` is called when a batch is written.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates([key]).write.parquet(f"{path.rstrip('/')}/batch={number}", mode="overwrite")
+        if after:
+            after(number)
+
+    return save

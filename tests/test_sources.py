@@ -1,9 +1,11 @@
 """Trees of files, text sources, and the streaming count, against what was written."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditloom.operators import curation, similarity, splits
 from auditloom.sources import files as src
+from auditloom.sources import sinks
 from auditloom.streaming import live
 
 
@@ -92,3 +94,82 @@ def test_curation_of_empty_tables(spark):
     assert curation.union_sources({"x": empty, "y": empty}).count() == 0
     assert curation.canonical_spelling(empty, "name", F.lit(True), "path").count() == 0
     assert [r.n for r in curation.three_bands(spark.createDataFrame([], "v double"), "v", 1, 2).collect()] == [0, 0, 0]
+
+
+def test_plans_are_published_whole_or_not_at_all(spark, tmp_path):
+    plan = spark.range(100).select("id", (F.col("id") % 3).alias("label"))
+    rules = {"negative": F.count_if(F.col("id") < 0), "late": F.count_if(F.col("id") >= 98)}
+    path = str(tmp_path / "plan")
+    got = {r.check: tuple(r[1:]) for r in sinks.publish_plan(plan, path, rules, ["label"], apply=True).collect()}
+    assert got == {"negative": (0, True, False), "late": (2, False, False)} and not list(tmp_path.iterdir())
+    assert not [r.written for r in sinks.publish_plan(plan.limit(0), path, rules).collect() if not r.ok or r.written]
+    good = plan.filter("id < 98")
+    assert all(r.ok and r.written for r in sinks.publish_plan(good, path, rules, ["label"], apply=True).collect())
+    assert spark.read.parquet(path).count() == 98 and [p.name for p in tmp_path.iterdir()] == ["plan"]
+    with pytest.raises(ValueError, match="exists"):
+        sinks.publish_plan(good, path, rules, apply=True)
+    assert [r.violations for r in sinks.publish_plan(plan, f"{path}2", rules, apply=True, force=True).collect()] == [0, 2] and spark.read.parquet(f"{path}2").count() == 100
+    with pytest.raises(Exception, match="no such thing"):  # a task that fails leaves nothing either
+        sinks.publish_plan(good.withColumn("x", F.raise_error(F.lit("no such thing")).cast("int")), f"{path}3", rules, apply=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["plan", "plan2"]
+
+
+def test_results_are_computed_once_for_a_state_of_their_input(spark, tmp_path):
+    source, path, times = str(tmp_path / "in"), str(tmp_path / "out"), []
+    spark.range(10).write.parquet(source)
+
+    def compute():
+        times.append(1)
+        return spark.read.parquet(source).agg(F.sum("id").alias("s"))
+
+    def empty():
+        times.append(1)
+        return spark.range(0)
+
+    assert [sinks.cached(spark, [source], path, compute)[1] for _ in range(3)] == [False, True, True] and len(times) == 1
+    assert [sinks.cached(spark, [source], path, compute, "v2")[1] for _ in range(2)] == [False, True]
+    spark.range(5).write.parquet(source, mode="append")
+    result, reused = sinks.cached(spark, [source], path, compute)
+    assert (result.first().s, reused, len(times)) == (55, False, 3)
+    assert [sinks.cached(spark, [source], str(tmp_path / "none"), empty)[1] for _ in range(2)] == [False, False]
+
+
+def test_folders_of_a_written_tree(spark, tmp_path):
+    root = tree(tmp_path)
+    for path in ("odd/train/Train/c/1.png", "odd/val/c/2.png", "odd/twice/TWICE/3.JPG"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    folders = src.tree_folders(listing, f"file:{root}")
+    got = {r.folder: r for r in folders.collect()}
+    for folder in [tmp_path, *[p for p in tmp_path.rglob("*") if p.is_dir()]]:
+        r, inside = got.pop("" if folder == tmp_path else str(folder.relative_to(tmp_path))), list(folder.iterdir())
+        image = lambda p: p.is_file() and p.suffix.lower()[1:] in src.FIVE
+        assert (r.images, r.all_images) == (sum(map(image, inside)), sum(map(image, folder.rglob("*"))))
+        assert (r.folders, r.files) == (sum(p.is_dir() for p in inside), sum(p.is_file() for p in inside))
+        assert (r.name, r.depth) == (folder.name, len(folder.relative_to(tmp_path).parts))
+        assert r.split_root == ({p.name.lower() for p in inside if p.is_dir()} >= {"train"} and bool({p.name.lower() for p in inside if p.is_dir()} & {"val", "valid"}))
+    assert not got
+    assert sorted(map(tuple, src.nesting_anomalies(folders).collect())) == [
+        ("deep/x/y/z", "depth>3"), ("deep/x/y/z/train", "depth>3"), ("deep/x/y/z/train/a", "depth>3"), ("odd/train", "nested split folder"), ("odd/train", "repeated folder name"), ("odd/train/Train/c", "depth>3"), ("odd/twice", "repeated folder name"),
+    ]
+    assert src.tree_folders(listing, f"file:{root}", deepest=3).filter("depth > 3").isEmpty()
+    assert src.tree_folders(listing.limit(0), root).count() == 0
+
+
+def test_each_scan_once_after_a_killed_batch(spark, tmp_path):
+    spark.range(40).repartitionByRange(4, "id").write.parquet(str(tmp_path / "in"))
+    for kill in (True, False):
+        def stop(number, kill=kill):
+            if kill and number == 2:
+                raise RuntimeError("killed")
+
+        query = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream
+        query = query.foreachBatch(live.save_once(str(tmp_path / "out"), after=stop)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        if kill:
+            with pytest.raises(Exception, match="killed"):
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+    held = spark.read.parquet(str(tmp_path / "out"))
+    assert held.count() == held.select("id").distinct().count() == 40 and held.select("batch").distinct().count() == 4
