@@ -65,6 +65,16 @@ def configuration_ranking(rows: DataFrame, dataset: str, config: list[str], righ
     return scored.withColumn("rank", F.rank().over(Window.partitionBy(dataset).orderBy(F.desc("accuracy"))))
 
 
+def configuration_grid(rows: DataFrame, dataset: str, config: list[str], grid: list[tuple], right, conf: str, truth_conf: str) -> DataFrame:
+    """configuration_ranking() of rows that every configuration of a grid judges: right(*values) is the
+    condition of one. The rows are counted once, by a condition each, and not multiplied."""
+    each = rows.groupBy(dataset).agg(F.count("*").alias("n"), F.avg(conf).alias("mean_conf"), F.avg(truth_conf).alias("mean_truth_conf"), *[hits(right(*values)).alias(f"_c{i}") for i, values in enumerate(grid)])
+    cells = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(config, values)], F.col(f"_c{i}").alias("correct")) for i, values in enumerate(grid)])
+    scored = each.select(dataset, "n", "mean_conf", "mean_truth_conf", F.explode(cells).alias("_x")).select(dataset, *[f"_x.{c}" for c in config], "n", "_x.correct", "mean_conf", "mean_truth_conf")
+    scored = scored.withColumn("accuracy", ratio(F.col("correct"), F.col("n")))
+    return scored.withColumn("rank", F.rank().over(Window.partitionBy(dataset).orderBy(F.desc("accuracy"))))
+
+
 def scope(rows: DataFrame, tier: str, tiers: list[str], upto: str) -> DataFrame:
     """Rows of the tiers up to the one named; each tier holds those before it."""
     return rows.filter(F.col(tier).isin(tiers[: tiers.index(upto) + 1]))

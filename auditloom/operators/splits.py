@@ -74,20 +74,29 @@ def family_sizes(rows: DataFrame, label: str, family: str) -> DataFrame:
 
 
 def split_families(rows: DataFrame, label: str = "label", family: str = "family", val_share: float = 0.2, seed: int = 42, least_val: int = 0) -> DataFrame:
-    """(label, family, size, side): families are split whole, in drawn order within a label.
+    """(label, family, size, promoted, side): families are split whole, in drawn order within a label.
 
     If the val side has fewer than least_val rows, train families move over from the last on,
-    until there are enough or one is left. That is a running sum over the families in reverse:
-    a family moves if val and what moved before it are still too few. Windows run over
-    families, which are aggregated first, never over rows.
+    until there are enough or one is left: a family moves if val and what moved before it are still
+    too few. No label's families are sorted: their sizes are summed by the first four digits of
+    their draw, and only the families of the digits where the sum reaches least_val are put in order.
     """
-    w = Window.partitionBy(label)
-    ranked = family_sizes(rows, label, family).withColumn("_r", F.row_number().over(w.orderBy(draw(F.col(family), seed), family))).withColumn("_k", F.count("*").over(w))
-    sided = ranked.withColumn("_cut", cutoff(F.col("_k"), 1.0 - val_share)).withColumn("_train", F.col("_r") <= F.col("_cut"))
-    val = F.sum(F.when(~F.col("_train"), F.col("size")).otherwise(0)).over(w)
-    moved = F.coalesce(F.sum(F.when(F.col("_train"), F.col("size"))).over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    promoted = F.col("_train") & (val + moved < least_val) & (F.col("_r") > 1)
-    return sided.select(label, family, F.col("size"), promoted.alias("promoted"), F.when(F.col("_train") & ~promoted, "train").otherwise("val").alias("side"))
+    sided = _first_drawn(family_sizes(rows, label, family), [label], family, seed, cutoff(F.col("_n"), 1.0 - val_share)).drop("_n")
+    drawn = sided.withColumn("_d", draw(F.col(family), seed)).withColumn("_b", F.substring("_d", 1, 4))
+    w, train = Window.partitionBy("_l"), F.when(F.col("_in"), F.col("size"))
+    by_digits = drawn.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_q")).agg(F.coalesce(F.sum(train), F.lit(0)).alias("_c"), F.sum("size").alias("_all"))
+    # what is in val, or would move before this: val's own rows, and the train rows of later digits
+    val = F.sum(F.col("_all") - F.col("_c")).over(w)
+    later = F.coalesce(F.sum("_c").over(w.orderBy(F.desc("_q")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = by_digits.select("_l", "_q", "_c", (val + later).alias("_held"))
+    first = drawn.groupBy(F.col(label).alias("_f")).agg(F.min(F.struct("_d", family)).alias("_first"))
+    placed = drawn.join(sums, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_q"))).join(first, F.col(label).eqNullSafe(F.col("_f")))
+    whole = (F.col("_held") + F.col("_c") < least_val) | (F.col("_held") >= least_val)  # the digits move together, or stay
+    own = Window.partitionBy(label, "_b").orderBy(F.desc("_d"), F.desc(family)).rowsBetween(Window.unboundedPreceding, -1)
+    clear = placed.filter(whole).withColumn("_moves", F.col("_held") < least_val)
+    edge = placed.filter(~whole).withColumn("_moves", F.col("_held") + F.coalesce(F.sum(train).over(own), F.lit(0)) < least_val)
+    moved = F.col("_in") & F.col("_moves") & (F.struct("_d", family) != F.col("_first"))
+    return clear.unionByName(edge).select(label, family, F.col("size"), moved.alias("promoted"), F.when(F.col("_in") & ~moved, "train").otherwise("val").alias("side"))
 
 
 def apply_families(rows: DataFrame, sides: DataFrame, label: str = "label", family: str = "family") -> DataFrame:
@@ -123,6 +132,12 @@ def sample_even(rows: DataFrame, by: list[str], order: list[str], k: int) -> Dat
     return _places(rows, by, order).filter((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < k)).drop("_r", "_n")
 
 
+def slots_of(rows: DataFrame, by: list[str], order: list[str], value: str, n: int = 8) -> DataFrame:
+    """(by, slots, mean): how many rows every n-th of a class makes, from the first on, and the mean of its first n."""
+    placed = _places(rows.select(*by, *order, value), by, order)
+    return placed.groupBy(*by).agg(F.count_if(F.col("_r") % n == 0).cast("int").alias("slots"), F.avg(F.when(F.col("_r") < n, F.col(value))).alias("mean"))
+
+
 def first_n(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 

@@ -57,24 +57,36 @@ def argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row: a lambda's variable, not an expression that
+    is repeated for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 def ties_at_top(scores: Column) -> Column:
-    return F.size(F.filter(scores, lambda x: x == F.array_max(scores)))
+    return bound(F.array_max(scores), lambda top: F.size(F.filter(scores, lambda x: x == top)))
 
 
 def softmax_if_needed(scores: Column) -> Column:
     """Probabilities pass through (none negative, sum within 0.9 and 1.1); other scores get a
     softmax, shifted by their maximum."""
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    exp = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
-    norm = F.aggregate(exp, F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.array_min(scores) >= 0) & total.between(0.9, 1.1), F.transform(scores, lambda x: x.cast("double"))).otherwise(F.transform(exp, lambda x: x / norm))
+
+    def softmax(values: Column) -> Column:
+        exp = bound(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+        return bound(exp, lambda e: bound(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
+
+    plain = lambda v: (F.array_min(v) >= 0) & _sum(v).between(0.9, 1.1)
+    return bound(F.transform(scores, lambda x: x.cast("double")), lambda v: F.when(plain(v), v).otherwise(softmax(v)))
 
 
 def clip_and_normalise(scores: Column) -> Column:
     """Negative values become 0, then the sum 1; null where nothing is left."""
     clipped = F.transform(scores, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
-    total = F.aggregate(clipped, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(clipped, lambda x: x / total))
+    return bound(clipped, lambda c: bound(_sum(c), lambda total: F.when(total > 0, F.transform(c, lambda x: x / total))))
 
 
 def mean_of_two(a: Column, b: Column) -> Column:
@@ -86,6 +98,11 @@ def quantise(values: Column, scale: float, zero: int, low: int = -128, high: int
     return F.transform(values, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), F.rint(x.cast("double") / scale) + zero)).cast("int"))
 
 
+def quantise_half_up(values: Column, scale: float, zero: int) -> Column:
+    """round(x / scale + zero), halves upwards, as whole numbers that nothing cuts off."""
+    return F.transform(values, lambda x: F.floor(x.cast("double") / scale + zero + 0.5).cast("int"))
+
+
 def dequantise(values: Column, scale: float, zero: int) -> Column:
     return F.transform(values, lambda q: (q - zero) * F.lit(float(scale)))
 

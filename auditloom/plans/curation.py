@@ -29,8 +29,9 @@ def neardup_cross_split(spark, d):
 
 
 def signature_groups(spark, d):
-    """Signatures of the first 8 values' signs that several rows share."""
-    coarse = _split_signatures(spark, d).withColumn("sig", F.col("sig").bitwiseAND(F.lit(255).cast("long")))
+    """Signatures of how many of each 8 of the 64 values are positive, halved twice, that several rows share."""
+    of = lambda i: F.shiftright(F.bit_count(F.shiftrightunsigned("sig", 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2).cast("long")
+    coarse = _split_signatures(spark, d).withColumn("sig", sum((F.shiftleft(of(i), 4 * i) for i in range(1, 8)), of(0)))
     return sim.signature_groups(coarse, "sig", "split").select("sig", "n", "splits", "cross")
 
 
@@ -105,12 +106,9 @@ def unresolved_rows(spark, d):
 
 def configuration_ranking(spark, d):
     """Predictions of three datasets under a grid of five transforms with and without a second look."""
-    transforms = spark.range(5).select(F.col("id").cast("int").alias("transform"))
-    modes = spark.createDataFrame([(0,), (1,)], "second int")
-    grid = predictions(spark, d).withColumn("dataset", F.concat(F.lit("set"), F.col("family") % 3)).crossJoin(F.broadcast(transforms.crossJoin(modes)))  # ten rows
-    right = (F.col("truth") == F.col("pred")) | ((F.col("id") + F.col("transform")) % (9 - 2 * F.col("second")) == 0)
-    truth_conf = grid.withColumn("truth_conf", F.when(F.col("id") % 4 > 0, F.col("conf") / 2))
-    out = c.configuration_ranking(truth_conf, "dataset", ["transform", "second"], right, "conf", "truth_conf")
+    p = predictions(spark, d).withColumn("dataset", F.concat(F.lit("set"), F.col("family") % 3)).withColumn("truth_conf", F.when(F.col("id") % 4 > 0, F.col("conf") / 2))
+    right = lambda transform, second: (F.col("truth") == F.col("pred")) | ((F.col("id") + transform) % (9 - 2 * second) == 0)
+    out = c.configuration_grid(p, "dataset", ["transform", "second"], [(t, s) for t in range(5) for s in range(2)], right, "conf", "truth_conf")
     return out.withColumn("mean_conf", F.round("mean_conf", 6)).withColumn("mean_truth_conf", F.round("mean_truth_conf", 6))
 
 
@@ -168,7 +166,7 @@ def confidence_means(spark, d):
 
 
 def geometry_stats(spark, d):
-    """Parts as images of p_size by l_quantity's mean: upright ones, mean and largest aspect."""
+    """Parts as images, p_size high and 1 to 40 wide by their key: upright ones, mean and largest aspect."""
     p = table(spark, d, "part").select((F.col("p_partkey") % 40 + 1).alias("w"), F.col("p_size").alias("h"))
     aspect = F.greatest("w", "h") / F.least("w", "h")
     return p.agg(F.count("*").alias("n"), F.count_if(F.col("h") > F.col("w")).cast("long").alias("upright"), F.round(F.avg(aspect), 6).alias("mean_aspect"), F.round(F.max(aspect), 6).alias("max_aspect"))
@@ -243,8 +241,7 @@ def vector_forms(spark, d):
 
 def forecast_forms(spark, d):
     """Each user's values in order of time as forecast slots: every eighth, and the mean of the first eight."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return e.select("user_id", F.size(rules.every_nth(F.col("v"))).alias("slots"), F.round(rules.mean_of_first(F.col("v")), 6).alias("mean"))
+    return splits.slots_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").withColumn("mean", F.round("mean", 6))
 
 
 # --------------------------------------------------------------------------- files written and read again
@@ -290,10 +287,8 @@ def listed_files(spark, d):
     path = _folder(spark, "tree")
     f = files(spark, d).groupBy("split", "label").agg(F.count("*").alias("n"))
     f.select("split", "label", F.concat(F.lit("img"), F.col("n").cast("string")).alias("t")).repartition(1).write.partitionBy("split", "label").option("compression", "none").text(path)
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    parts = F.split("path", "/")
-    name = lambda i: F.regexp_replace(F.element_at(parts, i), "^(split|label)=", "")
-    return held.select("path", name(-2).alias("label"), name(-3).alias("split")).groupBy("label", "split").agg(F.count("*").alias("files"))
+    name = lambda c: F.regexp_replace(c, "^(split|label)=", "").alias(c)
+    return src.list_images(spark, path, endings=("txt",)).select("path", name("label"), name("split")).groupBy("label", "split").agg(F.count("*").alias("files"))
 
 
 def plan_written(spark, d):
@@ -328,7 +323,7 @@ _SHARE = "correct::DOUBLE / n AS accuracy"
 ORACLE_SQL = {
     "neardup_cross_split": f"""{_S}, g AS (SELECT sig, ['train', 'val', 'test'][vec_id % 3 + 1] AS split, count(*) AS n FROM s GROUP BY ALL)
 SELECT a.split AS split_a, b.split AS split_b, CAST(bit_count(xor(a.sig, b.sig)) AS INT) AS distance, count(*) AS signatures, CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM g a JOIN g b ON a.split < b.split AND bit_count(xor(a.sig, b.sig)) <= {LIMIT} GROUP BY ALL""",
-    "signature_groups": "WITH s AS (SELECT CAST(list_sum([CASE WHEN embedding[i] > 0 THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 9)]) AS BIGINT) AS sig, vec_id % 3 AS split FROM embeddings) SELECT sig, count(*) AS n, count(DISTINCT split) AS splits, count(DISTINCT split) > 1 AS \"cross\" FROM s GROUP BY sig HAVING count(*) > 1",
+    "signature_groups": "WITH s AS (SELECT CAST(list_sum([(len([j FOR j IN range(1, 9) IF embedding[8 * i + j] > 0]) // 4) << (4 * i) FOR i IN range(0, 8)]) AS BIGINT) AS sig, vec_id % 3 AS split FROM embeddings) SELECT sig, count(*) AS n, count(DISTINCT split) AS splits, count(DISTINCT split) > 1 AS \"cross\" FROM s GROUP BY sig HAVING count(*) > 1",
     "neardup_predictions": f"""{_NEAR}, q AS (SELECT vec_id AS id, label AS t, (label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END) % 10 AS r FROM embeddings), j AS (SELECT n.*, a.t AS ta, a.r AS ra, b.t AS tb, b.r AS rb FROM n JOIN q a ON a.id = id_a JOIN q b ON b.id = id_b)
 SELECT count(*) AS pairs, count(DISTINCT id_a) AS rows_a, count(DISTINCT id_b) AS rows_b, count(DISTINCT ta) AS classes, count(*) FILTER (WHERE ta = tb) AS same_class, count(*) FILTER (WHERE ta <> tb) AS other_class, count(*) FILTER (WHERE ta = ra) AS right_a, count(*) FILTER (WHERE tb = rb) AS right_b,
   count(*) FILTER (WHERE ta = ra AND tb = rb) AS right_both, count(*) FILTER (WHERE ra = rb) AS same_answer, count(DISTINCT CASE WHEN ta = ra THEN id_a END) AS right_rows_a, min(distance) AS closest, count(*) FILTER (WHERE distance = 0) AS identical FROM j""",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from auditloom.operators.similarity import sign_signature
 
+#: Names of a class list, which goes to the driver.
+MOST_CLASSES = 10_000
 THRESHOLDS = [0.0, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
@@ -15,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def class_names(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The class list: sorted distinct event types, a handful."""
-    return [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    """The class list: sorted distinct event types, MOST_CLASSES at most."""
+    names = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: not a class list")
+    return names
 
 
 def group_of(name: Column) -> Column:

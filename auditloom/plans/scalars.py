@@ -38,7 +38,7 @@ def json_props(spark, d):
 
 
 def text_steps(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'user'")
+    c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.explode(rules.steps(F.col("text"))).alias("s")).select("conv_id", "turn", "s.n", F.length("s.step").alias("chars"))
 
 
@@ -135,7 +135,7 @@ SELECT event_type, CASE WHEN h IS NULL THEN 'UNKNOWN' WHEN fungal AND h > 75 AND
     "forecast_by_user": f"SELECT CAST(user_id AS VARCHAR) AS city, round(avg(CASE WHEN event_id % 7 > 0 THEN {_K} ELSE 0 END), 1) AS humidity, round(avg(floor(value)), 1) AS temp, count(*) FILTER (WHERE event_type = 'view') AS rain_slots FROM events GROUP BY 1",
     "history_recent": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC",
     "json_props": f"SELECT event_type, CAST(sum({_K}) AS BIGINT) AS total, count(DISTINCT {_K}) AS kinds FROM events GROUP BY 1",
-    "text_steps": r"""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(text, '\.', chr(46) || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)) AS parts FROM conversations WHERE role = 'user'),
+    "text_steps": r"""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(text, '\.', chr(46) || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)) AS parts FROM conversations),
 q AS (SELECT conv_id, turn, list_filter(list_transform(parts, lambda x: trim(regexp_replace(trim(x), '^-+\s*', ''))), lambda x: x <> '') AS s FROM p) SELECT conv_id, turn, CAST(unnest(range(1, len(s) + 1)) AS INT) AS n, CAST(unnest(list_transform(s, lambda x: length(x))) AS INT) AS chars FROM q""",
     "label_normalise": r"""WITH x AS (SELECT p_partkey, p_name AS a, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS n, p_brand AS b FROM part)
 SELECT p_partkey, regexp_replace(lower(n || '___' || b), '[^a-z0-9]', '', 'g') AS norm, n AS crop, b AS rest, replace(lower(n), ' ', '_') || '_' || lower(b) AS snake FROM x""",
