@@ -41,6 +41,12 @@ def label_from_file(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(stem(name), r"[_\-\s]*\d+$", ""), r"^[_\- ]+|[_\- ]+$", ""))
 
 
+def label_of_photo(name: Column) -> Column:
+    """cotton_blight_2.jpg: cotton_blight. Only what follows the last underscore goes, if it is a number and something stands before it; case is kept."""
+    plain = stem(name)
+    return F.when(plain.rlike(r"^(?s:.)+_\d+$"), F.regexp_replace(plain, r"_\d+$", "")).otherwise(plain)
+
+
 def family_of_photo(name: Column) -> Column:
     """The source photo: without augmentation and collision endings, before the first run of
     three or more underscores, the UUID in it if there is one, lower-cased."""

@@ -68,6 +68,55 @@ def app_risk(humidity: Column) -> Column:
     return F.when(humidity > 80, "HIGH").when(humidity > 60, "MODERATE").otherwise("LOW")
 
 
+#: By the app's risk, the percentage points that an affected area may grow by, and how soon to treat.
+APP_GROWTH = {"HIGH": (20, 35), "MODERATE": (10, 20), "LOW": (0, 10)}
+APP_URGENCY = {"HIGH": "Treat within 24 hours", "MODERATE": "Treat within 3 days", "LOW": "Monitor closely"}
+#: What the app says of a risk, and its names for the risks.
+APP_RISK_TEXT = "Over the next 7 days, %s has a %s spread risk. If untreated, the affected area could increase by about %d-%d percentage points from the current ~%d%%. This is a weather-based estimate; recheck the plant in 2-3 days."
+APP_NO_DISEASE = "No disease detected. Over the next 7 days, weather-based spread risk is low."
+APP_RISK_NAME = {"HIGH": "High", "MODERATE": "Medium", "LOW": "Low"}
+#: What the service says of a weather risk, for fungal diseases and others, and of a weak answer.
+SERVICE_TEXT = {
+    (True, "HIGH"): "Rain expected in %d days will accelerate %s spread", (True, "MODERATE"): "Moderate humidity may support %s development", (True, "LOW"): "Conditions are not favorable for %s spread",
+    (False, "HIGH"): "High humidity creates favorable conditions for %s", (False, "MODERATE"): "Monitor %s progression under current conditions", (False, "LOW"): "Low risk environment for %s",
+}
+WEAK_TEXT = "Low confidence (%s%%). Retake the photo with a single leaf filling the frame in even light."
+
+
+def _by_risk(risk: Column, of) -> Column:
+    out = F.lit(None)
+    for name in APP_GROWTH:
+        out = F.when(risk == name, of(name)).otherwise(out)
+    return out
+
+
+def app_risk_report(humidity: Column, disease: Column, area: Column, healthy: Column) -> Column:
+    """struct<risk, low, high, urgency, message>: the app's risk by humidity, the points that the affected area may grow by, how soon
+    to treat, and what it says. The area is cut to 0 to 100 and to whole points; none is 0."""
+    risk = app_risk(humidity)
+    points = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(area.cast("double"), F.lit(0.0)))).cast("int")
+    said = _by_risk(risk, lambda r: F.format_string(APP_RISK_TEXT, disease, F.lit(APP_RISK_NAME[r]), F.lit(APP_GROWTH[r][0]), F.lit(APP_GROWTH[r][1]), points))
+    return F.struct(
+        risk.alias("risk"), _by_risk(risk, lambda r: F.lit(APP_GROWTH[r][0])).alias("low"), _by_risk(risk, lambda r: F.lit(APP_GROWTH[r][1])).alias("high"),
+        _by_risk(risk, lambda r: F.lit(APP_URGENCY[r])).alias("urgency"), F.when(F.coalesce(healthy, F.lit(False)), APP_NO_DISEASE).otherwise(said).alias("message"),
+    )
+
+
+def weather_message(disease: Column, humidity: Column, rain_slots: Column) -> Column:
+    """What the service says of weather_risk(); null where that is unknown. Underscores of the disease are shown as blanks."""
+    fungal, risk, shown = F.lower(disease).rlike("blight|mold|rust"), weather_risk(disease, humidity, rain_slots), F.replace(disease, F.lit("_"), F.lit(" "))
+    out = F.lit(None)
+    for (of_fungi, name), text in SERVICE_TEXT.items():
+        values = [rain_slots.cast("int"), shown] if text.count("%") == 2 else [shown]
+        out = F.when((fungal == F.lit(of_fungi)) & (risk == name), F.format_string(text, *values)).otherwise(out)
+    return out
+
+
+def retake_message(conf: Column, threshold: float = 0.95) -> Column:
+    """What the service says of an answer below the gate, with its percentage to one decimal; null where the answer is shown."""
+    return F.when(~gate(conf, threshold), F.format_string(WEAK_TEXT, F.format_string("%.1f", percent(conf))))
+
+
 def badge(percent: Column) -> Column:
     return F.when(percent >= 85, "high").when(percent >= 60, "medium").otherwise("low")
 

@@ -42,6 +42,23 @@ def folder_checks(classes: DataFrame, files: DataFrame, label: str, split: str,
     return out
 
 
+def crop_check(classes: DataFrame, crop: Column, expected: int) -> DataFrame:
+    """The classes (name) cover `expected` crops; detail counts and names them in order. A class list
+    has a bounded length."""
+    found = classes.select(crop.alias("c")).distinct().agg(F.array_sort(F.collect_set("c")).alias("crops"))
+    return holds("crop coverage", found, F.size("crops") == expected, F.concat(F.size("crops").cast("string"), F.lit(": "), F.array_join("crops", ", ")))
+
+
+def advice_checks(classes: DataFrame, advice: DataFrame, key: str, fields: list[str]) -> list[DataFrame]:
+    """Every class (name) has an entry of advice (key, fields), in which none of the fields is blank; entries of no
+    class are told, but allowed."""
+    names = classes.select(F.col("name").alias(key))
+    known = advice.join(names, key, "left_semi")
+    extra = advice.join(names, key, "left_anti").agg(F.count("*").alias("n"))
+    blank = [check(f"{f} not blank", known.filter(F.coalesce(F.trim(f), F.lit("")) == ""), key) for f in fields]
+    return [check("every class has advice", names.join(advice, key, "left_anti"), key), holds("entries beyond the classes", extra, F.lit(True), F.col("n")), *blank]
+
+
 def same_fingerprint(name: str, a: DataFrame, b: DataFrame, value: str, order: str) -> DataFrame:
     """Two lists are the same, element by element."""
     both = a.select(order, F.col(value).alias("_a")).join(b.select(order, F.col(value).alias("_b")), order, "full")

@@ -61,6 +61,12 @@ def leak_overlap(files: DataFrame, digest: str = "digest", split: str = "split",
     return g.filter(f"n_{a} > 0 and n_{b} > 0")
 
 
+def shared_files(files: DataFrame, digest: str = "digest", split: str = "split", a: str = "train", b: str = "val") -> DataFrame:
+    """The files of the digests that are on both sides, a row each: what leak_overlap() counts. A list for each digest
+    would hold all its copies in one place; rows don't."""
+    return files.filter(F.col(split).isin(a, b)).join(leak_overlap(files, digest, split, a, b).select(F.col("digest").alias(digest)), digest, "left_semi")
+
+
 def family_leaks(rows: DataFrame, train: DataFrame, label: str = "label", family: str = "family") -> DataFrame:
     """Rows whose (label, family) is in train."""
     return rows.join(train.select(label, family).distinct(), [label, family], "left_semi")
