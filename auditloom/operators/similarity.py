@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.scratch import stored
+from auditloom.operators.vectors import bound
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands_for(limit: int, most_probes: int = 500) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of the fewest bands of a signature whose close values are
+def bands_for(limit: int, most_probes: int = 500, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of the fewest bands of a signature whose close values are
     most_probes in all, or fewer.
 
     The radii are such that radius + 1, summed over the bands, is limit + 1: two signatures at
@@ -26,7 +27,7 @@ def bands_for(limit: int, most_probes: int = 500) -> list[tuple[int, int, int]]:
     wide bands make few accidental matches; a wide radius makes many values to look up.
     """
     for n in range(1, limit + 2):
-        bands = [(64 * i // n, 64 * (i + 1) // n - 64 * i // n, (limit + 1) // n + (i < (limit + 1) % n) - 1) for i in range(n)]
+        bands = [(bits * i // n, bits * (i + 1) // n - bits * i // n, (limit + 1) // n + (i < (limit + 1) % n) - 1) for i in range(n)]
         if sum(math.comb(w, k) for _, w, r in bands for k in range(r + 1)) <= most_probes:
             break
     return bands
@@ -37,26 +38,75 @@ def _close(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in ones) for k in range(radius + 1) for ones in itertools.combinations(range(width), k)]
 
 
-def banded(rows: DataFrame, signature: str, limit: int, probing: bool = False) -> DataFrame:
-    """A row for each band of the signature: _band, _value; probing gives one for each value of
-    the band within its radius."""
-    def rows_of(i: int, shift: int, width: int, radius: int) -> Column:
-        value = F.col(signature) if width == 64 else F.shiftrightunsigned(signature, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        values = F.transform(F.lit(_close(width, radius)), lambda m: value.bitwiseXOR(m.cast("long"))) if probing else F.array(value)
-        return F.transform(values, lambda v: F.struct(F.lit(i).alias("_band"), v.alias("_value")))
+def balanced_bits(rows: DataFrame, signature: str) -> list[int]:
+    """The 64 places of a signature in an order in which bands of neighbours tell rows apart equally
+    well: places that are nearly always alike are dealt out evenly among the others. From the
+    share of ones of each place, one row."""
+    ones = rows.agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(signature, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)]).first()
+    share = [(ones[f"b{i}"] or 0) / max(1, ones["n"]) for i in range(64)]
+    told = [-sum(p * math.log2(p) for p in (s, 1 - s) if p > 0) for s in share]
+    ranked = sorted(range(64), key=lambda i: (-round(told[i], 1), i))
+    # the place that comes k-th is put where k, with its bits reversed, says: early ones lie far apart
+    return [ranked[int(f"{k:06b}"[::-1], 2)] for k in range(64)]
 
-    every = F.concat(*[rows_of(i, *band) for i, band in enumerate(bands_for(limit))])
-    return rows.select("*", F.explode(every).alias("_b")).select("*", "_b._band", "_b._value").drop("_b")
+
+def _value(signature: str, places: list[int]) -> Column:
+    """The bits at some places, as a number."""
+    first, n = places[0], len(places)
+    if places == list(range(first, first + n)):
+        return F.col(signature) if n == 64 else F.shiftrightunsigned(signature, first).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    bit = lambda i, p: F.shiftleft(F.shiftrightunsigned(signature, p).bitwiseAND(F.lit(1).cast("long")), i)
+    return functools.reduce(Column.bitwiseOR, [bit(i, p) for i, p in enumerate(places)])
+
+
+def _banded(signature: str, places: list[int], limit: int, probing: bool, most_probes: int) -> Column:
+    """array<struct<band, value>> over some places of the signature; probing adds all values of a band within its radius."""
+
+    def rows_of(i: int, first: int, width: int, radius: int) -> Column:
+        value, masks = _value(signature, places[first : first + width]), F.lit(_close(width, radius) if probing else [0])
+        return bound(value, lambda v: F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), v.bitwiseXOR(m.cast("long")).alias("value"))))
+
+    return F.concat(*[rows_of(i, *band) for i, band in enumerate(bands_for(limit, most_probes, len(places)))])
+
+
+def near_candidates(a: DataFrame, b: DataFrame, signature: str, limit: int, equal: list[str] | None = None, most_probes: int = 500, hot: int = 5000) -> DataFrame:
+    """(equal columns, _sa, _sb): pairs of distinct signatures that meet in a band, all within the limit among them; a pair may come more than once.
+
+    Bands are cut from places in the order of balanced_bits(). A band's value that more than `hot`
+    signatures of b share is cut again: the places outside the band make bands of their own, and
+    its signatures meet only where these agree as well. So a value that a third of all signatures
+    have costs look-ups in proportion to them, and not their square.
+    """
+    equal = equal or []
+    cols = [*equal, signature]
+    left, right = a.select(*cols).distinct(), b.select(*cols).distinct()
+    places = balanced_bits(right, signature)
+    bands = bands_for(limit, most_probes)
+
+    def dealt(rows: DataFrame, name: str, probing: bool) -> DataFrame:
+        each = rows.select("*", F.explode(_banded(signature, places, limit, probing, most_probes)).alias("_b"))
+        return each.select(*equal, F.col(signature).alias(name), F.col("_b.band").alias("_band"), F.col("_b.value").alias("_value"))
+
+    def again(rows: DataFrame, name: str, probing: bool) -> DataFrame:
+        rest = [_banded(name, [p for k, p in enumerate(places) if not first <= k < first + width], limit, probing, most_probes) for first, width, _ in bands]
+        chosen = functools.reduce(lambda out, i: F.when(F.col("_band") == i, rest[i]).otherwise(out), range(len(rest) - 1), rest[-1])
+        return rows.select("*", F.explode(chosen).alias("_c")).select(*equal, name, "_band", "_value", F.col("_c.band").alias("_band2"), F.col("_c.value").alias("_value2"))
+
+    x, y = dealt(left, "_sa", True), dealt(right, "_sb", False)
+    key = ["_band", "_value", *equal]
+    shared = stored(y.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*key), a.sparkSession)
+    if shared.isEmpty() or limit >= 64 - max(w for _, w, _ in bands):  # nothing to cut, or to cut by
+        return x.join(y, key).select(*equal, "_sa", "_sb")
+    met = x.join(shared, key, "left_anti").join(y, key).select(*equal, "_sa", "_sb")
+    deep = again(x.join(shared, key, "left_semi"), "_sa", True).join(again(y.join(shared, key, "left_semi"), "_sb", False), [*key, "_band2", "_value2"])
+    return met.unionByName(deep.select(*equal, "_sa", "_sb"))
 
 
 def near_signatures(a: DataFrame, b: DataFrame, signature: str, limit: int, equal: list[str] | None = None, self_join: bool = False) -> DataFrame:
     """(equal columns, _sa, _sb, distance) of the distinct signatures of a and b at distance <=
     limit; a self join gives each unordered pair once, and each signature with itself."""
     equal = equal or []
-    cols = [*equal, signature]
-    x = banded(a.select(*cols).distinct(), signature, limit, probing=True).withColumnRenamed(signature, "_sa")
-    y = banded(b.select(*cols).distinct(), signature, limit).withColumnRenamed(signature, "_sb")
-    joined = x.join(y, ["_band", "_value", *equal])
+    joined = near_candidates(a, b, signature, limit, equal)
     joined = joined.filter("_sa <= _sb") if self_join else joined
     return joined.select(*equal, "_sa", "_sb", hamming(F.col("_sa"), F.col("_sb")).alias("distance")).filter(F.col("distance") <= limit).distinct()
 

@@ -37,6 +37,50 @@ def test_pairs_match_brute_force(spark, limit):
     assert {tuple(r) for r in sized.collect()} == {p for p in want if p[0] % 2 == p[1] % 2}
 
 
+def random_table(spark, seed, n, fixed=0):
+    """n signatures, the bits of `fixed` alike in a third of them, and the opposite in another third."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64)] * 2
+    base[1] ^= 2**64 - 1
+    found = [(base[i % 3] & fixed) | (rng.getrandbits(64) & ~fixed) if i % 3 < 2 else rng.getrandbits(64) for i in range(n)]
+    found += [s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 9))) for s in found[: n // 10]]
+    return found, spark.createDataFrame([(i, signed(s)) for i, s in enumerate(found)], "id long, sig long")
+
+
+def test_shared_band_values_are_cut_again(spark):
+    """A third of the signatures share 20 places, another third have them reversed, so each place alone tells rows apart. Cut again they meet about as rarely as the others; no pair is lost."""
+    fixed = sum(1 << p for p in (*range(0, 64, 4), 1, 5, 9, 13))  # every fourth place makes the first band
+    found, df = random_table(spark, 5, 1500, fixed)
+    cut = similarity.near_candidates(df, df, "sig", 8, hot=60).distinct().count()
+    plain = similarity.near_candidates(df, df, "sig", 8, hot=10**9).distinct().count()
+    n = len(set(found))
+    assert cut < 0.02 * n * n < 0.2 * plain, (cut, plain)
+    want = {(a, b) for a in set(found) for b in set(found) if (a ^ b).bit_count() <= 8}
+    for hot in (60, 5, 0):
+        near = similarity.near_candidates(df, df, "sig", 8, hot=hot).filter(similarity.hamming(F.col("_sa"), F.col("_sb")) <= 8).distinct().collect()
+        assert {(r._sa % 2**64, r._sb % 2**64) for r in near} == want
+
+
+def test_places_that_are_alike_are_dealt_out(spark):
+    _, df = random_table(spark, 6, 300, fixed=0)
+    flat = df.select("id", F.col("sig").bitwiseAND(F.lit((1 << 32) - 1)).alias("sig"))  # the upper half tells nothing
+    places = similarity.balanced_bits(flat, "sig")
+    assert sorted(places) == list(range(64))
+    assert all(6 <= sum(p < 32 for p in places[i : i + 16]) <= 10 for i in range(0, 64, 16))
+    assert similarity.balanced_bits(df.limit(0), "sig") and similarity.near_candidates(df.limit(0), df.limit(0), "sig", 4).count() == 0
+
+
+def test_candidates_at_limit_14(spark):
+    """Few look-ups meet 6 % of all pairs of random signatures, many below 1 %; none within the limit is lost."""
+    found, df = random_table(spark, 7, 300)
+    n = len(set(found))
+    want = {(a, b) for a in set(found) for b in set(found) if (a ^ b).bit_count() <= 14}
+    for probes, share in ((500, 0.08), (25_000, 0.013)):
+        met = similarity.near_candidates(df, df, "sig", 14, most_probes=probes).distinct().collect()
+        assert len(met) - n < share * n * n
+        assert want <= {(r._sa % 2**64, r._sb % 2**64) for r in met}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10**6))
 def test_greedy_matches_sequential(spark, seed):
