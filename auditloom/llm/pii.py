@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import ALNUM, NULL_ID, byte_view, fixed, materialise, mix, pieces_of, placed_words, record_batch, shingles, with_id, words
+from auditloom.llm.common import ALNUM, NULL_ID, byte_view, fixed, materialise, mix, pieces_of, placed_words, record_batch, with_id
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
-#: Characters looked at on either side of personal data, and terms taken of them.
-REACH, NEAREST = 80, 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -25,7 +22,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -92,96 +88,9 @@ def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _covered(start: int, end: int, taken: tuple[list[int], list[int]]) -> bool:
-    """Whether a word overlaps a stretch: the last one that begins before its end reaches it."""
-    at = bisect_left(taken[0], end)
-    return at > 0 and taken[1][at - 1] > start
-
-
-def _near(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Places of the nearest whole words of three characters or more on either side."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    before = [m.span() for m in _WORD.finditer(text, low, start) if (m.start() > low or low == 0) and m.end() - m.start() >= 3 and not (m.end() == start and start < len(text) and _WORD.match(text[start]))]
-    after = [m.span() for m in _WORD.finditer(text, end, high) if (m.end() < high or high == len(text)) and m.end() - m.start() >= 3 and not (m.start() == end and end and _WORD.match(text[end - 1]))]
-    return before[-NEAREST:] + after[:NEAREST]
-
-
-def _term_hashes(terms: list[str]) -> np.ndarray:
-    hashes, firsts = words(*byte_view(pa.array(terms, pa.large_string())), ALNUM)
-    return shingles(hashes, firsts, 1)[0].view(np.int64)
-
-
-_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-_PAIR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("fresh", pa.bool_())]))
-_SCAN = pa.schema([("_row", pa.int64()), ("_id", pa.int64()), ("spans", _SPAN), ("entities", pa.list_(pa.int64())), ("pairs", _PAIR)])
-_SPAN_DDL = "array<struct<kind:int,start:bigint,end:bigint>>"
-_SCAN_DDL = f"_row long, _id long, spans {_SPAN_DDL}, entities array<bigint>, pairs array<struct<entity:bigint,term:bigint,start:bigint,end:bigint,fresh:boolean>>"
-
-
-def _scan(batches):
-    for batch in pieces_of(batches, 2):
-        columns: list[list] = [[], [], []]
-        for text in batch.column(2).to_pylist():
-            spans = [(k, a, b) for k, find in enumerate(FINDERS) for a, b in find(text)]
-            entities, pairs, seen = {}, [], set()
-            if spans:
-                taken = _merged(spans)
-                for k, a, b in spans:
-                    value = f"{k}:{text[a:b].lower()}" if k == 0 else f"{k}:{_NOT_DIGIT.sub('' if k > 1 else '.', text[a:b])}"
-                    e = entities[value] = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
-                    near = [(x, y) for x, y in _near(text, a, b) if not _covered(x, y, taken)]
-                    for (x, y), term in zip(near, _term_hashes([text[x:y] for x, y in near]).tolist() if near else []):
-                        pairs.append({"entity": e, "term": term, "start": x, "end": y, "fresh": (e, term) not in seen})
-                        seen.add((e, term))
-            for column, value in zip(columns, ([{"kind": k, "start": a, "end": b} for k, a, b in spans], list(entities.values()), pairs)):
-                column.append(value)
-        yield record_batch(_SCAN, batch.column(0), batch.column(1), *columns)
-
-
 _COUNT = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
 
-def _term_counts(batches):
-    """How many texts of the task have each term; texts come in pieces, counts in one go."""
-    held, size = [], 0
-
-    def total():
-        terms = np.concatenate([t for t, _ in held])
-        unique, at = np.unique(terms, return_inverse=True)
-        return unique, np.bincount(at, np.concatenate([n for _, n in held]), len(unique)).astype(np.int64)
-
-    def send(terms, counts):
-        for i in range(0, len(terms), 50_000):
-            yield record_batch(_COUNT, terms[i : i + 50_000].view(np.int64), counts[i : i + 50_000])
-
-    for batch in pieces_of(batches, 0):
-        grams, _ = shingles(*words(*byte_view(batch.column(0)), ALNUM), 1)
-        held.append(np.unique(grams, return_counts=True))
-        size += len(held[-1][0])
-        if size > 3_000_000:
-            held = [total()]
-            size = len(held[0][0])
-            if size > 2_000_000:
-                yield from send(*held[0])
-                held, size = [], 0
-    if held:
-        yield from send(*total())
-
-
-def _near_texts(rows: DataFrame, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
-    """(scanned, places (_row, start, end) of the terms that disclose), counted in windows."""
-    scanned = materialise(rows.mapInArrow(_scan, _SCAN_DDL), "private")
-    n = max(1, scanned.count())
-    term_df = rows.select("_text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
-    entity_df = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    near = scanned.filter(F.size("pairs") > 0).select("_row", F.explode("pairs").alias("p")).select("_row", "p.*")
-    pair_df = near.filter("fresh").groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    information = -F.log2(F.col("df_e") / F.lit(float(n)))
-    telling = pair_df.join(entity_df, "entity").join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("entity", "term")
-    return scanned, near.join(telling, ["entity", "term"]).select("_row", "start", "end")
-
-
 # --------------------------------------------------------------------------- terms of whole texts
 
 #: A term that more than one document in so many has is frequent. There are at most so many
@@ -294,8 +203,47 @@ _TOGETHER = np.dtype([("kin", "<i8"), ("df_e", "<i8"), ("term", "<i8")])
 _TOGETHERS = pa.schema([("kin", pa.int64()), ("df_e", pa.int64()), ("term", pa.int64()), ("n", pa.int64())])
 
 
-def _together(frequent, n: int, alpha: float):
-    """How many texts of the task have each kin of entities and each term; input (kins, terms).
+_MET = pa.schema([("term", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def _kin_of_terms(batches):
+    """For each term of the task the least and the greatest df_e among the kins of its texts."""
+    held, size = [], 0
+
+    def folded():
+        term, low, high = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(term, kind="stable")
+        term, low, high = term[order], low[order], high[order]
+        heads = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        return term[heads], *(f.reduceat(x, heads) if len(heads) else x for f, x in ((np.minimum, low), (np.maximum, high)))
+
+    def out(parts):
+        for i in range(0, len(parts[0]), 50_000):
+            yield record_batch(_MET, *[x[i : i + 50_000] for x in parts])
+
+    for batch in batches:
+        for kins, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            term, df = np.frombuffer(raw, np.int64), [k["df_e"] for k in kins]
+            held.append((term, np.full(len(term), min(df)), np.full(len(term), max(df))))
+            size += len(term)
+            if size > 3_000_000:
+                held = [folded()]
+                size = len(held[0][0])
+                if size > 2_000_000:
+                    yield from out(held[0])
+                    held, size = [], 0
+    if held:
+        yield from out(folded())
+
+
+def _marked(terms: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each term is set in a table of _bits_of()."""
+    at = terms.view(np.uint64)
+    return (bits[(at >> np.uint64(46)).astype(np.int64)] >> ((at >> np.uint64(40)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _together(frequent, open_, n: int, alpha: float):
+    """How many texts of the task have each kin of entities and each open term; input (kins, terms).
 
     PMI(t; e) >= IC(e) / alpha means df_te >= df_t * (df_e / n) ** (1 - 1 / alpha), and df_te is
     df_e at most: a frequent term whose df_t is above df_e * (n / df_e) ** (1 - 1 / alpha)
@@ -312,6 +260,7 @@ def _together(frequent, n: int, alpha: float):
         for batch in batches:
             for kins, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 term = np.frombuffer(raw, np.int64)
+                term = term[_marked(term, open_.value)]
                 df = np.zeros(len(term), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, term), len(often) - 1)
@@ -345,9 +294,7 @@ def _places_of_terms(dull, telling):
     def places(batches):
         for batch in pieces_of(batches, 2):
             text, term, start, end = _whole_words(batch.column(2), [_base(t) for t in batch.column(2).to_pylist()])
-            at = term.view(np.uint64)
-            keep = (telling.value[(at >> np.uint64(46)).astype(np.int64)] >> ((at >> np.uint64(40)) & np.uint64(63)) & np.uint64(1)).astype(bool)
-            keep &= ~np.isin(term, dull.value)
+            keep = _marked(term, telling.value) & ~np.isin(term, dull.value)
             a, b = (batch.column(i).to_numpy()[text[keep]] for i in range(2))
             term, start, end = term[keep], start[keep], end[keep]
             for i in range(0, len(a), 100_000):
@@ -369,6 +316,11 @@ def _whole_texts(rows: DataFrame, alpha: float, support: int) -> DataFrame:
     Entities that stand in the same documents are kin: they have the same counts with every
     term and are counted as one, so that a text of very many addresses is not paired with its
     words once for each. An entity that every document has holds no information to give away.
+
+    A term that is rare enough discloses the rarest entity of its documents by standing there
+    once; and one that is frequent enough can't disclose any. Both are told from the least and the
+    greatest document frequency of the entities that a term has met, and only the terms
+    between are paired with the entities of their documents.
     """
     spark = rows.sparkSession
     n = max(1, rows.count())
@@ -383,39 +335,44 @@ def _whole_texts(rows: DataFrame, alpha: float, support: int) -> DataFrame:
     entity_df = held.groupBy("entity").agg(F.count("*").alias("df_e"), *mark).filter(F.col("df_e") < n)
     kin = entity_df.select("entity", F.struct(F.xxhash64("df_e", "x0", "x1").alias("kin"), "df_e").alias("k"))
     kins = held.join(kin, "entity").groupBy("_row").agg(F.collect_set("k").alias("kins"))
-    paired = kins.join(scanned.select("_row", "terms"), "_row").select("kins", "terms")
+    paired = materialise(kins.join(scanned.select("_row", "terms"), "_row").select("kins", "terms"), "paired")
     frequent = spark.sparkContext.broadcast((often_term, often_df))
-    together = paired.mapInArrow(_together(frequent, n, alpha), "kin long, df_e long, term long, n long").groupBy("kin", "df_e", "term").agg(F.sum("n").alias("df_te")).filter(F.col("df_te") >= support)
-    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    information = -F.log2(F.col("df_e") / F.lit(float(n)))
-    telling = materialise(together.join(term_df, "term").filter(pmi >= information / alpha - 1e-9).select("term").distinct(), "telling")
+
+    def discloses(both: Column, df_e: Column) -> Column:
+        pmi, information = F.log2(F.lit(float(n)) * both / (F.col("df_t") * df_e)), -F.log2(df_e / F.lit(float(n)))
+        return pmi >= information / alpha - 1e-9
+
+    met = paired.mapInArrow(_kin_of_terms, "term long, low long, high long").groupBy("term").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(term_df, "term")
+    at_once = discloses(F.lit(1), F.col("low")) if support <= 1 else F.lit(False)
+    most = F.col("high") * F.pow(F.lit(float(n)) / F.col("high"), 1 - 1 / alpha) * (1 + 1e-6)
+    met = materialise(met.select("term", at_once.alias("at_once"), (F.col("df_t") <= most).alias("open")), "met")
+    open_ = spark.sparkContext.broadcast(_bits_of(met.filter("not at_once and open")))
+    together = paired.mapInArrow(_together(frequent, open_, n, alpha), "kin long, df_e long, term long, n long").groupBy("kin", "df_e", "term").agg(F.sum("n").alias("df_te")).filter(F.col("df_te") >= support)
+    counted = together.join(term_df, "term").filter(discloses(F.col("df_te"), F.col("df_e"))).select("term")
+    telling = materialise(met.filter("at_once").select("term").unionByName(counted).distinct(), "telling")
     told = telling.join(term_df.filter(F.col("df_t") * FREQUENT > n), "term", "left_semi").toArrow().column(0).to_numpy()
     dull = spark.sparkContext.broadcast(np.setdiff1d(often_term, told))
     places = hashed.select("_a", "_b", "_text").mapInArrow(_places_of_terms(dull, spark.sparkContext.broadcast(_bits_of(telling))), "_a long, _b long, term long, start long, end long")
     return places.join(telling, "term", "left_semi").select("_a", "_b", "start", "end")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, support: int = 2, with_text: bool = False, whole: bool = False) -> DataFrame:
-    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.25, support: int = 1, with_text: bool = False) -> DataFrame:
+    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, sanitised_sha256.
 
     Base spans are e-mail and IP addresses, card and telephone numbers. A piece of personal
-    data is a protected entity e of the corpus. Terms near it (the eight words on either side
-    within 80 characters) are weighed by what they disclose: with document frequencies over
-    all documents, PMI(t; e) = log2(n * df(t, e) / (df(t) * df(e))) is the share of e's
-    information IC(e) = -log2(df(e) / n) that t gives away. Where PMI >= IC / alpha, and t
-    stands near e in `support` documents or more, t's spans there are added as kind `term`.
+    data is a protected entity e of the corpus. The terms of its documents are weighed by what
+    they disclose: any word outside base spans is a term t, at any distance from e, and with document
+    frequencies over all documents, PMI(t; e) = log2(n * df(t, e) / (df(t) * df(e))) is the share of
+    e's information IC(e) = -log2(df(e) / n) that t gives away. Where PMI >= IC / alpha, and t
+    and e are both in `support` documents or more, every occurrence of t outside base spans, in any
+    document, is a span of kind `term`.
 
-    `whole` takes no windows: t and e occur together where a document has both, at any
-    distance, t being any word outside base spans, and df(t) counts such documents. Every
-    occurrence of a disclosing t outside base spans, in any document, is a `term` span.
-    op2_pii runs this with support=1. It adds sanitised_sha256, a digest of the sanitised text.
-
-    with_text adds `sanitised`: base spans replaced by their kinds, terms with digits
-    generalised to [NUMBER], capitalised ones to [NAME], others removed; see sanitise().
+    sanitised_sha256 is a digest of the sanitised text, which with_text adds as `sanitised`: base spans replaced
+    by their kinds, terms with digits generalised to [NUMBER], capitalised ones to [NAME], others
+    removed; see sanitise().
 
     All documents are counted: term frequencies are summed in each task before the shuffle,
-    entities and pairs on the map side. Pairs that disclose join the documents' own pairs;
-    Spark splits frequent ones. Offsets are in code points, the end exclusive.
+    entities and pairs on the map side. Offsets are in code points, the end exclusive.
 
     Null text: empty, no spans. A null doc_id stays null, rows that repeat a doc_id each count
     as a document and get a row, an empty table gives none.
@@ -425,32 +382,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
     )
-    if whole:
-        return _finished(rows, _whole_texts(rows, alpha, support), with_text)
-    scanned, places = _near_texts(rows, alpha, support)
-    terms = places.select("_row", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("terms"))
-    none = F.array().cast(_SPAN_DDL)
-    joined = scanned.drop("entities", "pairs").join(terms, "_row", "left").select("_row", "_id", "spans", F.coalesce("terms", none).alias("terms"))
-    name = F.array(*[F.lit(k) for k in (*KINDS, "term")])
-
-    def text(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-    def of_kind(number: int):
-        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
-
-    extra = []
-    if with_text:
-        joined = joined.join(rows.select("_row", "_text"), "_row")
-        extra = [_sanitised("_text", F.concat("spans", "terms")).alias("sanitised")]
-    return joined.select(
-        with_id(),
-        *[of_kind(k).alias(f"n_{x}") for k, x in enumerate(KINDS)],
-        F.sha2(text(F.col("spans")), 256).alias("base_sha256"),
-        text(F.concat("spans", "terms")).alias("spans"),
-        F.size("terms").cast("long").alias("n_term"),
-        *extra,
-    )
+    return _finished(rows, _whole_texts(rows, alpha, support), with_text)
 
 
 def _finished(rows: DataFrame, places: DataFrame, with_text: bool) -> DataFrame:
@@ -496,13 +428,3 @@ def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
         out.append(f"[{KINDS[kind].upper()}]" if kind < TERM else "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[0].isupper() else "")
         at = end
     return "".join([*out, text[at:]])
-
-
-def _sanitised(text: str, spans):
-    @F.pandas_udf("string")
-    def run(texts, lists):
-        import pandas as pd
-
-        return pd.Series([sanitise(t, [(s["kind"], s["start"], s["end"]) for s in x]) for t, x in zip(texts, lists)])
-
-    return run(F.col(text), spans)
