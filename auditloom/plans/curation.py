@@ -15,7 +15,7 @@ from auditloom.plans.fixtures import SQL_FILES, SQL_PRED, SQL_SIGS, class_names,
 from auditloom.sources import files as src
 from auditloom.sources import sinks
 
-LIMIT = 8
+LIMIT = 18
 
 
 def _split_signatures(spark, d):
@@ -156,7 +156,7 @@ def empty_folders(spark, d):
 
 def three_bands(spark, d):
     s = signatures(spark, d)
-    return c.three_bands(sim.near_pairs(s, s, "vec_id", "sig", LIMIT, self_join=True), "distance", 3, 6)
+    return c.three_bands(sim.near_pairs(s, s, "vec_id", "sig", LIMIT, self_join=True), "distance", 15, 17)
 
 
 def confidence_means(spark, d):
@@ -351,7 +351,7 @@ e AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'unmatched' WHEN why IS NULL THEN 'k
     "contract_copies": """WITH l AS (SELECT list_sort(list(DISTINCT event_type)) AS a FROM events), k AS (SELECT a, [CASE WHEN i = 3 THEN upper(a[i]) ELSE a[i] END FOR i IN range(1, len(a) + 1)] AS b FROM l)
 SELECT 'list' AS name, true AS ok, len(a) || ' ' || sha256(array_to_string(a, chr(10)))[1:12] AS detail FROM k UNION ALL SELECT 'copy', true, len(b) || ' ' || sha256(array_to_string(b, chr(10)))[1:12] FROM k UNION ALL SELECT 'same list', true, 'none' UNION ALL SELECT 'same copy', a = b, CASE WHEN a = b THEN 'none' ELSE '1 first: 2' END FROM k""",
     "empty_folders": f"{_F}, x AS (SELECT label, CASE WHEN label = 'src7' THEN 'train' WHEN doc_id % 3 = 0 THEN 'test' ELSE split END AS split FROM f) SELECT label, split FROM (SELECT DISTINCT label FROM x), (VALUES ('train'), ('val'), ('test')) w(split) EXCEPT SELECT label, split FROM x",
-    "three_bands": f"{_NEAR} SELECT w.band, count(n.id_a) AS n FROM (VALUES (0, '<= 3'), (1, '<= 6'), (2, '> 6')) w(i, band) LEFT JOIN n ON w.i = CASE WHEN distance <= 3 THEN 0 WHEN distance <= 6 THEN 1 ELSE 2 END GROUP BY w.band",
+    "three_bands": f"{_NEAR} SELECT w.band, count(n.id_a) AS n FROM (VALUES (0, '<= 15'), (1, '<= 17'), (2, '> 17')) w(i, band) LEFT JOIN n ON w.i = CASE WHEN distance <= 15 THEN 0 WHEN distance <= 17 THEN 1 ELSE 2 END GROUP BY w.band",
     "confidence_means": f'{_P} SELECT "truth", round(avg(conf), 6) AS mean, round(avg(conf) FILTER (WHERE "truth" = pred), 6) AS mean_right FROM p GROUP BY 1',
     "geometry_stats": "WITH x AS (SELECT p_partkey % 40 + 1 AS w, p_size AS h FROM part) SELECT count(*) AS n, count(*) FILTER (WHERE h > w) AS upright, round(avg(greatest(w, h)::DOUBLE / least(w, h)), 6) AS mean_aspect, round(max(greatest(w, h)::DOUBLE / least(w, h)), 6) AS max_aspect FROM x",
     "normalised_labels": f"WITH x AS (SELECT {_TITLE} || ['_train', '_Valid_test', ''][p_partkey % 3 + 1] AS name FROM part) SELECT count(DISTINCT name) AS names, (SELECT count(DISTINCT replace(p_name, ' ', '')) FROM part) AS labels FROM x",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from auditloom.operators import metrics, similarity as sim, vectors as v
 from auditloom.plans.fixtures import SQL_SIGS, signatures, table
 
-LIMIT = 8
+#: Signs of random vectors: at 18 of 64 some pairs are near.
+LIMIT = 18
 
 
 def neardup_pairs(spark, d):
@@ -21,8 +22,14 @@ def neardup_cross(spark, d):
     return sim.near_pairs(s.filter("vec_id % 2 = 0"), s.filter("vec_id % 2 = 1"), "vec_id", "sig", LIMIT)
 
 
+def neardup_apart(spark, d):
+    """Pairs of one table whose rows are in different splits."""
+    s = signatures(spark, d).withColumn("split", F.col("vec_id") % 3)
+    return sim.near_pairs(s, s, "vec_id", "sig", LIMIT, self_join=True, apart="split")
+
+
 def neardup_hist(spark, d):
-    return metrics.histogram(neardup_cross(spark, d), F.col("distance"), [0.0, 2.0, 4.0, 6.0, 9.0])
+    return metrics.histogram(neardup_cross(spark, d), F.col("distance"), [0.0, 10.0, 14.0, 16.0, 19.0])
 
 
 def neardup_flagged(spark, d):
@@ -107,7 +114,7 @@ def quantised(spark, d):
     return e.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_min("q").alias("low"), F.array_max("q").alias("high"))
 
 
-QUERIES = {f.__name__: f for f in (neardup_pairs, neardup_cross, neardup_hist, neardup_flagged, best_twin, mae_verdicts, greedy_dedup, centroids, nearest_centroid, label_audit_verdict, vector_topk, score_ties, parity_delta, parity_verdict, softmax_scores, quantised)}
+QUERIES = {f.__name__: f for f in (neardup_pairs, neardup_cross, neardup_apart, neardup_hist, neardup_flagged, best_twin, mae_verdicts, greedy_dedup, centroids, nearest_centroid, label_audit_verdict, vector_topk, score_ties, parity_delta, parity_verdict, softmax_scores, quantised)}
 
 _S = f"WITH {SQL_SIGS}"
 _NEAR = f"{_S}, n AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(xor(a.sig, b.sig)) AS INT) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id AND a.label = b.label WHERE bit_count(xor(a.sig, b.sig)) <= {LIMIT})"
@@ -122,7 +129,8 @@ g AS (SELECT 0::BIGINT AS r, []::BIT[] AS held, NULL::BIGINT AS vec_id, NULL::BO
 SELECT vec_id, kept FROM g WHERE r > 0""",
     "neardup_pairs": f"{_NEAR} SELECT * FROM n",
     "neardup_cross": f"{_CROSS} SELECT * FROM n",
-    "neardup_hist": f"{_CROSS}, e AS (SELECT unnest(range(4))::INT AS bin, unnest([0.0, 2.0, 4.0, 6.0])::DOUBLE AS low, unnest([2.0, 4.0, 6.0, 9.0])::DOUBLE AS high) SELECT bin, low, high, count(n.id_a) AS n FROM e LEFT JOIN n ON distance >= low AND distance < high GROUP BY ALL",
+    "neardup_apart": f"{_S} SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(xor(a.sig, b.sig)) AS INT) AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id AND a.vec_id % 3 <> b.vec_id % 3 WHERE bit_count(xor(a.sig, b.sig)) <= {LIMIT}",
+    "neardup_hist": f"{_CROSS}, e AS (SELECT unnest(range(4))::INT AS bin, unnest([0.0, 10.0, 14.0, 16.0])::DOUBLE AS low, unnest([10.0, 14.0, 16.0, 19.0])::DOUBLE AS high) SELECT bin, low, high, count(n.id_a) AS n FROM e LEFT JOIN n ON distance >= low AND distance < high GROUP BY ALL",
     "neardup_flagged": f"{_CROSS} SELECT label, count(*) AS n, count(*) FILTER (WHERE vec_id IN (SELECT id_a FROM n)) AS flagged FROM s WHERE vec_id % 2 = 0 GROUP BY label",
     "best_twin": f"{_V}, r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY most, mean, id_b) AS r FROM v) SELECT id_a, id_b, round(most, 6) AS most, round(mean, 6) AS mean, CASE WHEN most = 0 THEN 'identical' WHEN mean <= 10 THEN 'near' ELSE 'other' END AS band FROM r WHERE r = 1",
     "mae_verdicts": f"{_V} SELECT id_a, id_b, round(mean, 6) AS mae, CASE WHEN mean <= 5 THEN 'same' WHEN mean <= 8 THEN 'similar' ELSE 'different' END AS verdict FROM v",
