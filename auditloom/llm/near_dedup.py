@@ -94,6 +94,9 @@ def _confirmed(percent: int):
     return confirm
 
 
+#: Rows that Python gets at a time: pairs of sets, and pairs of blocks, of a few megabytes in all
+#: as a rule; Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
+PAIR_ROWS, MEETING_ROWS = 200, 16
 #: Nodes in a block, a long one counting as one for each so many shingles; and shingles that
 #: a comparison of two blocks has in its table at a time.
 BLOCK_NODES, NODE_SHINGLES, SLICE = 48, 2000, 8192
@@ -215,13 +218,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").filter(fitting).select("a", "b")
-    links = materialise(confirmed(materialise(stars, "pairs")), "links")
+    links = materialise(confirmed(materialise(stars, "pairs")), "links", PAIR_ROWS)
     labels = components(links)
     placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     open_ = materialise(placed.join(mixed.select("bucket", "low"), "bucket"), "open")
     if not open_.isEmpty():
-        found = materialise(_between(open_, full, percent), "links")
+        found = materialise(_between(open_, full, percent), "links", MEETING_ROWS)
         if not found.isEmpty():
             labels = joined(labels, found)
 
