@@ -38,16 +38,16 @@ def _close(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in ones) for k in range(radius + 1) for ones in itertools.combinations(range(width), k)]
 
 
-def balanced_bits(rows: DataFrame, signature: str) -> list[int]:
-    """The 64 places of a signature in an order in which bands of neighbours tell rows apart equally
-    well: places that are nearly always alike are dealt out evenly among the others. From the
-    share of ones of each place, one row."""
+def balanced_bits(rows: DataFrame, signature: str) -> tuple[list[int], int]:
+    """(the 64 places of a signature in an order in which bands of neighbours tell rows apart equally
+    well, the number of rows): places that are nearly always alike are dealt out evenly among the
+    others. From the share of ones of each place, one row."""
     ones = rows.agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(signature, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)]).first()
     share = [(ones[f"b{i}"] or 0) / max(1, ones["n"]) for i in range(64)]
     told = [-sum(p * math.log2(p) for p in (s, 1 - s) if p > 0) for s in share]
     ranked = sorted(range(64), key=lambda i: (-round(told[i], 1), i))
     # the place that comes k-th is put where k, with its bits reversed, says: early ones lie far apart
-    return [ranked[int(f"{k:06b}"[::-1], 2)] for k in range(64)]
+    return [ranked[int(f"{k:06b}"[::-1], 2)] for k in range(64)], ones["n"]
 
 
 def _value(signature: str, places: list[int]) -> Column:
@@ -80,7 +80,7 @@ def near_candidates(a: DataFrame, b: DataFrame, signature: str, limit: int, equa
     equal = equal or []
     cols = [*equal, signature]
     left, right = a.select(*cols).distinct(), b.select(*cols).distinct()
-    places = balanced_bits(right, signature)
+    places, n = balanced_bits(right, signature)
     bands = bands_for(limit, most_probes)
 
     def dealt(rows: DataFrame, name: str, probing: bool) -> DataFrame:
@@ -94,8 +94,10 @@ def near_candidates(a: DataFrame, b: DataFrame, signature: str, limit: int, equa
 
     x, y = dealt(left, "_sa", True), dealt(right, "_sb", False)
     key = ["_band", "_value", *equal]
+    if n <= hot or limit >= 64 - max(w for _, w, _ in bands):  # no value that so many share, or no places left to cut by
+        return x.join(y, key).select(*equal, "_sa", "_sb")
     shared = stored(y.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*key), a.sparkSession)
-    if shared.isEmpty() or limit >= 64 - max(w for _, w, _ in bands):  # nothing to cut, or to cut by
+    if shared.isEmpty():
         return x.join(y, key).select(*equal, "_sa", "_sb")
     met = x.join(shared, key, "left_anti").join(y, key).select(*equal, "_sa", "_sb")
     deep = again(x.join(shared, key, "left_semi"), "_sa", True).join(again(y.join(shared, key, "left_semi"), "_sb", False), [*key, "_band2", "_value2"])

@@ -64,10 +64,10 @@ def test_shared_band_values_are_cut_again(spark):
 def test_places_that_are_alike_are_dealt_out(spark):
     _, df = random_table(spark, 6, 300, fixed=0)
     flat = df.select("id", F.col("sig").bitwiseAND(F.lit((1 << 32) - 1)).alias("sig"))  # the upper half tells nothing
-    places = similarity.balanced_bits(flat, "sig")
-    assert sorted(places) == list(range(64))
+    places, n = similarity.balanced_bits(flat, "sig")
+    assert sorted(places) == list(range(64)) and n == flat.count()
     assert all(6 <= sum(p < 32 for p in places[i : i + 16]) <= 10 for i in range(0, 64, 16))
-    assert similarity.balanced_bits(df.limit(0), "sig") and similarity.near_candidates(df.limit(0), df.limit(0), "sig", 4).count() == 0
+    assert similarity.balanced_bits(df.limit(0), "sig")[1] == 0 == similarity.near_candidates(df.limit(0), df.limit(0), "sig", 4).count()
 
 
 def test_candidates_at_limit_14(spark):
