@@ -34,7 +34,7 @@ BREAKS[list(b".,;:!?\n\v\f\r")] = True
 IN_WORD = ~BREAKS
 IN_WORD[[32, 9]] = False
 #: Bytes of text that are looked at together, and of a long text's slices.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: Words of a row of the stream; grams that a task holds before it emits their counts.
 ROW_WORDS, HELD_GRAMS = 1000, 1_000_000
 #: Words for each task of the exact counts: every task tells all the frequent grams that it has met.
