@@ -116,13 +116,18 @@ def _merged(largest: bool):
     return merge
 
 
-def _groups(batches):
-    for batch in batches:
-        for raw in batch.column(2).to_pylist():
-            run = np.frombuffer(raw, ENTRY)
-            run = run[run["n"] > 1]
-            digests = np.stack([run[k] for k in "abcd"], axis=1).astype(">u8").tobytes() if len(run) else b""
-            yield record_batch(_GROUP, [digests[i : i + 32] for i in range(0, len(digests), 32)], run["size"].astype(np.int64), run["keep"].astype(np.int64), run["n"].astype(np.int64))
+def _grouped(largest: bool):
+    """The last merge of a range: of the entries only those of two rows or more. The merge and the
+    choice are one function, so that a task needs one Python worker and not two."""
+
+    def merge(key, table):
+        run = merge_runs([np.frombuffer(r, ENTRY) for r in table.column("run").to_pylist()], largest)
+        run = run[run["n"] > 1]
+        digests = np.stack([run[k] for k in "abcd"], axis=1).astype(">u8").tobytes() if len(run) else b""
+        columns = [[digests[i : i + 32] for i in range(0, len(digests), 32)], run["size"].astype(np.int64), run["keep"].astype(np.int64), run["n"].astype(np.int64)]
+        return pa.Table.from_batches([record_batch(_GROUP, *columns)])
+
+    return merge
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 8) -> DataFrame:
@@ -148,10 +153,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = min(1 << 31, max(partitions(spark), -(-digests.count() // RANGE_ROWS)))
     runs = digests.mapInArrow(_leaf_runs(ranges, largest), "range long, slot long, run binary")
     slots = digests.rdd.getNumPartitions()
-    while slots > 1:
+    while slots > fan_in:
         slots = -(-slots // fan_in)
         runs = runs.withColumn("slot", F.floor(F.col("slot") / fan_in)).groupBy("range", "slot").applyInArrow(_merged(largest), "range long, slot long, run binary")
-    groups = runs.mapInArrow(_groups, "digest binary, size long, keep_id long, group_size long")
+    groups = runs.groupBy("range").applyInArrow(_grouped(largest), "digest binary, size long, keep_id long, group_size long")
     joined = digests.join(groups, ["digest", "size"], "left").withColumn("keep_id", F.coalesce("keep_id", "_id"))
     return joined.select(
         with_id(),
