@@ -138,7 +138,8 @@ def day_label(text: Column) -> Column:
 
 
 def date_label(millis: Column) -> Column:
-    return F.date_format(F.timestamp_millis(millis), "dd MMM yyyy")
+    """Years of more than four digits have no sign, as the app shows them."""
+    return F.replace(F.date_format(F.timestamp_millis(millis), "dd MMM yyyy"), F.lit("+"))
 
 
 def spoken(name: Column, percent: Column, advice: Column) -> Column:

@@ -154,3 +154,9 @@ def test_sinks(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     sinks.write_plan(plan, data, str(tmp_path / "out"), ok=True, apply=True)
     assert spark.read.parquet(str(tmp_path / "out")).first().action == "train"
+
+
+def test_dates_after_the_year_9999_have_no_sign(spark):
+    days = spark.createDataFrame([(0,), (2932896,), (2932897,), (5999999,), (None,)], "day long")
+    got = [r[0] for r in days.select(rules.date_label(F.col("day") * 86_400_000)).collect()]
+    assert got == ["01 Jan 1970", "31 Dec 9999", "01 Jan 10000", "10 Jun 18397", None]
