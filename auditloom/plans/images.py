@@ -29,7 +29,9 @@ def drawn(spark, d, block):
                 content = pixels.png(colours.repeat(high, 0).repeat(wide, 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([f"{label}/{i}.png", i, label, content], schema)], schema=schema)
 
-    return table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInArrow(run, "path string, vec_id long, label int, content binary")
+    # a row costs milliseconds here and in what reads the files: few row groups would make few long tasks
+    even = table(spark, d, "embeddings").select("vec_id", "label", "embedding").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return even.mapInArrow(run, "path string, vec_id long, label int, content binary")
 
 
 def image_signatures(spark, d):

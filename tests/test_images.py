@@ -189,3 +189,14 @@ def test_tables_of_files_with_nulls_and_none_at_all(spark):
     assert sorted((r.path or "", r.reason or "") for r in images.examined(df, ["hsv"]).collect()) == [("", ""), ("a", ""), ("a", "empty file")]
     assert images.examined(df.limit(0)).count() == images.model_inputs(df.limit(0), 8).count() == 0
     assert images.model_inputs(df, 8, ["app"]).count() == 2
+
+
+def test_files_are_drawn_in_even_tasks(spark, tmp_path):
+    """A table of one file and one row group makes as many tasks as there are cores, and more."""
+    from auditloom.plans.images import SMALL, drawn
+
+    vectors = spark.range(200).selectExpr("id as vec_id", "cast(id % 3 as int) as label", "transform(sequence(1, 64), x -> cast(sin(x * id) as float)) as embedding")
+    vectors.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = drawn(spark, str(tmp_path), SMALL)
+    counts = [n for n in rows.select("vec_id").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert sum(counts) == 200 and max(counts) < 50
