@@ -39,21 +39,19 @@ def neardup_flagged(spark, d):
 
 
 def _vector_pairs(spark, d):
-    e = table(spark, d, "embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(f"id_{s}"), F.col("embedding").alias(f"v_{s}")) for s in "ab")
-    near = neardup_pairs(spark, d)
-    return near.join(a.drop("label"), "id_a").join(b.drop("label"), "id_b")
+    """Near pairs of one label with the differences of their vectors, times 100."""
+    rows = table(spark, d, "embeddings").withColumn("sig", sim.sign_signature(F.col("embedding")))
+    near = sim.near_differences(rows, "vec_id", "sig", "embedding", LIMIT, ["label"])
+    return near.withColumns({"most": F.col("most") * 100, "mean": F.col("mean") * 100})
 
 
 def best_twin(spark, d):
-    p = _vector_pairs(spark, d).select("id_a", "id_b", (sim.max_abs_diff(F.col("v_a"), F.col("v_b")) * 100).alias("most"), (sim.mean_abs_diff(F.col("v_a"), F.col("v_b")) * 100).alias("mean"))
-    out = sim.best_twin(p, "id_a", "id_b", "most", "mean")
+    out = sim.best_twin(_vector_pairs(spark, d), "id_a", "id_b", "most", "mean")
     return out.withColumn("most", F.round("most", 6)).withColumn("mean", F.round("mean", 6))
 
 
 def mae_verdicts(spark, d):
-    p = _vector_pairs(spark, d).withColumn("mae", sim.mean_abs_diff(F.col("v_a"), F.col("v_b")) * 100)
-    return p.select("id_a", "id_b", F.round("mae", 6).alias("mae"), sim.verdict(F.col("mae"), 5.0, 8.0).alias("verdict"))
+    return _vector_pairs(spark, d).select("id_a", "id_b", F.round("mean", 6).alias("mae"), sim.verdict(F.col("mean"), 5.0, 8.0).alias("verdict"))
 
 
 def greedy_dedup(spark, d):

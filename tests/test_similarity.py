@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import curation, similarity, vectors
 from auditloom.plans import curation as queries
+from auditloom.plans import similarity as similarity_queries
 
 
 def signed(x):
@@ -262,3 +263,31 @@ def test_predictions_of_near_rows_take_no_row_for_a_pair(spark, tmp_path):
     assert plan.count("Join Inner") == 1 and "Expand" not in plan, plan  # of blocks with blocks
     r = found.first()
     assert (r.pairs, r.identical, r.rows_a, r.rows_b, r.closest, r.same_class) == (3000 * 2999 // 2, 3000 * 2999 // 2, 2999, 2999, 0, 3 * 1000 * 999 // 2)
+
+
+@pytest.mark.parametrize("size", [(8192, 2048, 16, (16, 8192)), (37, 10, 3, (2, 24))])
+def test_differences_by_blocks_are_those_of_joined_pairs(spark, monkeypatch, size):
+    blocks_of(monkeypatch, size)
+    _, df = labelled(spark)
+    value = lambda i: F.when((F.col("id") % 31 != 5) | (i != 2), F.rand(3) * 9 - i).cast("float")
+    rows = df.withColumn("vec", F.when(F.col("id") % 17 == 3, F.array(value(1), value(2))).when(F.col("id") % 19 != 4, F.array(*[value(i) for i in range(5)])))
+    rows = rows.unionByName(rows.filter("id between 400 and 420").withColumn("id", F.col("id") + 1000)).localCheckpoint()
+    a, b = (rows.select(F.col("id").alias(f"id_{s}"), F.col("vec").alias(f"v_{s}")) for s in "ab")
+    for equal in ([], ["label"]):
+        want = similarity.near_pairs(rows, rows, "id", "sig", 18, equal, self_join=True).join(a, "id_a").join(b, "id_b")
+        want = want.select("id_a", "id_b", "distance", similarity.max_abs_diff(F.col("v_a"), F.col("v_b")).alias("most"), similarity.mean_abs_diff(F.col("v_a"), F.col("v_b")).alias("mean"))
+        got = similarity.near_differences(rows, "id", "sig", "vec", 18, equal)
+        assert got.dtypes == want.dtypes
+        got, want = ({tuple(r)[:2]: tuple(r)[2:] for r in x.collect()} for x in (got, want))
+        assert got == want and len(got) > 60 and {None} < {m for _, _, m in got.values()}
+
+
+def test_pairs_of_copies_are_shared_among_tasks(spark, tmp_path, monkeypatch):
+    """All pairs of 2,000 copies of a vector were made in one task."""
+    copies = spark.range(2000).select(F.col("id").alias("vec_id"), F.lit(1).alias("label"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("embedding"))
+    copies.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(similarity, "FULL", 100)
+    found = similarity_queries.mae_verdicts(spark, str(tmp_path))
+    tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2000 * 1999 // 2 and max(tasks) < 0.6 * sum(tasks), tasks
+    assert found.select("mae", "verdict").distinct().collect() == [(0.0, "same")]
